@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from barscope.functions.series import SO_FAR, W, bar_no, last_n
+from barscope.functions.series import so_far, W, bar_no, last_n
 from barscope.functions.values import col, sig
 
 PER_BAR = ("EACH", "PERBAR", "EACH_TRUE")
@@ -67,7 +67,7 @@ def true_count(signal, window: int) -> Column:
 def bars_since(signal, window: int) -> Column:
     """Bars since the latest true bar inside the window; missing if there is none."""
     n = bar_no()
-    lag = n - F.last(F.when(sig(signal), n), ignorenulls=True).over(SO_FAR)
+    lag = n - F.last(F.when(sig(signal), n), ignorenulls=True).over(so_far())
     return F.when(lag < window, lag)
 
 
@@ -91,7 +91,7 @@ def last_hit(signal, window: int, d="d") -> Column:
 
 
 def period_start(window: int, d="d") -> Column:
-    return F.min(col(d)).over(W.rowsBetween(-(window - 1), Window.currentRow))
+    return F.min(col(d)).over(W().rowsBetween(-(window - 1), Window.currentRow))
 
 
 def period_label(window: int, d="d") -> Column:

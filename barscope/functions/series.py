@@ -15,22 +15,28 @@ from pyspark.sql import functions as F
 
 from barscope.functions.values import col, gt, limit_up_pct, safe_div, sig
 
-W = Window.partitionBy("code").orderBy("d")
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def W():
+    """The series of a code, by date."""
+    return Window.partitionBy("code").orderBy("d")
+
+
+def so_far():
+    """All bars up to the current one."""
+    return W().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def last_n(n: int):
     """The current bar and the ``n - 1`` before it."""
-    return W.rowsBetween(-(max(int(n), 1) - 1), Window.currentRow)
+    return W().rowsBetween(-(max(int(n), 1) - 1), Window.currentRow)
 
 
 def before(n: int):
     """The ``n`` bars before the current one."""
-    return W.rowsBetween(-max(int(n), 1), -1)
+    return W().rowsBetween(-max(int(n), 1), -1)
 
 
 def bar_no() -> Column:
-    return F.row_number().over(W)
+    return F.row_number().over(W())
 
 
 def _strict(agg, x, n: int) -> Column:
@@ -40,7 +46,7 @@ def _strict(agg, x, n: int) -> Column:
 
 def ref(x, n: int = 1) -> Column:
     """The value ``n`` bars ago; a negative ``n`` looks ahead."""
-    return F.lag(col(x), n).over(W) if n >= 0 else F.lead(col(x), -n).over(W)
+    return F.lag(col(x), n).over(W()) if n >= 0 else F.lead(col(x), -n).over(W())
 
 
 def ma(x, n: int) -> Column:
@@ -72,20 +78,20 @@ def count_n(cond, n: int) -> Column:
 def barslast(cond) -> Column:
     """Bars since the condition last held; missing if it never did."""
     rn = bar_no()
-    return rn - F.last(F.when(sig(cond), rn), ignorenulls=True).over(SO_FAR)
+    return rn - F.last(F.when(sig(cond), rn), ignorenulls=True).over(so_far())
 
 
 def cross(a, b) -> Column:
     """``a`` is above ``b`` now and was not above it one bar ago."""
     a, b = col(a), col(b)
-    prev = F.lag(a, 1).over(W) <= F.lag(b, 1).over(W)
+    prev = F.lag(a, 1).over(W()) <= F.lag(b, 1).over(W())
     return gt(a, b) & sig(prev)
 
 
 def cross_level(a, level: float) -> Column:
     """Crossing of a constant level (a constant also holds before the first bar)."""
     a = col(a)
-    return gt(a, F.lit(level)) & sig(F.lag(a, 1).over(W) <= F.lit(level))
+    return gt(a, F.lit(level)) & sig(F.lag(a, 1).over(W()) <= F.lit(level))
 
 
 def rsv(c, h, l, n: int) -> Column:
@@ -164,7 +170,7 @@ def tag_hits(tags: Sequence[str], pattern: str, shift: int = 0) -> Column:
     """How many matching tags are set, ``shift`` bars ago."""
     names = matching_tags(tags, pattern)
     n = reduce(lambda a, b: a + b, [sig(F.col(f"`{t}`")).cast("int") for t in names], F.lit(0))
-    return n if shift == 0 else F.coalesce(F.lag(n, shift).over(W), F.lit(0))
+    return n if shift == 0 else F.coalesce(F.lag(n, shift).over(W()), F.lit(0))
 
 
 def any_tag_at_least(tags: Sequence[str], pattern: str, k: int, shift: int = 0) -> Column:
@@ -181,3 +187,12 @@ def yday_tag_hits(tags: Sequence[str], pattern: str) -> Column:
 
 def yday_any_tag_at_least(tags: Sequence[str], pattern: str, k: int) -> Column:
     return any_tag_at_least(tags, pattern, k, 1)
+
+
+def at_max(df, value: str, price: str = "c"):
+    """Per code the greatest value and the price at its first occurrence; zeros if there is none."""
+    first = F.struct(F.col(value), -F.unix_date("d"))
+    out = df.groupBy("code").agg(
+        F.max(value).alias("value"), F.max_by(price, F.when(F.col(value).isNotNull(), first)).alias("price")
+    )
+    return out.na.fill(0.0, ["value", "price"])

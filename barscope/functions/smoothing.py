@@ -59,7 +59,7 @@ def with_ewm(df: DataFrame, averages: Sequence[Ewm]) -> DataFrame:
     for a in averages:
         if a.alpha >= 1.0 and not a.mask:
             held = F.last(col(a.x), ignorenulls=True)
-            df = df.withColumn(a.out, held.over(W.rowsBetween(Window.unboundedPreceding, 0)))
+            df = df.withColumn(a.out, held.over(W().rowsBetween(Window.unboundedPreceding, 0)))
     return df.select(*keep)
 
 
@@ -73,7 +73,7 @@ def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]]) -> DataFrame:
     line = Window.partitionBy("code").orderBy("_blk", "d")
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
 
-    df = df.withColumn("_rn", F.row_number().over(W) - 1)
+    df = df.withColumn("_rn", F.row_number().over(W()) - 1)
     df = df.withColumns(
         {"_blk": F.floor(F.col("_rn") / size), "_p": (F.col("_rn") % size).cast("double")}
     )
@@ -96,14 +96,14 @@ def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]]) -> DataFrame:
     if gaps:
         df = df.withColumns(gaps)
         df = df.withColumns(
-            {f"_G{i}": F.sum(f"_g{i}").over(so_far) for i, a in moving if not a.adjust}
+            {f"_gap{i}": F.sum(f"_g{i}").over(so_far) for i, a in moving if not a.adjust}
         )
     weights = {}
     for i, a in moving:
         wgt = F.pow(F.lit(1.0 - a.alpha), -F.col("_p"))
         if not a.adjust:
             first = F.when(F.col(f"_prev{i}").isNull(), F.lit(1.0)).otherwise(F.lit(a.alpha))
-            wgt = first * wgt * F.exp(F.col(f"_G{i}") - F.col(f"_g{i}"))
+            wgt = first * wgt * F.exp(F.col(f"_gap{i}") - F.col(f"_g{i}"))
         weights[f"_w{i}"] = F.when(valid[i], wgt)
     df = df.withColumns(weights)
     sums = {}
@@ -145,7 +145,7 @@ def ewm_seeded(x, alpha: float, rows: int) -> Column:
 
     The bars fit a bounded frame, so this is a fold over at most ``rows`` values.
     """
-    t = F.row_number().over(W)
+    t = F.row_number().over(W())
     obs = F.when(col(x).isNotNull(), F.struct(t.cast("double").alias("t"), col(x).alias("x")))
     start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("t"))
 

@@ -83,7 +83,7 @@ def to_number(x) -> Column:
 def rnd(x, decimals: int) -> Column:
     """Round half to even on the binary value, as numpy does."""
     scale = F.lit(float(10**decimals))
-    return F.rint(col(x) * scale) / scale
+    return F.rint(col(x) * scale) / scale + F.lit(0.0)  # no negative zero
 
 
 def max2(a, b) -> Column:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscope.functions.series import SO_FAR, W, last_n
+from barscope.functions.series import so_far, W, last_n
 from barscope.functions.values import div
 
 
 def join_benchmark(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """Benchmark close and return on each bar; one benchmark row per date, so it is broadcast."""
     b = bench.select("d", F.col("c").alias("idx_c")).withColumn("code", F.lit("bench"))
-    b = b.withColumn("idx_ret", div("idx_c", F.lag("idx_c").over(W)) - 1).drop("code")
+    b = b.withColumn("idx_ret", div("idx_c", F.lag("idx_c").over(W())) - 1).drop("code")
     return bars.join(F.broadcast(b), "d", "left")
 
 
 def align(joined: DataFrame, how: str = "ffill") -> DataFrame:
     """Repeat the last benchmark values over dates without one, or drop such dates."""
     if how == "ffill":
-        held = {n: F.last(n, ignorenulls=True).over(SO_FAR) for n in ("idx_c", "idx_ret")}
+        held = {n: F.last(n, ignorenulls=True).over(so_far()) for n in ("idx_c", "idx_ret")}
         return joined.withColumns(held)
     return joined.where(F.col("idx_c").isNotNull())
 
@@ -28,8 +28,8 @@ def benchmark_features(bars: DataFrame, bench: DataFrame, n: int = 20, how: str
     """Excess return and its rolling sum, relative strength, beta and correlation."""
     least = max(5, n // 3)
     df = align(join_benchmark(bars, bench), how)
-    held = F.last("c", ignorenulls=True).over(SO_FAR)
-    df = df.withColumn("_held", held).withColumn("ret", div("_held", F.lag("_held").over(W)) - 1)
+    held = F.last("c", ignorenulls=True).over(so_far())
+    df = df.withColumn("_held", held).withColumn("ret", div("_held", F.lag("_held").over(W())) - 1)
     df = df.withColumns({"exret": F.col("ret") - F.col("idx_ret"), "_ratio": div("c", "idx_c")})
     both = F.col("ret").isNotNull() & F.col("idx_ret").isNotNull()
     x, y = F.when(both, F.col("ret")), F.when(both, F.col("idx_ret"))

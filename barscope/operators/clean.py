@@ -186,7 +186,7 @@ def prev_day_pairs(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     The pair is two neighbouring bars of one series, so a window replaces the self-join.
     """
     b = bars.join(F.broadcast(calendar), "d")
-    pair = b.withColumns({"_i": F.lag("idx").over(W), "prev_c": F.lag("c").over(W)})
+    pair = b.withColumns({"_i": F.lag("idx").over(W()), "prev_c": F.lag("c").over(W())})
     return pair.where(F.col("_i") == F.col("idx") - 1).drop("_i")
 
 

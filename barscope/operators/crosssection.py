@@ -27,8 +27,8 @@ def rank_vol(bars: DataFrame, k: int | None = None, bound: int | None = None, **
 def day_return(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Return against the calendar's previous date; missing if the code did not trade then."""
     b = bars.select("code", "d", "c").join(F.broadcast(calendar), "d")
-    near = F.lag("idx").over(W) == F.col("idx") - 1
-    return b.select("code", "d", F.when(near, div("c", F.lag("c").over(W)) - 1).alias("ret"))
+    near = F.lag("idx").over(W()) == F.col("idx") - 1
+    return b.select("code", "d", F.when(near, div("c", F.lag("c").over(W())) - 1).alias("ret"))
 
 
 def rank_ret(bars: DataFrame, calendar: DataFrame, side: str = "up", k: int | None = None,

@@ -153,6 +153,6 @@ def next_range(bars: DataFrame, expected: DataFrame, end) -> DataFrame:
 
 def series_breaks(bars: DataFrame, days: int = 21) -> DataFrame:
     """Gaps inside single series."""
-    out = bars.withColumn("next_d", F.lead("d").over(W))
+    out = bars.withColumn("next_d", F.lead("d").over(W()))
     out = out.withColumn("days", F.datediff("next_d", "d"))
     return out.where(F.col("days") > days).select("code", "d", "next_d", "days")

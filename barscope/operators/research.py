@@ -48,7 +48,7 @@ def rule_hits(details: DataFrame) -> DataFrame:
 def forward_returns(bars: DataFrame, horizons: Sequence[int], log: bool = False) -> DataFrame:
     """Return from each bar's close to the close ``h`` bars later."""
     def ret(h):
-        ratio = div(F.lead("c", h).over(W), "c")
+        ratio = div(F.lead("c", h).over(W()), "c")
         return F.log(ratio) if log else ratio - 1.0
 
     return bars.select("code", "d", *[ret(h).alias(f"ret_{h}d") for h in horizons])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barscope.functions import series as ts
-from barscope.functions.series import SO_FAR
+from barscope.functions.series import so_far
 from barscope.functions.smoothing import Ewm, ema, sma, with_ewm
 from barscope.functions.values import EPS
 from barscope.operators.clean import last_bars
@@ -73,7 +73,7 @@ def _kdj_state(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_low": ts.llv("l", 8), "_high": ts.hhv("h", 8), "_rsv": _raw_rsv()})
     df = with_ewm(df, [Ewm("_k", "_rsv", 1 / 3, adjust=True, mask=False)])
     df = with_ewm(df, [Ewm("_dd", "_k", 1 / 3, adjust=True, mask=False)])
-    n = F.count("_rsv").over(SO_FAR)
+    n = F.count("_rsv").over(so_far())
     return df.withColumn("_den", (1 - F.pow(F.lit(W3), n)) / (1 - W3))
 
 
