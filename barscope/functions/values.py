@@ -197,7 +197,7 @@ def name_has_st(name, key: str = "code") -> Column:
 def filter_concepts(text, blacklist: Sequence[str] = ()) -> Column:
     """Drop blacklisted names from comma-joined text; nothing left gives null."""
     banned = sorted({b.strip().lower() for b in blacklist if b.strip()})
-    parts = F.transform(F.split(col(text), ","), F.trim)
+    parts = F.transform(F.split(col(text), ","), lambda p: F.trim(p))
     kept = F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin(banned) if banned else p != "")
     return F.nullif(F.array_join(kept, ","), F.lit(""))
 

@@ -43,7 +43,7 @@ def _numeric(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
 
 def fill_changes(df: DataFrame, order=None) -> DataFrame:
     """Fill pre_close, change and pct_chg where missing; present values stay as they are."""
-    w = W if order is None else Window.partitionBy("code").orderBy(order)
+    w = W() if order is None else Window.partitionBy("code").orderBy(order)
     for name in ("pre_close", "change", "pct_chg"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("double"))

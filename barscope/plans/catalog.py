@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barscope.plans.registry import QUERIES
-from barscope.plans import q_calendar, q_rules, q_series  # noqa: F401
+from barscope.plans import q_calendar, q_rules, q_series, q_sources, q_values  # noqa: F401
 from barscope.plans.q_rules import flagship
 
 __all__ = ["QUERIES", "flagship"]

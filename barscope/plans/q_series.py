@@ -119,7 +119,7 @@ def w19(spark, sf):
 # Recursive averages: SQL folds the recursion, Spark uses the window form.
 
 CTES["ema_x"] = ewm_sql("x", 2 / 13, False, "holes", "y")
-CTES["sma_x"] = ewm_sql("x", 1 / 12, False, "holes", "y")
+CTES["sma_x"] = ewm_sql("x", 1 / 7, False, "holes", "y")
 
 
 def averaged(make_avg):
@@ -129,7 +129,7 @@ def averaged(make_avg):
 
 
 query("t10_ema", with_("ema_x") + f"SELECT code, {sql_shown(['d'], ['y'], digits=2)} FROM ema_x")(averaged(ema("y", "x", 12)))
-query("t11_sma", with_("sma_x") + f"SELECT code, {sql_shown(['d'], ['y'], digits=2)} FROM sma_x")(averaged(sma("y", "x", 12, 1)))
+query("t11_sma", with_("sma_x") + f"SELECT code, {sql_shown(['d'], ['y'], digits=2)} FROM sma_x")(averaged(sma("y", "x", 7, 1)))
 CTES["seeded"] = ewm_sql("x", 2 / 13, False, "holes", "y").replace(over(), over(30))
 
 

@@ -154,9 +154,29 @@ def read_list(spark: SparkSession, path: str, day=None, name: str | None = None)
     return df
 
 
+def month_of(d) -> Column:
+    """Partition value of a date, YYYYMM."""
+    d = F.lit(d).cast("date") if isinstance(d, str) else d
+    return F.year(d) * 100 + F.month(d)
+
+
+def write_ranks(ranks: DataFrame, path: str) -> None:
+    """Ranks of many dates as one table, a folder per month.
+
+    Rows are spread by (month, code), so a month is written by several tasks.
+    """
+    out = ranks.withColumn("ym", month_of(F.col("d")))
+    out.repartition("ym", F.pmod(F.hash("code"), F.lit(4))).write.mode("overwrite").partitionBy("ym").parquet(path)
+
+
 def read_ranks(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """Ranks of many dates from a table partitioned by date."""
-    return select_bars(spark.read.parquet(path), start=start, end=end)
+    """Ranks of a date range; months outside it are not read."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where(F.col("ym") >= month_of(start))
+    if end is not None:
+        df = df.where(F.col("ym") <= month_of(end))
+    return select_bars(df, start=start, end=end).drop("ym")
 
 
 def ranks_from_details(details: DataFrame, bound: int | None = None) -> DataFrame:
@@ -167,5 +187,5 @@ def ranks_from_details(details: DataFrame, bound: int | None = None) -> DataFram
 
 
 def partition_dates(df: DataFrame) -> DataFrame:
-    """Dates a partitioned table holds; only partition names are read."""
+    """Dates a stored table holds; one column is read and combined map-side."""
     return df.select("d").distinct()

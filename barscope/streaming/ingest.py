@@ -1,7 +1,7 @@
 """Increments of whole trading days, taken up as files arrive.
 
-Each micro-batch is cleaned and written to the partitions of its own dates, so a batch that is
-retried after a failure replaces what it wrote before.
+Each micro-batch is deduplicated and written to a partition of its own, so a batch that is retried
+after a failure replaces what it wrote before.  Where batches overlap, the later one counts.
 """
 
 from __future__ import annotations
@@ -15,14 +15,9 @@ from barscope.operators.clean import keep_last
 def stream_days(spark: SparkSession, landing: str, schema, table: str, checkpoint: str) -> StreamingQuery:
     """Take up all files waiting in ``landing`` and stop."""
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         rows = keep_last(batch, ["code", "d"], "seq").drop("seq")
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("d")
-            .parquet(table)
-        )
+        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return (
         spark.readStream.schema(schema)
@@ -32,3 +27,9 @@ def stream_days(spark: SparkSession, landing: str, schema, table: str, checkpoin
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_days(spark: SparkSession, table: str) -> DataFrame:
+    """The ingested bars, one row per code and date."""
+    rows = spark.read.parquet(table)
+    return keep_last(rows, ["code", "d"], "batch").drop("batch")
