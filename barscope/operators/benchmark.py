@@ -39,11 +39,13 @@ def benchmark_features(bars: DataFrame, bench: DataFrame, n: int = 20, how: str
         return F.when(F.count(cols).over(w) >= rows, value)
 
     var = F.var_samp("idx_ret").over(w)
+    # A constant window has no correlation; the built-in one would divide by zero.
+    spread = F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)
     df = df.withColumns({
         "exret_sum": enough(F.sum("exret").over(w), "exret", least),
         "rs": F.col("_ratio") / enough(F.avg("_ratio").over(w), "_ratio", least),
         "beta": enough(F.covar_samp(x, y).over(w), x, n)
         / enough(F.when(var != 0, var), "idx_ret", n),
-        "corr": enough(F.corr(x, y).over(w), x, n),
+        "corr": enough(F.covar_samp(x, y).over(w), x, n) / F.when(spread != 0, spread),
     })
     return df.drop("_held", "_ratio")
