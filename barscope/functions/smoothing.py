@@ -47,57 +47,73 @@ def sma(out: str, x: str, n: int, m: int = 1) -> Ewm:
     return Ewm(out, x, m / n)
 
 
+def block_size(averages: Sequence[Ewm]) -> int:
+    """Rows per block for which the powers of all averages stay in range."""
+    return max(1, min([int(MAX_DIGITS / _digits(a)) for a in averages if a.alpha < 1.0] or [1]))
+
+
+def _digits(a: Ewm) -> float:
+    return -math.log10(1.0 - a.alpha)
+
+
+def place(df: DataFrame, size: int) -> DataFrame:
+    """Number the bars of each series from zero and cut them into blocks."""
+    df = df.withColumn("_rn", F.row_number().over(W()) - 1)
+    return df.withColumns(
+        {"_blk": F.floor(F.col("_rn") / size), "_p": (F.col("_rn") % size).cast("double")}
+    )
+
+
 def with_ewm(df: DataFrame, averages: Sequence[Ewm]) -> DataFrame:
     """Add the averages as columns."""
-    moving = [(i, a) for i, a in enumerate(averages) if a.alpha < 1.0]
-    plain = {a.out: col(a.x) for a in averages if a.alpha >= 1.0 and a.mask}
     keep = [*df.columns, *[a.out for a in averages if a.out not in df.columns]]
+    size = block_size(averages)
+    return smooth(place(df, size), averages, size).select(*keep)
+
+
+def smooth(df: DataFrame, averages: Sequence[Ewm], size: int) -> DataFrame:
+    """The averages over bars already placed in blocks; several levels share one sort."""
+    moving = [(i, a) for i, a in enumerate(averages) if a.alpha < 1.0]
     if moving:
-        df = _blocked(df, moving)
+        df = _blocked(df, moving, size)
+    plain = {a.out: col(a.x) for a in averages if a.alpha >= 1.0}
     if plain:
         df = df.withColumns(plain)
-    for a in averages:
-        if a.alpha >= 1.0 and not a.mask:
-            held = F.last(col(a.x), ignorenulls=True)
-            df = df.withColumn(a.out, held.over(W().rowsBetween(Window.unboundedPreceding, 0)))
-    return df.select(*keep)
+    held = {
+        a.out: F.last(a.out, ignorenulls=True).over(_line().rowsBetween(Window.unboundedPreceding, 0))
+        for a in averages
+        if not a.mask
+    }
+    return df.withColumns(held) if held else df
+
 
+def _line():
+    # Same physical sort as the blocks: within a code, they follow each other in date order.
+    return Window.partitionBy("code").orderBy("_blk", "d")
 
-def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]]) -> DataFrame:
-    digits = {i: -math.log10(1.0 - a.alpha) for i, a in moving}
-    size = max(1, min(int(MAX_DIGITS / g) for g in digits.values()))
+
+def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]], size: int) -> DataFrame:
     blocks = Window.partitionBy("code", "_blk").orderBy("d")
     so_far = blocks.rowsBetween(Window.unboundedPreceding, 0)
     whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # Same physical sort as ``blocks``: within a code, blocks follow each other in date order.
-    line = Window.partitionBy("code").orderBy("_blk", "d")
+    line = _line()
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
-
-    df = df.withColumn("_rn", F.row_number().over(W()) - 1)
-    df = df.withColumns(
-        {"_blk": F.floor(F.col("_rn") / size), "_p": (F.col("_rn") % size).cast("double")}
-    )
+    base = df.columns
     valid = {i: F.col(a.x).isNotNull() for i, a in moving}
-    df = df.withColumns(
-        {
+    seeded = [(i, a) for i, a in moving if not a.adjust]
+    if seeded:
+        df = df.withColumns({
             f"_prev{i}": F.last(F.when(valid[i], F.col("_rn")), ignorenulls=True).over(earlier)
-            for i, a in moving
-            if not a.adjust
-        }
-        or {"_prev": F.lit(None).cast("int")}
-    )
-    # Log of the renormalisation after a gap of k rows; zero where there is none.
-    gaps = {}
-    for i, a in moving:
-        if not a.adjust:
+            for i, a in seeded
+        })
+        # Log of the renormalisation after a gap of k rows; zero where there is none.
+        gaps = {}
+        for i, a in seeded:
             k = F.col("_rn") - F.col(f"_prev{i}")
             g = F.log(F.pow(F.lit(1.0 - a.alpha), k) + F.lit(a.alpha))
             gaps[f"_g{i}"] = F.when(valid[i] & (k > 1), g).otherwise(F.lit(0.0))
-    if gaps:
         df = df.withColumns(gaps)
-        df = df.withColumns(
-            {f"_gap{i}": F.sum(f"_g{i}").over(so_far) for i, a in moving if not a.adjust}
-        )
+        df = df.withColumns({f"_gap{i}": F.sum(f"_g{i}").over(so_far) for i, a in seeded})
     weights = {}
     for i, a in moving:
         wgt = F.pow(F.lit(1.0 - a.alpha), -F.col("_p"))
@@ -110,34 +126,28 @@ def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]]) -> DataFrame:
     for i, a in moving:
         wx, w1 = F.col(f"_w{i}") * F.col(a.x), F.col(f"_w{i}")
         sums |= {
-            f"_S{i}": F.sum(wx).over(so_far),
-            f"_D{i}": F.sum(w1).over(so_far),
-            f"_TS{i}": F.sum(wx).over(whole),
-            f"_TD{i}": F.sum(w1).over(whole),
+            f"_num{i}": F.sum(wx).over(so_far),
+            f"_den{i}": F.sum(w1).over(so_far),
+            f"_allnum{i}": F.sum(wx).over(whole),
+            f"_allden{i}": F.sum(w1).over(whole),
         }
         if not a.adjust:
-            sums[f"_TG{i}"] = F.sum(f"_g{i}").over(whole)
+            sums[f"_allgap{i}"] = F.sum(f"_g{i}").over(whole)
     df = df.withColumns(sums)
     values = {}
     for i, a in moving:
-        num, den, decay = F.col(f"_S{i}"), F.col(f"_D{i}"), F.lit(1.0)
-        for j in range(1, math.ceil(NEGLIGIBLE_DIGITS / (size * digits[i])) + 1):
+        num, den, decay = F.col(f"_num{i}"), F.col(f"_den{i}"), F.lit(1.0)
+        for j in range(1, math.ceil(NEGLIGIBLE_DIGITS / (size * _digits(a))) + 1):
             # A block is exactly ``size`` rows, so its totals are found that many rows back.
             def back(name, j=j):
                 return F.coalesce(F.lag(name, j * size).over(line), F.lit(0.0))
 
             if not a.adjust:
-                decay = decay * F.exp(-back(f"_TG{i}"))
+                decay = decay * F.exp(-back(f"_allgap{i}"))
             carry = F.lit((1.0 - a.alpha) ** (j * size)) * decay
-            num, den = num + carry * back(f"_TS{i}"), den + carry * back(f"_TD{i}")
+            num, den = num + carry * back(f"_allnum{i}"), den + carry * back(f"_allden{i}")
         values[a.out] = F.when(valid[i], num / den)
-    df = df.withColumns(values)
-    held = {
-        a.out: F.last(a.out, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-        for _, a in moving
-        if not a.mask
-    }
-    return df.withColumns(held) if held else df
+    return df.withColumns(values).select(*base, *[a.out for _, a in moving if a.out not in base])
 
 
 def ewm_seeded(x, alpha: float, rows: int) -> Column:

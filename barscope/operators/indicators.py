@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barscope.functions import series as ts
-from barscope.functions.smoothing import Ewm, ema, sma, with_ewm
+from barscope.functions.smoothing import Ewm, block_size, ema, place, sma, smooth
 from barscope.functions.values import rnd, safe_div
 from barscope.operators.clean import keep_last, newest, union_bars
 
@@ -21,7 +21,7 @@ KDJ_EPS = 1e-9  # fixed value: replaces a zero range
 
 @dataclass(frozen=True)
 class Indicator:
-    """``value`` is computed last; ``first`` and ``second`` are levels of averages."""
+    """``first`` and ``second`` are levels of averages; with them ``value`` only combines columns."""
 
     out: str
     value: Callable[[], Column]
@@ -82,20 +82,27 @@ def cci(n: int = 14) -> Column:
 
 
 def with_indicators(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add registered indicators; the first ``warmup`` bars of a series stay missing."""
+    """Add registered indicators; the first ``warmup`` bars of a series stay missing.
+
+    Plain windows and the inputs of averages come first, then the averages level by level over one
+    further sort, then arithmetic only.
+    """
     chosen = [REGISTRY[n] for n in names]
-    base = df.columns
-    inputs = {n: fn() for ind in chosen for n, fn in ind.inputs.items()}
-    out = df.withColumns(inputs) if inputs else df
+    base = [c for c in df.columns if c not in {i.out for i in chosen}]
+    early = {n: fn() for ind in chosen for n, fn in ind.inputs.items()}
+    early |= {f"_raw_{i.out}": i.value() for i in chosen if not i.first}
+    averages = [a for i in chosen for a in (*i.first, *i.second)]
+    size = block_size(averages)
+    out = place(df.withColumns(early) if early else df, size)
     for level in ("first", "second"):
-        averages = [a for ind in chosen for a in getattr(ind, level)]
-        if averages:
-            out = with_ewm(out, averages)
-    out = out.withColumn("_rn", ts.bar_no())
-    out = out.withColumns(
-        {i.out: F.when(F.col("_rn") > i.warmup, rnd(i.value(), i.decimals)) for i in chosen}
-    )
-    return out.select(*[c for c in base if c not in {i.out for i in chosen}], *[i.out for i in chosen])
+        step = [a for i in chosen for a in getattr(i, level)]
+        out = smooth(out, step, size) if step else out
+    return out.select(*base, *[
+        F.when(
+            F.col("_rn") >= i.warmup, rnd(i.value() if i.first else F.col(f"_raw_{i.out}"), i.decimals)
+        ).alias(i.out)
+        for i in chosen
+    ])
 
 
 def indicators_incremental(history: DataFrame, new: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barscope.functions.series import W
 from barscope.functions.values import col
 
 BASE = ("o", "h", "l", "c", "v", "amount")
@@ -44,21 +45,24 @@ def resample(df: DataFrame, freq: str, keep_gaps: bool = True) -> DataFrame:
             aggs[n] = F.max_by(n, present(n))
     aggs = {n: e for n, e in aggs.items() if n in df.columns}
     names = list(aggs)
+    if keep_gaps:
+        # The next bar of the series; windowing by code first leaves the rows where the aggregation
+        # and later windows need them, so one shuffle serves all.
+        after = period_end(F.lead("d").over(W()), freq)
+        df = df.withColumn("_next", F.when(after != period_end("d", freq), after))
+        aggs["_next"] = F.max("_next")
     out = df.groupBy("code", period_end("d", freq).alias("_pe")).agg(
         *[e.alias(n) for n, e in aggs.items()]
     )
-    out = out.withColumnRenamed("_pe", "d")
     if not keep_gaps:
-        return out.select("code", "d", *names)
-    after = F.lead("d").over(Window.partitionBy("code").orderBy("d"))
+        return out.select("code", F.col("_pe").alias("d"), *names)
     if freq == "W":
-        bins = F.sequence("d", F.coalesce(F.date_sub(after, 7), F.col("d")), F.expr("interval 7 days"))
+        bins = F.sequence("_pe", F.coalesce(F.date_sub("_next", 7), F.col("_pe")), F.expr("interval 7 days"))
     else:
-        stop = F.coalesce(F.add_months(F.trunc(after, "MM"), -1), F.trunc("d", "MM"))
-        bins = F.sequence(F.trunc("d", "MM"), stop, F.expr("interval 1 month"))
-        bins = F.transform(bins, F.last_day)
-    out = out.withColumn("_bins", bins)
-    out = out.select("code", F.posexplode("_bins").alias("_k", "_d"), *names)
+        first = F.trunc("_pe", "MM")
+        stop = F.coalesce(F.add_months(F.trunc("_next", "MM"), -1), first)
+        bins = F.transform(F.sequence(first, stop, F.expr("interval 1 month")), F.last_day)
+    out = out.select("code", F.posexplode(bins).alias("_k", "_d"), *names)
     real = F.col("_k") == 0
     cols = [
         F.when(real, F.col(n)).otherwise(F.lit(0.0)).alias(n) if n in ("v", "amount")

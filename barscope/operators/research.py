@@ -61,23 +61,24 @@ def keep_frequent(hits: DataFrame, min_hits: int) -> DataFrame:
     return hits.join(F.broadcast(often.select("rule")), "rule", "left_semi")
 
 
-def rule_features(hits: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """One column per rule with its summed add, zero where it did not hit."""
-    names = list(rules)
-    out = hits.groupBy("code", "d").pivot("rule", names).agg(F.sum("add"))
-    return out.na.fill(0.0, names)
+def rule_features(hits: DataFrame, rules: Sequence[str], *more) -> DataFrame:
+    """One column per rule with its summed add, zero where it did not hit.
+
+    The rules are known, so this is one aggregation of conditional sums.
+    """
+    sums = [
+        F.coalesce(F.sum(F.when(F.col("rule") == n, F.col("add"))), F.lit(0.0)).alias(n) for n in rules
+    ]
+    return hits.groupBy("code", "d").agg(*sums, *more)
 
 
 def rule_dataset(hits: DataFrame, bars: DataFrame, rules: Sequence[str], horizons: Sequence[int], target: int,
                  min_hits: int = 1, log: bool = False) -> DataFrame:
     """Feature rows with their label ``target``; rows without a label are dropped."""
     name = f"ret_{target}d"
-    labels = forward_returns(bars, horizons, log)
-    merged = join_hits_prices(hits, labels)
-    feat = rule_features(keep_frequent(merged, min_hits), rules)
-    return feat.join(labels.select("code", "d", F.col(name).alias("target")), ["code", "d"]).where(
-        F.col("target").isNotNull()
-    )
+    merged = join_hits_prices(hits, forward_returns(bars, horizons, log).select("code", "d", name))
+    feat = rule_features(keep_frequent(merged, min_hits), rules, F.max(name).alias("target"))
+    return feat.where(F.col("target").isNotNull())
 
 
 def require_rows(df: DataFrame, least: int = MIN_ROWS) -> DataFrame:

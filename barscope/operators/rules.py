@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barscope.functions import scopes
 from barscope.functions.scopes import PER_BAR, RECENCY, effective_window, parse_scope
 from barscope.functions.values import all_of, sig
-from barscope.operators.resample import last_finished, resample
-
-Predicate = "Column | str"
-
+from barscope.operators.resample import resample
 
 @dataclass(frozen=True)
 class Clause:
@@ -147,12 +144,24 @@ def evaluate(
         before = set(periods.columns)
         periods = _results(periods, own, dates)
         cols = [c for c in periods.columns if c not in before]
-        periods = periods.select("code", F.col("d").alias("_pe"), *cols)
-        out = out.withColumn("_pe", last_finished("d", freq)).join(periods, ["code", "_pe"], "left")
-        out = out.drop("_pe")
+        out = _attach_finished(out, periods, cols)
+    verdicts = {}
     for i, rule in enumerate(rules):
-        out = out.withColumns(_verdict(f"r{i}", rule, units[i], dates))
-    return out.select(*keep, *[c for c in out.columns if c.startswith("r") and c[1:2].isdigit()])
+        verdicts |= _verdict(f"r{i}", rule, units[i], dates)
+    return out.select(*keep, *[e.alias(n) for n, e in verdicts.items()])
+
+
+def _attach_finished(days: DataFrame, periods: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Columns of the newest period that ended on or before each day.
+
+    Periods are put between the days of their series, so both sides keep their partitioning by code
+    and nothing is joined.
+    """
+    marks = periods.select("code", "d", F.struct(*cols).alias("_v"), F.lit(0).alias("_day"))
+    both = days.withColumn("_day", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("code").orderBy("d", "_day").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_day") == 1)
+    return both.select(*days.columns, "_v.*")
 
 
 def _verdict(r: str, rule: Rule, units: Sequence[_Unit], dates: bool) -> dict[str, Column]:
@@ -241,11 +250,20 @@ def prescreen(
     """
     hard = [r for r in rules if r.hard]
     seen = evaluate(bars, hard, features, dates=True, gates=merge_gates)
-    first = F.coalesce(*[
-        F.when(F.col(f"r{i}_ok"), F.struct(
-            F.lit(r.reason or r.name).alias("reason"), F.col(f"r{i}_label").alias("period")))
-        for i, r in enumerate(hard)
-    ])
+    out = seen.withColumn("_first", first_reason(hard, 0))
     base = [c for c in seen.columns if not (c.startswith("r") and c[1:2].isdigit())]
-    out = seen.withColumn("_first", first)
-    return out.select(*base, F.col("_first.reason").alias("reason"), F.col("_first.period").alias("period"))
+    return out.select(*base, "_first.reason", "_first.period")
+
+
+def first_reason(rules: Sequence[Rule], at: int) -> Column:
+    """Reason and period of the first rule that holds, for rules evaluated from place ``at`` on."""
+    return F.coalesce(*[
+        F.when(F.col(f"r{at + i}_ok"), F.struct(
+            F.lit(r.reason or r.name).alias("reason"), F.col(f"r{at + i}_label").alias("period")))
+        for i, r in enumerate(rules)
+    ])
+
+
+def with_blacklist(rules: Sequence[Rule], blacklist: Sequence[Rule]) -> list[Rule]:
+    """Both kinds of rules in one list, to be evaluated in one pass without further gate merging."""
+    return [*map(merge_gate, rules), *[replace(r, gate=None) for r in blacklist if r.hard]]

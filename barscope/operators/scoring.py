@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from barscope.functions.scopes import PER_BAR, RECENCY, parse_scope
 from barscope.functions.values import rnd
+from barscope.operators.indicators import with_indicators
 from barscope.operators.ranking import rank_within
-from barscope.operators.rules import Rule, evaluate, prescreen
+from barscope.operators.rules import Rule, evaluate, first_reason, with_blacklist
 
 BASE_SCORE, MIN_SCORE = 50.0, 0.0
 NO_J = 999999.0  # fixed value: missing tiebreak in combination lists
@@ -29,24 +30,38 @@ def score(
     floor: float = MIN_SCORE,
     blacklist: Sequence[Rule] = (),
     dates=None,
-    tiebreak: str = "j",
+    tiebreak: bool = True,
 ) -> DataFrame:
     """Score of every code on every date: base plus the adds of all rules, floored.
 
     The adds of a bar are summed in its row; no join or aggregation takes part.  ``blacklist`` rules
-    remove bars first; ``dates`` (a DataFrame of ``d``) keeps chosen dates only.
+    remove bars and are evaluated in the same pass; ``dates`` (a DataFrame of ``d``) keeps chosen
+    dates only.  The tiebreak is the indicator ``j``, computed if the features do not hold it.
     """
-    seen = evaluate(bars, rules, features)
-    if blacklist:
-        banned = prescreen(bars, blacklist, features).where(F.col("reason").isNotNull())
-        seen = seen.join(banned.select("code", "d"), ["code", "d"], "left_anti")
-    j = F.col(tiebreak) if tiebreak in seen.columns else F.lit(None).cast("double")
+    both = with_blacklist(rules, blacklist)
+    seen = evaluate(bars, both, features, gates=False)
+    if tiebreak and "j" not in seen.columns:
+        seen = with_indicators(seen, ["kdj"])
+    for i in range(len(rules), len(both)):
+        seen = seen.where(~F.col(f"r{i}_ok"))
+    j = F.col("j") if tiebreak else F.lit(None).cast("double")
     out = seen.withColumn("score", F.greatest(F.lit(base) + total_add(rules), F.lit(floor)))
     if dates is not None:
         out = out.join(F.broadcast(dates.select("d").distinct()), "d", "left_semi")
     return out.select("code", "d", "score", j.alias("j"))
 
 
+def recent_history(bars: DataFrame, calendar: DataFrame, first, rows: int) -> DataFrame:
+    """Bars from ``rows`` trading days before the first wanted date on.
+
+    The cut is a literal date, so it reaches the scan.  ``rows`` must cover the longest window;
+    averages over the full history need the full history instead.
+    """
+    past = calendar.where(F.col("d") <= F.lit(first).cast("date")).orderBy(F.col("d").desc())
+    start = past.limit(rows + 1).agg(F.min("d")).first()[0]
+    return bars if start is None else bars.where(F.col("d") >= F.lit(start))
+
+
 def sum_scores(details: DataFrame, base: float = BASE_SCORE, floor: float = MIN_SCORE) -> DataFrame:
     """Scores from stored rule records."""
     out = details.groupBy("code", "d").agg(F.sum("add").alias("_add"))
@@ -86,13 +101,16 @@ def rank_scores(scores: DataFrame, bound: int | None = None, **how) -> DataFrame
 
 
 def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=lambda df: df,
-            floor: float = MIN_SCORE, bound: int | None = None, tiebreak: str = "j") -> DataFrame:
+            floor: float = MIN_SCORE, blacklist: Sequence[Rule] = (), bound: int | None = None) -> DataFrame:
     """Add the adds of chosen rules to existing scores and rank again.
 
-    Codes without an earlier score start from nothing stored: they keep the base score.
+    Codes without an earlier score start from the base score; black-listed bars keep what they had.
     """
-    seen = evaluate(bars, rules, features).withColumn("_add", total_add(rules))
-    j = F.col(tiebreak) if tiebreak in seen.columns else F.lit(None).cast("double")
+    both = with_blacklist(rules, blacklist)
+    seen = evaluate(bars, both, features, gates=False).withColumn("_add", total_add(rules))
+    for i in range(len(rules), len(both)):
+        seen = seen.where(~F.col(f"r{i}_ok"))
+    j = F.col("j") if "j" in seen.columns else F.lit(None).cast("double")
     fresh = seen.select("code", "d", "_add", j.alias("_j"))
     both = ranks.select("code", "d", "score", "j").join(fresh, ["code", "d"], "full_outer")
     start = F.coalesce(F.col("score"), F.lit(BASE_SCORE))
@@ -100,7 +118,7 @@ def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=l
         F.greatest(start + F.col("_add"), F.lit(floor))
     )
     both = both.select("code", "d", new.alias("score"), F.coalesce("_j", "j").alias("j"))
-    return rank_scores(both, bound)
+    return rank_scores(both.where(F.col("score").isNotNull()), bound)
 
 
 def apply_rule(bars: DataFrame, rule: Rule, features=lambda df: df, dates: bool = False) -> DataFrame:
@@ -118,15 +136,16 @@ def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df
            universe: DataFrame | None = None, blacklist: Sequence[Rule] = (),
            bound: int | None = None) -> DataFrame:
     """Codes a rule selects, with their scores, ranked among the selected ones per date."""
-    hits = apply_rule(bars, rule, features).where("ok").select("code", "d")
+    both = with_blacklist([rule], blacklist)
+    hits = evaluate(bars, both, features, gates=False).where("r0_ok")
+    for i in range(1, len(both)):
+        hits = hits.where(~F.col(f"r{i}_ok"))
+    hits = hits.select("code", "d")
     if ref is not None:
         day = F.lit(ref).cast("date")
         hits, ranks = hits.where(F.col("d") == day), ranks.where(F.col("d") == day)
     if universe is not None:
         hits = hits.join(universe.select("code"), "code", "left_semi")
-    if blacklist:
-        banned = prescreen(bars, blacklist, features).where(F.col("reason").isNotNull())
-        hits = hits.join(banned.select("code", "d"), ["code", "d"], "left_anti")
     out = attach_scores(hits, ranks)
     order = [F.col("score").desc_nulls_last(), F.col("j").asc_nulls_last(), F.col("code")]
     return rank_within(out, ["d"], order, "rank", bound=bound)
@@ -134,20 +153,18 @@ def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df
 
 def screen_lists(bars: DataFrame, rule: Rule, features=lambda df: df, blacklist: Sequence[Rule] = ()):
     """White and black lists of a screen: selected codes, and the rest with the reason."""
-    seen = apply_rule(bars, rule, features, dates=True)
-    if blacklist:
-        banned = prescreen(bars, blacklist, features).select(
-            "code", "d", "reason", F.col("period").alias("_period")
-        )
-        seen = seen.join(banned, ["code", "d"], "left")
-    else:
-        seen = seen.withColumns({"reason": F.lit(None).cast("string"), "_period": F.lit(None).cast("string")})
+    both = with_blacklist([rule], blacklist)
+    seen = evaluate(bars, both, features, dates=True, gates=False)
+    seen = seen.withColumn("_first", first_reason(both[1:], 1) if both[1:] else F.lit(None))
+    reason, period = (
+        (F.col("_first.reason"), F.col("_first.period")) if both[1:] else (F.lit(None), F.lit(None))
+    )
     fail = f"screen_fail:{rule.timeframe}{rule.window}:{rule.scope}"
-    white = F.col("ok") & F.col("reason").isNull()
+    white = F.col("r0_ok") & reason.isNull()
     return seen.select(
         "code", "d", F.when(white, F.lit("white")).otherwise(F.lit("black")).alias("list"),
-        F.coalesce("_period", "label").alias("period"),
-        F.when(white, F.lit("pass")).otherwise(F.coalesce("reason", F.lit(fail))).alias("reason"),
+        F.coalesce(period, "r0_label").alias("period"),
+        F.when(white, F.lit("pass")).otherwise(F.coalesce(reason, F.lit(fail))).alias("reason"),
     )
 
 

@@ -25,10 +25,15 @@ def bars_status(bars: DataFrame) -> DataFrame:
 
 
 def details_status(details: DataFrame) -> DataFrame:
-    return details.agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("code").alias("codes"),
-        F.countDistinct("d").alias("dates"), F.min("d").alias("first"), F.max("d").alias("last"),
+    """Rows, codes, dates and range; each count combines map-side over one narrow column."""
+    one = F.lit(1).alias("_one")
+    codes = details.groupBy("code").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("codes"), one
     )
+    dates = details.select("d").distinct().agg(
+        F.count(F.lit(1)).alias("dates"), F.min("d").alias("first"), F.max("d").alias("last"), one
+    )
+    return codes.join(F.broadcast(dates), "_one").drop("_one")
 
 
 def stock_summary(details: DataFrame) -> DataFrame:

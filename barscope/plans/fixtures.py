@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from barscope.functions import series as ts
 from barscope.functions.values import rnd
-from barscope.operators.indicators import with_indicators
-from barscope.operators.resample import resample  # noqa: F401  (used by query modules)
 from barscope.operators.rules import Clause, Rule, evaluate, rule_details
 from barscope.operators.scoring import rank_scores, score
 from barscope.plans.registry import CTES, R, ewm_sql, lag, over, strict
@@ -150,10 +148,6 @@ def features(df: DataFrame) -> DataFrame:
     })
 
 
-def features_j(df: DataFrame) -> DataFrame:
-    return with_indicators(features(df), ["kdj"])
-
-
 CROSS = "ma5 > ma20 and lag(ma5) over (partition by code order by d) <= lag(ma20) over (partition by code order by d)"
 
 RULES = (
@@ -173,7 +167,7 @@ BLACKLIST = (
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score(bars(spark, sf), RULES, features_j)
+    return score(bars(spark, sf), RULES, features)
 
 
 def ranks(spark: SparkSession, sf: str) -> DataFrame:

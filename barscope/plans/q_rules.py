@@ -166,7 +166,7 @@ def w20(spark, sf):
 @query("w20_score_prescreened", with_("scores", "screened") + f"""
 SELECT s.code, {T('s.d')} AS d, s.score FROM scores s JOIN screened x ON x.code = s.code AND x.d = s.d WHERE x.reason IS NULL""")
 def w20_pre(spark, sf):
-    out = scoring.score(fx.bars(spark, sf), fx.RULES, fx.features, blacklist=fx.BLACKLIST)
+    out = scoring.score(fx.bars(spark, sf), fx.RULES, fx.features, blacklist=fx.BLACKLIST, tiebreak=False)
     return shown(out, ["d"], [], ["code", "score"])
 
 
@@ -191,7 +191,7 @@ def w22(spark, sf):
     b = fx.bars(spark, sf)
     old = b.where(F.col("d") < F.lit("2001-06-01").cast("date"))
     todo = missing_dates(fx.calendar(b), old)
-    s = scoring.score(b, fx.RULES, fx.features_j, dates=todo)
+    s = scoring.score(b, fx.RULES, fx.features, dates=todo)
     return shown(scoring.rank_scores(s, fx.n_symbols(spark, sf)), ["d"], [], ["code", "score", "j", "rank", "total"])
 
 

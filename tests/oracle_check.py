@@ -71,7 +71,7 @@ def main():
         try:
             n, err = compare(spark, con, sf, run, sqls.get(name))
         except Exception as e:  # noqa: BLE001
-            n, err = -1, "".join(traceback.format_exception_only(e))[:1500]
+            n, err = -1, "".join(traceback.format_exception_only(e))[:300]
         bad += err is not None
         kind = "ok  " if err is None else "FAIL"
         print(f"{kind} {name:34s} {n:7d} rows {time.time() - t:6.2f}s {'' if name in sqls else '(rows only)'}", flush=True)
