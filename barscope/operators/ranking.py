@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barscope.session import shared_dir
+from barscope.session import written_once
 
 ONE_TASK = 2_000_000
 
@@ -55,10 +55,9 @@ def sorted_running(
     One range-partitioned sort, written once so that every later use sees the same partitions.  Only
     per-partition totals are windowed: at most (partitions + groups) rows.
     """
-    shared_dir(df.sparkSession)
     s = df.withColumn("_wt", weight).orderBy(*[F.col(c) for c in by], *order)
     s = s.withColumns({"_pid": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    s = s.checkpoint()
+    s = written_once(s)
     part = s.groupBy(*by, "_pid").agg(F.sum("_wt").alias("_part"))
     w = Window.partitionBy(*by)
     part = part.withColumns(

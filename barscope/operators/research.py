@@ -11,6 +11,7 @@ from barscope.functions.series import W
 from barscope.functions.values import div
 from barscope.operators.clean import join_hits_prices
 from barscope.operators.ranking import rank_within
+from barscope.session import written_once
 
 RULE_SCHEMA = (
     "array<struct<name:string,scope:string,timeframe:string,score_windows:int,period:string,"
@@ -77,6 +78,8 @@ def rule_dataset(hits: DataFrame, bars: DataFrame, rules: Sequence[str], horizon
     """Feature rows with their label ``target``; rows without a label are dropped."""
     name = f"ret_{target}d"
     merged = join_hits_prices(hits, forward_returns(bars, horizons, log).select("code", "d", name))
+    # Read twice: once to count the rules, once to keep the frequent ones.
+    merged = written_once(merged)
     feat = rule_features(keep_frequent(merged, min_hits), rules, F.max(name).alias("target"))
     return feat.where(F.col("target").isNotNull())
 

@@ -98,10 +98,15 @@ NEXT: dict[str, NextValue] = {
 }
 
 
-def last_state(bars: DataFrame, indicator: str) -> DataFrame:
+def next_value(indicator: str) -> NextValue:
+    """Only registered indicators that depend on the price can be solved for."""
     if indicator not in REGISTRY or indicator not in NEXT:
         raise ValueError(f"no closed form for indicator {indicator!r}")
-    return last_bars(NEXT[indicator].state(bars.select("code", "d", "o", "h", "l", "c", "v")))
+    return NEXT[indicator]
+
+
+def last_state(bars: DataFrame, indicator: str) -> DataFrame:
+    return last_bars(next_value(indicator).state(bars.select("code", "d", "o", "h", "l", "c", "v")))
 
 
 def candidate_prices(c, points: int = GRID_POINTS, span: float = GRID_RANGE) -> Column:
@@ -122,7 +127,7 @@ def _report(df: DataFrame, tolerance: float) -> DataFrame:
 
 def reverse_price_grid(bars: DataFrame, indicator: str, target: float, tolerance: float = 1e-6) -> DataFrame:
     """The grid price whose indicator is nearest the target; the first of equals."""
-    value = NEXT[indicator].value
+    value = next_value(indicator).value
     tried = F.transform(
         candidate_prices("c"),
         lambda x, i: F.struct(F.abs(value(x) - target).alias("error"), i.alias("i"), x.alias("price"),
@@ -135,7 +140,7 @@ def reverse_price_grid(bars: DataFrame, indicator: str, target: float, tolerance
 
 def reverse_price_bisect(bars: DataFrame, indicator: str, target: float, tolerance: float = 1e-6) -> DataFrame:
     """Bisection on the close, for indicators that rise with it."""
-    value = NEXT[indicator].value
+    value = next_value(indicator).value
     start = F.struct((F.col("c") * BOUND_LOW).alias("lo"), (F.col("c") * BOUND_HIGH).alias("hi"))
 
     def halve(acc, _):

@@ -9,6 +9,7 @@ from barscope.operators import clean, research
 from barscope.plans import fixtures as fx
 from barscope.plans import q_rules  # noqa: F401  (defines the SQL of stored records)
 from barscope.plans.registry import CTES, R, T, WIN, out_num, query, shown, with_
+from barscope.session import written_once
 
 NAMES = [r.name for r in fx.RULES]
 
@@ -103,6 +104,6 @@ def m5(spark, sf):
 @query("m6_rule_importance")
 def m6(spark, sf):
     """Boosted trees have no SQL form; the tests check that an informative rule comes first."""
-    parts = research.split_time(dataset(spark, sf), 0.2, fx.n_symbols(spark, sf)).persist()
+    parts = written_once(research.split_time(dataset(spark, sf), 0.2, fx.n_symbols(spark, sf)))
     train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
     return research.rule_importance(train, test, NAMES, rounds=3)

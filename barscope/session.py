@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", app: str = "barscope") -> SparkSession:
@@ -16,9 +16,15 @@ def local_session(cpus: str = "8", app: str = "barscope") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        # A rule set compiles to more classes than the default cache holds.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # Plans have thousands of columns built from Python; call sites are not recorded for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # One partition per core: window work is CPU-bound long before a partition is large.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,3 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared folder, for results that several steps read.
+
+    Unlike a cache this survives the loss of executors.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
