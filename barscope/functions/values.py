@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Divisor guard, limit-up fractions by board.
@@ -188,10 +188,10 @@ def limit_up_pct(code, any_st=None) -> Column:
     return board if any_st is None else F.when(sig(any_st), F.lit(LIMIT_ST)).otherwise(board)
 
 
-def name_has_st(name, key: str = "code") -> Column:
-    """Whether any row of the series carries ST in its name."""
+def mark_st(df: DataFrame, name: str, key: str = "code", out: str = "any_st") -> DataFrame:
+    """Add whether any row of the key carries ST in its name."""
     hit = F.coalesce(col(name).rlike(r"(?i)\*?ST"), F.lit(False))
-    return F.max(hit).over(Window.partitionBy(key))
+    return df.join(df.groupBy(key).agg(F.max(hit).alias(out)), key)
 
 
 def filter_concepts(text, blacklist: Sequence[str] = ()) -> Column:

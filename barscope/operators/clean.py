@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barscope.functions.series import W
 from barscope.functions.values import col, parse_day, rnd, to_number
+from barscope.operators.ranking import previous
 
 NUMERIC = (
     "o", "h", "l", "c", "pre_close", "change", "pct_chg", "v", "amount", "tor",
@@ -21,14 +22,26 @@ def normalize_date(df: DataFrame, name: str = "d") -> DataFrame:
     return df.withColumn(name, parse_day(name)).dropna(subset=[name])
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key, the one that arrived last.
+FIXED_WIDTH = ("double", "float", "bigint", "int", "smallint", "tinyint", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
+def pick(df: DataFrame, keys: Sequence[str], order: str, by=F.max_by) -> DataFrame:
+    """One row per key, chosen by the greatest (or, with ``min_by``, least) ``order``.
 
     An aggregation rather than a row number: copies combine before the shuffle, however many.
+    Columns of fixed width are picked one by one, so the aggregation hashes and need not sort.
     """
     rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return last.select(*keys, "_row.*").select(*df.columns)
+    if all(t in FIXED_WIDTH or t.startswith("decimal") for c, t in df.dtypes if c in rest):
+        out = df.groupBy(*keys).agg(*[by(c, order).alias(c) for c in rest])
+    else:
+        out = df.groupBy(*keys).agg(by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+    return out.select(*df.columns)
+
+
+def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row per key, the one that arrived last."""
+    return pick(df, keys, order)
 
 
 def _numeric(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
@@ -41,13 +54,16 @@ def _numeric(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
     )
 
 
-def fill_changes(df: DataFrame, order=None) -> DataFrame:
-    """Fill pre_close, change and pct_chg where missing; present values stay as they are."""
-    w = W() if order is None else Window.partitionBy("code").orderBy(order)
+def fill_changes(df: DataFrame, prev_close: str | None = None) -> DataFrame:
+    """Fill pre_close, change and pct_chg where missing; present values stay as they are.
+
+    The previous close is that of the preceding bar, unless a column already holds it.
+    """
+    prev = F.lag("c").over(W()) if prev_close is None else F.col(prev_close)
     for name in ("pre_close", "change", "pct_chg"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("double"))
-    df = df.withColumn("pre_close", F.coalesce("pre_close", F.lag("c").over(w)))
+    df = df.withColumn("pre_close", F.coalesce("pre_close", prev))
     df = df.withColumn("change", F.coalesce("change", F.col("c") - F.col("pre_close")))
     pct = F.col("change") / F.nullif(F.col("pre_close"), F.lit(0.0)) * 100
     return df.withColumn("pct_chg", F.coalesce("pct_chg", pct))
@@ -64,7 +80,8 @@ def clean_bars(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 def clean_index_bars(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Index bars: two decimals throughout, and changes filled in order of arrival before dedupe."""
-    df = fill_changes(_numeric(df, {}), seq)
+    df = previous(_numeric(df, {}), "code", seq, "c")
+    df = fill_changes(df, "_previous").drop("_previous")
     return keep_last(normalize_date(df), ["code", "d"], seq).drop(seq)
 
 
@@ -101,7 +118,7 @@ def tail_window(df: DataFrame, ref: Column | str, n: int) -> DataFrame:
 def apply_universe(df: DataFrame, universe, lists: DataFrame | None = None) -> DataFrame:
     """Keep the codes of a universe: 'all', the name of a list, a sequence or a DataFrame of codes."""
     if isinstance(universe, DataFrame):
-        return df.join(universe.select("code"), "code", "left_semi")
+        return df.join(universe.select("code").distinct(), "code", "left_semi")
     if not isinstance(universe, str):
         return df.where(F.col("code").isin(list(universe)))
     if universe == "all":
@@ -119,7 +136,8 @@ def union_bars(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def code_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("code").distinct().join(b.select("code"), "code", "left_anti")
+    # Both sides combine to one row per code before they are shuffled.
+    return a.select("code").distinct().join(b.select("code").distinct(), "code", "left_anti")
 
 
 def code_common(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -47,38 +47,56 @@ def rank_within(
     return df.withColumn(total, F.count(F.lit(1)).over(w)) if total else df
 
 
-def sorted_running(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: Column, before: str, total: str
-) -> DataFrame:
-    """Add the weight that precedes each row in its group's order, and the group's total weight.
+def _sorted_once(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows sorted across the cluster and written, with their partition and their place in it.
 
-    One range-partitioned sort, written once so that every later use sees the same partitions.  Only
-    per-partition totals are windowed: at most (partitions + groups) rows.
+    Written, because a second run of the sort could cut the partitions elsewhere.
     """
-    s = df.withColumn("_wt", weight).orderBy(*[F.col(c) for c in by], *order)
-    s = s.withColumns({"_pid": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    s = written_once(s)
-    part = s.groupBy(*by, "_pid").agg(F.sum("_wt").alias("_part"))
+    s = df.orderBy(*order)
+    return written_once(s.withColumns({"_pid": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+
+
+def _bases(parts: DataFrame, by: Sequence[str], total: str) -> DataFrame:
+    """What precedes each partition's share of a group; at most (partitions + groups) rows."""
     w = Window.partitionBy(*by)
-    part = part.withColumns(
-        {
-            "_base": F.coalesce(
-                F.sum("_part").over(w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-            total: F.sum("_part").over(w),
-        }
-    ).drop("_part")
+    earlier = w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_part").over(earlier), F.lit(0))
+    return parts.withColumns({"_base": base, total: F.sum("_part").over(w)}).drop("_part")
+
+
+def _place_sorted(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, total: str | None) -> DataFrame:
+    """Places from one sort; a group lies in neighbouring rows, so its rows are counted by place."""
+    s = _sorted_once(df, [*map(F.col, by), *order])
+    parts = s.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_part"), F.min("_id").alias("_lo"))
+    s = s.join(_bases(parts, by, total or "_total"), [*by, "_pid"])
+    place = (F.col("_base") + F.col("_id") - F.col("_lo") + 1).cast("int")
+    return s.withColumn(out, place).drop("_pid", "_id", "_base", "_lo", "_total")
+
+
+def sorted_running(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str, before: str
+) -> DataFrame:
+    """Add the weight that precedes each row in its group's order."""
+    s = _sorted_once(df, [*map(F.col, by), *order])
+    parts = s.groupBy(*by, "_pid").agg(F.sum(weight).alias("_part"))
     inside = Window.partitionBy("_pid", *by).orderBy("_id")
-    s = s.withColumn("_in", F.sum("_wt").over(inside) - F.col("_wt"))
-    s = s.join(part, [*by, "_pid"])
-    return s.withColumn(before, F.col("_base") + F.col("_in")).drop("_pid", "_id", "_base", "_in", "_wt")
+    s = s.withColumn("_in", F.sum(weight).over(inside) - F.col(weight))
+    s = s.join(_bases(parts, by, "_total"), [*by, "_pid"])
+    return s.withColumn(before, F.col("_base") + F.col("_in")).drop("_pid", "_id", "_base", "_in", "_total")
 
 
-def _place_sorted(df, by, order, out, total):
-    name = total or "_total"
-    s = sorted_running(df, by, order, F.lit(1), out, name).withColumn(out, (F.col(out) + 1).cast("int"))
-    return s if total else s.drop(name)
+def previous(df: DataFrame, key: str, order: str, name: str, one_task: int = ONE_TASK) -> DataFrame:
+    """Add ``_previous``: the value of the preceding row of the key, for keys with any number of rows."""
+    w = Window.partitionBy(key).orderBy(order)
+    if largest_group(df, [key]) <= one_task:
+        return df.withColumn("_previous", F.lag(name).over(w))
+    s = _sorted_once(df, [F.col(key), F.col(order)])
+    last = s.groupBy(key, "_pid").agg(F.max_by(name, "_id").alias("_end"))
+    edge = F.lag("_end").over(Window.partitionBy(key).orderBy("_pid"))
+    s = s.join(last.select(key, "_pid", edge.alias("_edge")), [key, "_pid"])
+    inside = Window.partitionBy("_pid", key).orderBy("_id")
+    value = F.when(F.row_number().over(inside) == 1, F.col("_edge")).otherwise(F.lag(name).over(inside))
+    return s.withColumn("_previous", value).drop("_pid", "_id", "_edge")
 
 
 def average_rank(
@@ -103,8 +121,8 @@ def average_rank(
     else:
         # One row per distinct value, so the sort carries weights instead of the ties.
         hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-        hist = sorted_running(hist, by, [order], F.col("_n"), "_lo", "_all")
-        hist = hist.withColumn("_mean", F.col("_lo") + (F.col("_n") + 1) / 2).drop("_n", "_lo", "_all")
+        hist = sorted_running(hist, by, [order], "_n", "_lo")
+        hist = hist.withColumn("_mean", F.col("_lo") + (F.col("_n") + 1) / 2).drop("_n", "_lo")
         best = hist.groupBy(*by).agg(F.max("_mean").alias("_top"))
         df = df.join(hist, [*by, value], "left").join(best, list(by), "left")
         top = F.col("_top")

@@ -142,7 +142,8 @@ SELECT p_partkey, CASE WHEN max(regexp_matches(p_name, '(?i)\\*?st')::INT) OVER
   WHEN n LIKE '%.BJ' THEN 0.295::DOUBLE WHEN left(n, 3) IN ('300', '301', '688', '689') THEN 0.195::DOUBLE ELSE 0.095::DOUBLE END AS pct FROM normal""")
 def p6(spark, sf):
     df = spelled(spark, sf).withColumns({"n": val.normalize_code("code"), "grp": F.substring("six", 1, 3)})
-    st = val.name_has_st("p_name", "grp") & (F.col("p_partkey") % 2 == 0)
+    df = val.mark_st(df, "p_name", "grp")
+    st = F.col("any_st") & (F.col("p_partkey") % 2 == 0)
     return df.select("p_partkey", val.limit_up_pct("n", st).alias("pct"))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barscope.operators.clean import head_tail
+from barscope.operators.clean import head_tail, pick
 
 INLINE_CODES = 100  # longer code lists are joined instead of written into the filter
 
@@ -103,6 +103,9 @@ def write(df: DataFrame, path: str, mode: str = "replace", partition_by: Sequenc
         df = df.select(*[c for c in have if c in df.columns])
     elif mode != "replace":
         raise ValueError(f"unknown mode {mode!r}")
+    if partition_by:
+        # Rows of a folder come together, and a large folder is still split over several tasks.
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("append" if mode == "append" else "overwrite").partitionBy(*partition_by).parquet(path)
 
 
@@ -130,9 +133,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFr
 
 def lowest_rank(updates: DataFrame, keys: Sequence[str] = ("code", "d")) -> DataFrame:
     """Rank updates with one row per key, the lowest rank winning."""
-    rest = [c for c in updates.columns if c not in keys]
-    best = updates.groupBy(*keys).agg(F.min_by(F.struct(*rest), "rank").alias("_r"))
-    return best.select(*keys, "_r.*").select(*updates.columns)
+    return pick(updates, keys, "rank", F.min_by)
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
@@ -161,12 +162,8 @@ def month_of(d) -> Column:
 
 
 def write_ranks(ranks: DataFrame, path: str) -> None:
-    """Ranks of many dates as one table, a folder per month.
-
-    Rows are spread by (month, code), so a month is written by several tasks.
-    """
-    out = ranks.withColumn("ym", month_of(F.col("d")))
-    out.repartition("ym", F.pmod(F.hash("code"), F.lit(4))).write.mode("overwrite").partitionBy("ym").parquet(path)
+    """Ranks of many dates as one table, a folder per month."""
+    write(ranks.withColumn("ym", month_of(F.col("d"))), path, partition_by=["ym"])
 
 
 def read_ranks(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:

@@ -55,6 +55,15 @@ def test_average_rank_of_missing_values(spark):
         assert got == {"a": 1.5, "b": 1.5, "e": 2.0, "f": 1.0}
 
 
+def test_previous_row_across_partitions(spark):
+    """A hot key spread over several sort partitions, with missing values in between."""
+    from barscope.operators.ranking import previous
+
+    rows = [("hot" if i % 4 else f"k{i % 3}", i, float(i) if i % 7 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "code string, seq int, c double").repartition(7)
+    assert as_set(previous(df, "code", "seq", "c", one_task=100)) == as_set(previous(df, "code", "seq", "c"))
+
+
 def test_group_size_is_checked(skewed):
     plain = rank_within(skewed, ["d"], [F.col("code")], "n", bound=10)
     assert "spark_partition_id" not in plain._jdf.queryExecution().toString()
