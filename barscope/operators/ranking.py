@@ -42,9 +42,13 @@ def rank_within(
         bound = largest_group(df, by)
     if bound > one_task:
         return _place_sorted(df, by, order, out, total)
-    w = Window.partitionBy(*by)
-    df = df.withColumn(out, F.row_number().over(w.orderBy(*order)))
-    return df.withColumn(total, F.count(F.lit(1)).over(w)) if total else df
+    w = Window.partitionBy(*by).orderBy(*order)
+    cols = {out: F.row_number().over(w)}
+    if total:
+        # Same ordering as the rank, so both come from one pass over the group.
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        cols[total] = F.count(F.lit(1)).over(whole)
+    return df.withColumns(cols)
 
 
 def _sorted_once(df: DataFrame, order: Sequence[Column]) -> DataFrame:
