@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barscope.llm import q_bpe, q_quality  # noqa: F401
+from barscope.llm import q_bpe, q_licences, q_quality  # noqa: F401
 from barscope.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
