@@ -225,21 +225,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     return Index(terms, idf, rows, share)
 
 
+def _scores(index, part, data, offsets):
+    """Score and evidence of every text of a part of a batch."""
+    d, t, c = _vocabulary_counts(data, offsets, index.terms)
+    cut = np.searchsorted(d, np.arange(part.num_rows + 1))
+    none = (float(index.without), [], [])
+    return [index.score(t[a:b], c[a:b]) if b > a else none for a, b in zip(cut[:-1], cut[1:])]
+
+
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """Per row: doc_id, score, and the closest examples with their similarities as evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index = shared.value
         for batch in batches:
             for part, data, offsets in K.slices(batch):
-                d, t, c = _vocabulary_counts(data, offsets, index.terms)
-                cut = np.searchsorted(d, np.arange(part.num_rows + 1))
-                found = [
-                    index.score(t[a:b], c[a:b]) if b > a else (float(index.without), [], [])
-                    for a, b in zip(cut[:-1], cut[1:])
-                ]
-                scores, ids, sims = zip(*found)
+                scores, ids, sims = zip(*_scores(shared.value, part, data, offsets))
                 out = [
                     part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())),
                     pa.array(sims, pa.list_(pa.float64())),
@@ -248,3 +249,16 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
     return rows.mapInArrow(run, "doc_id long, score double, evidence array<long>, similarities array<double>")
+
+
+def accepted(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in K.slices(batch, "__t"):
+                kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets)], pa.bool_())
+                yield part.filter(kept).drop_columns(["__t"])
+
+    return docs.withColumn("__t", text_of()).mapInArrow(run, docs.schema)
