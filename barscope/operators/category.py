@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barscope.functions.values import rnd
-from barscope.operators.ranking import rank_within
+from barscope.operators.ranking import rank_within, steps
 
 
 def time_weights(n: int, mode: str = "none", half_life: float = 5.0, linear_min: float = 0.3) -> list[float]:
@@ -66,9 +66,9 @@ def _weights(spark, values: list[float], name: str) -> DataFrame:
 
 
 def category_rank(ranks: DataFrame, span: DataFrame, mode: str = "strength", min_hits: int = 1,
-                  top_n: int = 200, top_m: int | None = None, weights: str = "none",
+                  top_n: int | None = None, top_m: int | None = None, weights: str = "none",
                   half_life: float = 5.0, linear_min: float = 0.3) -> DataFrame:
-    """Aggregate the ranks of the span's dates into one list.
+    """Aggregate the ranks of the span's dates into one list, whole or its first ``top_n`` places.
 
     Weights run over all dates of the span, with ranks or without.
     """
@@ -79,19 +79,19 @@ def category_rank(ranks: DataFrame, span: DataFrame, mode: str = "strength", min
     need = max(1, min(min_hits, n))
     inside = ranks.join(F.broadcast(days), "d")
     if mode == "hits":
-        out = hit_counts(inside.where(F.col("rank") <= top_n), need)
-        return out.orderBy(*hits_order()).limit(top_n)
+        out = hit_counts(inside.where(F.col("rank") <= top_n) if top_n else inside, need).orderBy(*hits_order())
+        return out.limit(top_n) if top_n else out
     if top_m:
         inside = inside.where(F.col("rank") <= top_m)
     w = _weights(ranks.sparkSession, time_weights(n, weights, half_life, linear_min), "_i")
     inside = inside.withColumn("_i", F.col("idx") - 1).join(F.broadcast(w), "_i")
-    return rank_strength(inside, need).orderBy(*strength_order()).limit(top_n)
+    out = rank_strength(inside, need).orderBy(*strength_order())
+    return out.limit(top_n) if top_n else out
 
 
 def category_rank_rolling(ranks: DataFrame, calendar: DataFrame, n: int, min_hits: int = 1,
-                          top_n: int = 200, top_m: int | None = None, mode: str = "strength",
-                          weights: str = "none", half_life: float = 5.0, linear_min: float = 0.3,
-                          bound: int | None = None) -> DataFrame:
+                          top_n: int | None = None, top_m: int | None = None, mode: str = "strength",
+                          weights: str = "none", half_life: float = 5.0, linear_min: float = 0.3) -> DataFrame:
     """The list of every end date over its last ``n`` trading days, with the place in the list.
 
     Each rank row goes to the (at most ``n``) end dates it counts for and is combined map-side by
@@ -119,7 +119,9 @@ def category_rank_rolling(ranks: DataFrame, calendar: DataFrame, n: int, min_hit
         out, order = rank_strength(rows, 1, ("end_d", "span")), strength_order()
     need = F.greatest(F.lit(1), F.least(F.lit(min_hits), F.col("span")))
     out = out.where(F.col("hits") >= need).drop("span")
-    return rank_within(out, ["end_d"], order, "place", bound=bound).where(F.col("place") <= top_n)
+    head = steps(F.col("hits"), 1, ascending=False) if mode == "hits" else steps(F.col("strength"), 0.25, ascending=False)
+    out = rank_within(out, ["end_d"], order, [head], "place")
+    return out.where(F.col("place") <= top_n) if top_n else out
 
 
 def category_codes(lists: DataFrame, ref) -> DataFrame:

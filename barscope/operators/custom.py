@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barscope.operators.scoring import NO_J
+from barscope.operators.ranking import rank_within
+from barscope.operators.scoring import NO_J, coarse_order
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def selects(combo: Combination, names: Column) -> Column:
 
 
 def custom_rank(details: DataFrame, scores: DataFrame, combo: Combination, top_n: int | None = None) -> DataFrame:
-    """Codes and dates the combination selects, with the triggered rules and their dates.
+    """Codes and dates the combination selects, with the triggered rules and their dates; ``top_n`` of each date.
 
     Grouped per code and date over at most as many records as there are rules.
     """
@@ -62,7 +63,9 @@ def custom_rank(details: DataFrame, scores: DataFrame, combo: Combination, top_n
     out = out.where(~F.col("_out") & selects(combo, F.col("triggered"))).drop("_out")
     out = out.join(scores.select("code", "d", "score", "j"), ["code", "d"])
     out = out.withColumn("j", F.coalesce("j", F.lit(NO_J)))
-    return out.orderBy(*custom_order()).limit(top_n) if top_n else out
+    if top_n:
+        out = rank_within(out, ["d"], custom_order(), coarse_order(), "_place").where(F.col("_place") <= top_n).drop("_place")
+    return out
 
 
 def custom_order() -> list[Column]:

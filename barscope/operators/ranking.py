@@ -1,10 +1,10 @@
-"""Ranks within groups of any size.
+"""Ranks within groups of any size, by one plan.
 
-A date's cross-section grows with the number of codes, so ranking it in one window task has a limit.
-Up to ``ONE_TASK`` rows per group the plain window is used; beyond it the rows are sorted across the
-cluster by (group, order), which splits even one hot group, and each partition's place is added.
-Both ways give the same ranks; ``bound`` is a proven upper limit of rows per group, and where the
-caller has none the groups are counted.
+A date's cross-section grows with the number of codes, so it is not ranked in one window task. Rows are
+dealt by the group and an order-preserving bucket of the sort keys (``steps`` of a number, the first letters of a
+code); the place inside the bucket comes from a window there, the rows in earlier buckets from the buckets'
+sizes, a small table whose size per group depends on the steps and not on the rows. Both read the same
+shuffle. Nothing is counted, written or broadcast beforehand.
 """
 
 from __future__ import annotations
@@ -14,122 +14,93 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barscope.session import written_once
+LAST = float("inf")
 
-ONE_TASK = 2_000_000
 
+def steps(x: Column, size: float | None = None, ascending: bool = True) -> Column:
+    """A number's step in the order asked for, missing values last: of a fixed width, or 8 to each doubling."""
+    x = x.cast("double")
+    if size is None:
+        x = F.floor(F.signum(x) * F.log2(F.abs(x) * 2.0**20 + 1) * 8)
+    else:
+        x = F.floor(x / size)
+    x = x.cast("double")
+    return F.coalesce(x if ascending else -x, F.lit(LAST))
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group (counted with a map-side combine)."""
-    counts = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
-    return counts.agg(F.max("count")).first()[0] or 0
 
+def letters(x: Column, n: int = 7) -> Column:
+    """The first letters of a code."""
+    return F.coalesce(F.substring(x, 1, n), F.lit(""))
 
-def rank_within(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    out: str = "rank",
-    total: str | None = None,
-    bound: int | None = None,
-    one_task: int = ONE_TASK,
-) -> DataFrame:
-    """Add the 1-based place of each row in its group, and optionally the group's size.
 
-    ``order`` must be a total order within the group.
-    """
-    if bound is None:
-        bound = largest_group(df, by)
-    if bound > one_task:
-        return _place_sorted(df, by, order, out, total)
-    w = Window.partitionBy(*by).orderBy(*order)
-    cols = {out: F.row_number().over(w)}
-    if total:
-        # Same ordering as the rank, so both come from one pass over the group.
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        cols[total] = F.count(F.lit(1)).over(whole)
-    return df.withColumns(cols)
-
-
-def _sorted_once(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rows sorted across the cluster and written, with their partition and their place in it.
-
-    Written, because a second run of the sort could cut the partitions elsewhere.
-    """
-    s = df.orderBy(*order)
-    return written_once(s.withColumns({"_pid": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+def _bucketed(df: DataFrame, coarse: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    names = [f"_b{i}" for i in range(len(coarse))]
+    return df.withColumns(dict(zip(names, coarse))), names
 
 
-def _bases(parts: DataFrame, by: Sequence[str], total: str) -> DataFrame:
-    """What precedes each partition's share of a group; at most (partitions + groups) rows."""
-    w = Window.partitionBy(*by)
-    earlier = w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("_part").over(earlier), F.lit(0))
-    return parts.withColumns({"_base": base, total: F.sum("_part").over(w)}).drop("_part")
+def _earlier(buckets: DataFrame, by: Sequence[str], names: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """For each bucket the sum over earlier buckets of its group, and further columns over all of them."""
+    w = Window.partitionBy(*by).orderBy(*names)
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = buckets.withColumn("_before", before)
+    return out.withColumns({n: e.over(whole) for n, e in sums.items()}).select(*by, *names, "_before", *sums)
 
 
-def _place_sorted(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, total: str | None) -> DataFrame:
-    """Places from one sort; a group lies in neighbouring rows, so its rows are counted by place."""
-    s = _sorted_once(df, [*map(F.col, by), *order])
-    parts = s.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_part"), F.min("_id").alias("_lo"))
-    s = s.join(_bases(parts, by, total or "_total"), [*by, "_pid"])
-    place = (F.col("_base") + F.col("_id") - F.col("_lo") + 1).cast("int")
-    return s.withColumn(out, place).drop("_pid", "_id", "_base", "_lo", "_total")
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], coarse: Sequence[Column], out: str = "rank",
+                total: str | None = None) -> DataFrame:
+    """Add the 1-based place of each row in its group, and optionally the group's size.
 
+    ``order`` must be a total order within the group; ``coarse`` are its first keys, ascending, all but the last exact and the
+    last one in steps or letters.
+    """
+    rows, names = _bucketed(df, coarse)
+    w = Window.partitionBy(*by, *names).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_k": F.row_number().over(w), "_n": F.count(F.lit(1)).over(whole)})
+    buckets = _earlier(rows.where("_k = 1"), by, names, {total: F.sum("_n")} if total else {})
+    rows = rows.join(buckets, [*by, *names])
+    return rows.withColumn(out, (F.col("_before") + F.col("_k")).cast("int")).select(*df.columns, out, *([total] if total else []))
 
-def sorted_running(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str, before: str
-) -> DataFrame:
-    """Add the weight that precedes each row in its group's order."""
-    s = _sorted_once(df, [*map(F.col, by), *order])
-    parts = s.groupBy(*by, "_pid").agg(F.sum(weight).alias("_part"))
-    inside = Window.partitionBy("_pid", *by).orderBy("_id")
-    s = s.withColumn("_in", F.sum(weight).over(inside) - F.col(weight))
-    s = s.join(_bases(parts, by, "_total"), [*by, "_pid"])
-    return s.withColumn(before, F.col("_base") + F.col("_in")).drop("_pid", "_id", "_base", "_in", "_total")
 
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, up: str | None = None, down: str | None = None,
+                  total: str | None = None, size: float | None = None) -> DataFrame:
+    """Ranks with ties averaged, from the smallest value (``up``) or from the largest (``down``), and the group's size.
 
-def previous(df: DataFrame, key: str, order: str, name: str, one_task: int = ONE_TASK) -> DataFrame:
+    Missing values get the integer part of the highest rank plus one, and so does all of a group without any value.
+    """
+    rows, names = _bucketed(df, [steps(F.col(value), size)])
+    w = Window.partitionBy(*by, *names).orderBy(value)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    known = F.col(value).isNotNull()
+    rows = rows.withColumns({"_k": F.row_number().over(w), "_mean": F.rank().over(w) + (peers - 1) / 2})
+    rows = rows.withColumns({"_n": F.count(value).over(whole), "_low": F.min("_mean").over(whole), "_high": F.max("_mean").over(whole), "_rows": F.count(F.lit(1)).over(whole)})
+    buckets = rows.where(F.col("_k") == 1).withColumn("_edges", F.when(known, F.struct(F.col("_b0").alias("at"), "_low", "_high", "_n")))
+    sums = {"_size": F.sum("_n"), "_first": F.min("_edges"), "_last": F.max("_edges")}
+    sums |= {total: F.sum("_rows")} if total else {}
+    rows = rows.join(_earlier(buckets, by, names, sums), [*by, *names])
+    mean, size = F.col("_before") + F.col("_mean"), F.col("_size")
+    highest = {
+        "up": size - F.col("_last._n") + F.col("_last._high"),
+        "down": size + 1 - F.col("_first._low"),
+    }
+    for name, side in ((up, "up"), (down, "down")):
+        if name:
+            rank = mean if side == "up" else size + 1 - mean
+            missing = F.floor(F.coalesce(highest[side], F.lit(0.0))) + 1
+            rows = rows.withColumn(name, F.when(known, rank).otherwise(missing.cast("double")))
+    return rows.select(*df.columns, *[n for n in (up, down, total) if n])
+
+
+def previous(df: DataFrame, key: str, order: str, name: str, size: float = 1024) -> DataFrame:
     """Add ``_previous``: the value of the preceding row of the key, for keys with any number of rows."""
-    w = Window.partitionBy(key).orderBy(order)
-    if largest_group(df, [key]) <= one_task:
-        return df.withColumn("_previous", F.lag(name).over(w))
-    s = _sorted_once(df, [F.col(key), F.col(order)])
-    last = s.groupBy(key, "_pid").agg(F.max_by(name, "_id").alias("_end"))
-    edge = F.lag("_end").over(Window.partitionBy(key).orderBy("_pid"))
-    s = s.join(last.select(key, "_pid", edge.alias("_edge")), [key, "_pid"])
-    inside = Window.partitionBy("_pid", key).orderBy("_id")
-    value = F.when(F.row_number().over(inside) == 1, F.col("_edge")).otherwise(F.lag(name).over(inside))
-    return s.withColumn("_previous", value).drop("_pid", "_id", "_edge")
-
-
-def average_rank(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    out: str,
-    ascending: bool = True,
-    bound: int | None = None,
-    one_task: int = ONE_TASK,
-) -> DataFrame:
-    """Rank with ties averaged; missing values get the integer part of the highest rank plus one."""
-    if bound is None:
-        bound = largest_group(df, by)
-    order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    if bound <= one_task:
-        w = Window.partitionBy(*by)
-        peers = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        mean = F.rank().over(w.orderBy(order)) + (peers - 1) / 2
-        df = df.withColumn("_mean", F.when(F.col(value).isNotNull(), mean))
-        top = F.max("_mean").over(w)
-    else:
-        # One row per distinct value, so the sort carries weights instead of the ties.
-        hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-        hist = sorted_running(hist, by, [order], "_n", "_lo")
-        hist = hist.withColumn("_mean", F.col("_lo") + (F.col("_n") + 1) / 2).drop("_n", "_lo")
-        best = hist.groupBy(*by).agg(F.max("_mean").alias("_top"))
-        df = df.join(hist, [*by, value], "left").join(best, list(by), "left")
-        top = F.col("_top")
-    n = F.floor(F.coalesce(top, F.lit(0.0))) + 1
-    df = df.withColumn(out, F.coalesce(F.col("_mean"), n.cast("double")))
-    return df.drop("_mean", "_top")
+    rows, (b,) = _bucketed(df, [steps(F.col(order), size)])
+    w = Window.partitionBy(key, b).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_k": F.row_number().over(w), "_inside": F.lag(name).over(w), "_end": F.last(name).over(whole)})
+    edge = F.lag("_end").over(Window.partitionBy(key).orderBy(b))
+    buckets = rows.where("_k = 1").select(key, b, edge.alias("_edge"))
+    rows = rows.join(buckets, [key, b])
+    value = F.when(F.col("_k") == 1, F.col("_edge")).otherwise(F.col("_inside"))
+    return rows.withColumn("_previous", value).select(*df.columns, "_previous")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barscope.functions.series import W
 from barscope.functions.values import div
 from barscope.operators.clean import join_hits_prices
-from barscope.operators.ranking import rank_within
+from barscope.operators.ranking import letters, rank_within
 from barscope.session import written_once
 
 RULE_SCHEMA = (
@@ -91,7 +91,7 @@ def require_rows(df: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     return df
 
 
-def time_position(df: DataFrame, bound: int | None = None) -> DataFrame:
+def time_position(df: DataFrame, prefix: int = 7) -> DataFrame:
     """0-based place by (d, code) over the whole table, and the number of rows.
 
     The rows before a date come from counts per date; only the place within a date is ranked.
@@ -102,22 +102,22 @@ def time_position(df: DataFrame, bound: int | None = None) -> DataFrame:
         "_before": F.coalesce(before, F.lit(0)),
         "n": F.sum("_n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
-    placed = rank_within(df, ["d"], [F.col("code")], "_k", bound=bound)
+    placed = rank_within(df, ["d"], [F.col("code")], [letters(F.col("code"), prefix)], "_k")
     out = placed.join(F.broadcast(days.drop("_n")), "d")
     return out.withColumn("pos", F.col("_before") + F.col("_k") - 1).drop("_before", "_k")
 
 
-def split_time(df: DataFrame, ratio: float = 0.2, bound: int | None = None) -> DataFrame:
+def split_time(df: DataFrame, ratio: float = 0.2, prefix: int = 7) -> DataFrame:
     """Mark rows as train or test by time: the newest ``ratio`` of rows is the test part."""
-    out = time_position(df, bound)
+    out = time_position(df, prefix)
     cut = F.floor(F.col("n") * F.lit(1.0 - ratio))
     part = F.when(F.col("pos") < cut, F.lit("train")).otherwise(F.lit("test"))
     return out.withColumn("part", part).drop("pos", "n")
 
 
-def split_folds(df: DataFrame, ratio: float, folds: int, bound: int | None = None) -> DataFrame:
+def split_folds(df: DataFrame, ratio: float, folds: int) -> DataFrame:
     """Expanding folds: each trailing test block with all rows before it as its train part."""
-    out = time_position(df, bound)
+    out = time_position(df)
     k = max(1, folds)
     size = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(ratio)))
     marks = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barscope.functions.scopes import PER_BAR, RECENCY, parse_scope
 from barscope.functions.values import rnd
 from barscope.operators.indicators import with_indicators
-from barscope.operators.ranking import rank_within
+from barscope.operators.ranking import LAST, letters, rank_within, steps
 from barscope.operators.rules import Rule, evaluate, first_reason, with_blacklist
 
 BASE_SCORE, MIN_SCORE = 50.0, 0.0
@@ -91,17 +91,23 @@ def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.col("j").asc_nulls_last(), F.col("code")]
 
 
-def rank_scores(scores: DataFrame, bound: int | None = None, **how) -> DataFrame:
-    """Rank per date by score, tiebreak (missing last) and code; the score is rounded afterwards.
+def coarse_order() -> list[Column]:
+    """The rank order in buckets: the score itself, as rules add up to few values, then the tiebreak in steps.
 
-    ``bound`` limits the codes of a date, for instance by the number of listed symbols.
+    Only where the tiebreak is missing does the code come next, so only there its first letters count.
     """
-    out = rank_within(scores, ["d"], rank_order(), "rank", "total", bound, **how)
+    score = F.coalesce(-F.col("score").cast("double"), F.lit(LAST))
+    return [score, steps(F.col("j"), 20), F.when(F.col("j").isNull(), letters(F.col("code"))).otherwise(F.lit(""))]
+
+
+def rank_scores(scores: DataFrame) -> DataFrame:
+    """Rank per date by score, tiebreak (missing last) and code; the score is rounded afterwards."""
+    out = rank_within(scores, ["d"], rank_order(), coarse_order(), "rank", "total")
     return out.withColumn("score", rnd("score", 3))
 
 
 def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=lambda df: df,
-            floor: float = MIN_SCORE, blacklist: Sequence[Rule] = (), bound: int | None = None) -> DataFrame:
+            floor: float = MIN_SCORE, blacklist: Sequence[Rule] = ()) -> DataFrame:
     """Add the adds of chosen rules to existing scores and rank again.
 
     Codes without an earlier score start from the base score; black-listed bars keep what they had.
@@ -118,7 +124,7 @@ def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=l
         F.greatest(start + F.col("_add"), F.lit(floor))
     )
     both = both.select("code", "d", new.alias("score"), F.coalesce("_j", "j").alias("j"))
-    return rank_scores(both.where(F.col("score").isNotNull()), bound)
+    return rank_scores(both.where(F.col("score").isNotNull()))
 
 
 def apply_rule(bars: DataFrame, rule: Rule, features=lambda df: df, dates: bool = False) -> DataFrame:
@@ -133,8 +139,7 @@ def apply_rule(bars: DataFrame, rule: Rule, features=lambda df: df, dates: bool
 
 
 def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df, ref=None,
-           universe: DataFrame | None = None, blacklist: Sequence[Rule] = (),
-           bound: int | None = None) -> DataFrame:
+           universe: DataFrame | None = None, blacklist: Sequence[Rule] = ()) -> DataFrame:
     """Codes a rule selects, with their scores, ranked among the selected ones per date."""
     both = with_blacklist([rule], blacklist)
     hits = evaluate(bars, both, features, gates=False).where("r0_ok")
@@ -148,7 +153,7 @@ def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df
         hits = hits.join(universe.select("code"), "code", "left_semi")
     out = attach_scores(hits, ranks)
     order = [F.col("score").desc_nulls_last(), F.col("j").asc_nulls_last(), F.col("code")]
-    return rank_within(out, ["d"], order, "rank", bound=bound)
+    return rank_within(out, ["d"], order, coarse_order())
 
 
 def screen_lists(bars: DataFrame, rule: Rule, features=lambda df: df, blacklist: Sequence[Rule] = ()):

@@ -199,12 +199,12 @@ def run_prediction(bars: DataFrame, checks: Sequence[tuple[str, Column | str, Sc
 
 def predict_ranking(bars: DataFrame, scenario: Scenario, rules: Sequence[Rule],
                     features: Callable[[DataFrame], DataFrame] = lambda df: df,
-                    overrides: DataFrame | None = None, bound: int | None = None) -> DataFrame:
+                    overrides: DataFrame | None = None) -> DataFrame:
     """Scores and ranks of the simulated date."""
     sim = bars.agg(next_day(F.max("d"))).first()[0]
     df = simulate_next(bars, scenario, overrides, ["kdj"], sim)
     out = score(df, rules, features).where(F.col("d") == F.lit(sim))
-    return rank_scores(out, bound)
+    return rank_scores(out)
 
 
 def position_checks(bars: DataFrame, positions: DataFrame, policies: Sequence[tuple[str, Column | str, str]],

@@ -71,11 +71,6 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(spark.createDataFrame([("S999999999", "Unlisted", 0)], "code string, name string, area int"))
 
 
-def n_symbols(spark: SparkSession, sf: str) -> int:
-    """Upper bound of a date's cross-section, from file metadata."""
-    return load(spark, sf, "supplier").count()
-
-
 def calendar(b: DataFrame) -> DataFrame:
     from barscope.operators.calendar import trade_dates
 
@@ -171,7 +166,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranks(spark: SparkSession, sf: str) -> DataFrame:
-    return rank_scores(scores(spark, sf), n_symbols(spark, sf))
+    return rank_scores(scores(spark, sf))
 
 
 def details(spark: SparkSession, sf: str) -> DataFrame:

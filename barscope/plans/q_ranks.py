@@ -8,7 +8,7 @@ from barscope.functions.values import day_text
 from barscope.operators import benchmark, category, crosssection as xs
 from barscope.operators import calendar as cal
 from barscope.operators.custom import Combination, custom_rank
-from barscope.operators.ranking import average_rank
+from barscope.operators.ranking import average_ranks
 from barscope.plans import fixtures as fx
 from barscope.plans import q_rules  # noqa: F401  (defines the SQL of stored records)
 from barscope.plans.q_sources import plain_ranks
@@ -28,44 +28,58 @@ def avg_rank_sql(value: str, direction: str = "") -> str:
 CTES["rv"] = f"SELECT code, d, {avg_rank_sql('v')} AS r FROM bars"
 
 
-def vol_rank(name, k, cut, **how):
+def vol_rank(name, k, cut, size=None):
     @query(name, with_("rv") + f"SELECT code, {T('d')} AS d, {R(cut, 2)} AS rv FROM rv")
     def run(spark, sf):
-        out = xs.rank_vol(fx.bars(spark, sf), k, fx.n_symbols(spark, sf), **how)
+        out = xs.rank_vol(fx.bars(spark, sf), k, size)
         return shown(out.withColumn("rv", finite("rv")), ["d"], ["rv"], ["code"], 2)
 
 
 vol_rank("w25_rank_vol", None, "r")
+vol_rank("w25_rank_vol_sorted", None, "r", 1.0)
 vol_rank("w25_rank_vol_k", 10, "CASE WHEN r > 10 THEN 1e9 ELSE r END")
-vol_rank("w25_rank_vol_sorted", None, "r", one_task=10)
 
 CTES["rets"] = f"""
-SELECT code, d, c / nullif(pc, 0) - 1 AS ret FROM (SELECT code, d, c, {lag('c')} AS pc, idx, {lag('idx')} AS pi FROM bars JOIN cal USING (d)) WHERE pi = idx - 1 AND pc <> 0"""
-CTES["top5"] = "SELECT code, d, ret FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ret DESC, code) AS n FROM rets) WHERE n <= 5"
+SELECT code, d, idx, CASE WHEN pi = idx - 1 THEN c / nullif(pc, 0) - 1 END AS ret FROM (SELECT code, d, c, {lag('c')} AS pc, idx, {lag('idx')} AS pi FROM bars JOIN cal USING (d))"""
+# Every code of a date: a missing return ranks after the last; the first date has no ranks.
+CTES["in_all"] = "SELECT *, true AS inside FROM rets"
+CTES["in_top5"] = "SELECT *, row_number() OVER (PARTITION BY d ORDER BY ret DESC NULLS LAST, code) <= 5 AS inside FROM rets"
+
+
+def ret_rank_sql(source: str, direction: str) -> str:
+    mean = (
+        f"CASE WHEN ret IS NOT NULL THEN rank() OVER (PARTITION BY d, inside ORDER BY ret {direction} NULLS LAST)"
+        " + (count(*) OVER (PARTITION BY d, inside, ret) - 1) / 2.0 END"
+    )
+    return (
+        f"SELECT code, d, CASE WHEN inside AND idx > 1 THEN coalesce(m, floor(coalesce(max(m) OVER (PARTITION BY d, inside), 0)) + 1) END AS r"
+        f" FROM (SELECT *, {mean} AS m FROM {source})"
+    )
 
 
 def ret_rank(name, side, k, source):
-    r = avg_rank_sql("ret", "DESC" if side == "up" else "")
+    inner = ret_rank_sql(source, "DESC" if side == "up" else "ASC")
 
-    @query(name, with_(source) + f"SELECT code, {T('d')} AS d, {R(r, 2)} AS r FROM {source}")
+    @query(name, with_(source) + f"SELECT code, {T('d')} AS d, {R(f'coalesce(CASE WHEN r > {k or 10**9} THEN 1e9 ELSE r END, 1e9)', 2)} AS r FROM ({inner})")
     def run(spark, sf):
         b = fx.bars(spark, sf)
-        out = xs.rank_ret(b, fx.calendar(b), side, k, fx.n_symbols(spark, sf))
+        out = xs.rank_ret(b, fx.calendar(b), side, k)
         return shown(out.withColumn("r", finite("r")), ["d"], ["r"], ["code"], 2)
 
 
-ret_rank("w26_rank_ret_up", "up", None, "rets")
-ret_rank("w26_rank_ret_down", "down", None, "rets")
-ret_rank("w26_rank_ret_top", "up", 5, "top5")
+ret_rank("w26_rank_ret_up", "up", None, "in_all")
+ret_rank("w26_rank_ret_down", "down", None, "in_all")
+ret_rank("w26_rank_ret_top", "up", 5, "in_top5")
+ret_rank("w26_rank_ret_top_down", "down", 5, "in_top5")
 
 
-@query("w27_match_coef", with_("rv", "rets") + f"""
-SELECT v.code, {T('v.d')} AS d, {R("least(greatest(n / greatest(least(coalesce(u.r_up, 'inf'::DOUBLE) * greatest(1.0, n + 1 - v.r), coalesce(u.r_dn, 'inf'::DOUBLE) * v.r), 1.0), 0.0), 1.0)", 4)} AS coef
-FROM (SELECT *, count(*) OVER (PARTITION BY d) AS n FROM rv) v LEFT JOIN (
-SELECT code, d, {avg_rank_sql('ret', 'DESC')} AS r_up, {avg_rank_sql('ret')} AS r_dn FROM rets) u ON u.code = v.code AND u.d = v.d""")
+@query("w27_match_coef", with_("rv", "in_all") + f"""
+SELECT v.code, {T('v.d')} AS d, {R("least(greatest(n / greatest(least(coalesce(u.r, 'inf'::DOUBLE) * greatest(1.0, n + 1 - v.r), coalesce(w.r, 'inf'::DOUBLE) * v.r), 1.0), 0.0), 1.0)", 4)} AS coef
+FROM (SELECT *, count(*) OVER (PARTITION BY d) AS n FROM rv) v JOIN ({ret_rank_sql('in_all', 'DESC')}) u ON u.code = v.code AND u.d = v.d
+JOIN ({ret_rank_sql('in_all', 'ASC')}) w ON w.code = v.code AND w.d = v.d""")
 def w27(spark, sf):
     b = fx.bars(spark, sf)
-    out = xs.rank_match_coef(b, fx.calendar(b), None, fx.n_symbols(spark, sf))
+    out = xs.rank_match_coef(b, fx.calendar(b))
     return shown(out, ["d"], ["coef"], ["code"], 4)
 
 
@@ -75,7 +89,7 @@ SELECT code, d, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY d ORDER B
 FROM (SELECT *, CASE WHEN v <= 40 THEN v END AS x FROM bars))""")
 def n12(spark, sf):
     df = fx.bars(spark, sf).select("code", "d", F.when(F.col("v") <= 40, F.col("v")).alias("x"))
-    return shown(average_rank(df, ["d"], "x", "r", bound=fx.n_symbols(spark, sf)), ["d"], ["r"], ["code"], 2)
+    return shown(average_ranks(df, ["d"], "x", up="r"), ["d"], ["r"], ["code"], 2)
 
 
 # Benchmark features, with a benchmark that lacks a third of the dates.
@@ -212,7 +226,7 @@ FROM rolling WHERE hits >= greatest(1, least(2, span))"""
 def rolling(spark, sf):
     b = fx.bars(spark, sf)
     return category.category_rank_rolling(plain_ranks(spark, sf), fx.calendar(b), 10, min_hits=2, top_n=30, top_m=15,
-                                          weights="exp", half_life=7.0, bound=fx.n_symbols(spark, sf))
+                                          weights="exp", half_life=7.0)
 
 
 @query("w33_rolling", with_("placed") + f"""

@@ -81,15 +81,15 @@ CTES["placed_rows"] = "SELECT code, d, row_number() OVER (ORDER BY d, code) - 1
 SELECT code, {T('d')} AS d, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM placed_rows""")
 def m4(spark, sf):
     b = fx.bars(spark, sf).select("code", "d")
-    return shown(research.split_time(b, 0.2, fx.n_symbols(spark, sf)), ["d"], [], ["code", "part"])
+    return shown(research.split_time(b, 0.2), ["d"], [], ["code", "part"])
 
 
 @query("m4_split_time_sorted", with_("placed_rows") + f"""
 SELECT code, {T('d')} AS d, CASE WHEN pos < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM placed_rows""")
 def m4_sorted(spark, sf):
-    """The same split when a date is taken to be too large for one task."""
+    """The same split with each date cut into finer parts."""
     b = fx.bars(spark, sf).select("code", "d")
-    return shown(research.split_time(b, 0.2, 10**9), ["d"], [], ["code", "part"])
+    return shown(research.split_time(b, 0.2, prefix=9), ["d"], [], ["code", "part"])
 
 
 @query("m5_folds", with_("placed_rows") + f"""
@@ -98,12 +98,12 @@ SELECT p.*, i AS fold, n - (2 - i) * size AS e, n - (2 - i) * size - size AS s F
   SELECT *, greatest(1, floor(n * 0.2::DOUBLE))::BIGINT AS size FROM placed_rows) p CROSS JOIN (SELECT unnest([0, 1, 2]) AS i)) WHERE s > 0 AND pos < e""")
 def m5(spark, sf):
     b = fx.bars(spark, sf).select("code", "d")
-    return shown(research.split_folds(b, 0.2, 3, fx.n_symbols(spark, sf)), ["d"], [], ["code", "fold", "part"])
+    return shown(research.split_folds(b, 0.2, 3), ["d"], [], ["code", "fold", "part"])
 
 
 @query("m6_rule_importance")
 def m6(spark, sf):
     """Boosted trees have no SQL form; the tests check that an informative rule comes first."""
-    parts = written_once(research.split_time(dataset(spark, sf), 0.2, fx.n_symbols(spark, sf)))
+    parts = written_once(research.split_time(dataset(spark, sf), 0.2))
     train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
     return research.rule_importance(train, test, NAMES, rounds=3)

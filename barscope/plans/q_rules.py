@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barscope.functions import scopes
-from barscope.functions.values import day_text
+from barscope.functions.values import day_text, rnd
+from barscope.operators.ranking import rank_within, steps
 from barscope.operators import research, rules as rl, scoring
 from barscope.operators.calendar import missing_dates
 from barscope.operators.clean import apply_universe
@@ -180,8 +181,10 @@ def flagship(spark, sf):
 
 @query("w21_rank_sorted", with_("ranks") + f"SELECT {RANK_COLS} FROM ranks")
 def w21_sorted(spark, sf):
-    """The same ranks by a sort across the cluster, as taken for cross-sections beyond one task."""
-    out = scoring.rank_scores(fx.scores(spark, sf), bound=fx.n_symbols(spark, sf), one_task=10)
+    """The same ranks with other steps: the result doesn't depend on how a date is cut."""
+    fine = [-F.col("score"), steps(F.col("j"), 0.5)]
+    out = rank_within(fx.scores(spark, sf), ["d"], scoring.rank_order(), fine, "rank", "total")
+    out = out.withColumn("score", rnd("score", 3))
     return shown(out, ["d"], [], ["code", "score", "j", "rank", "total"])
 
 
@@ -192,7 +195,7 @@ def w22(spark, sf):
     old = b.where(F.col("d") < F.lit("2001-06-01").cast("date"))
     todo = missing_dates(fx.calendar(b), old)
     s = scoring.score(b, fx.RULES, fx.features, dates=todo)
-    return shown(scoring.rank_scores(s, fx.n_symbols(spark, sf)), ["d"], [], ["code", "score", "j", "rank", "total"])
+    return shown(scoring.rank_scores(s), ["d"], [], ["code", "score", "j", "rank", "total"])
 
 
 CTES["rescored"] = """
@@ -206,7 +209,7 @@ def w23(spark, sf):
     b = fx.bars(spark, sf)
     old = b.where(F.col("v") > 10).select("code", "d", F.col("v").alias("score"), F.lit(None).cast("double").alias("j"))
     chosen = [fx.RULES[0], fx.RULES[3]]
-    out = scoring.rescore(old, b, chosen, fx.features, bound=fx.n_symbols(spark, sf))
+    out = scoring.rescore(old, b, chosen, fx.features)
     return shown(out, ["d"], [], ["code", "score", "rank"])
 
 
@@ -220,7 +223,7 @@ WHERE h.r1 AND h.code IN (SELECT code FROM lists WHERE list = 'white')"""
 def w24(spark, sf):
     ranks = plain_ranks(spark, sf).where(F.col("rank") <= 15)
     white = fx.lists(spark, sf).where(F.col("list") == "white")
-    out = scoring.screen(fx.bars(spark, sf), fx.RULES[1], ranks, fx.features, universe=white, bound=fx.n_symbols(spark, sf))
+    out = scoring.screen(fx.bars(spark, sf), fx.RULES[1], ranks, fx.features, universe=white)
     return shown(out, ["d"], [], ["code", "score", "j", "rank"])
 
 

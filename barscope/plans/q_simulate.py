@@ -206,7 +206,7 @@ FROM gain_h h JOIN gk_j k USING (code, d) WHERE h.sim"""
 @query("x10_predict_ranking", with_("gain_score", "simday") + f"""
 SELECT code, {T('d')} AS d, score, j, CAST(row_number() OVER (ORDER BY score DESC, j NULLS LAST, code) AS INTEGER) AS rank, count(*) OVER () AS total FROM gain_score""")
 def x10(spark, sf):
-    out = sim.predict_ranking(fx.bars(spark, sf), GAIN, PRED_RULES, fx.features, bound=fx.n_symbols(spark, sf))
+    out = sim.predict_ranking(fx.bars(spark, sf), GAIN, PRED_RULES, fx.features)
     return shown(out, ["d"], [], ["code", "score", "j", "rank", "total"])
 
 

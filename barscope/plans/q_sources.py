@@ -45,7 +45,7 @@ def store(spark, sf) -> str:
 def plain_ranks(spark, sf):
     """Ranks by volume: a cheap stand-in for full scores."""
     s = fx.bars(spark, sf).select("code", "d", F.col("v").alias("score"), F.col("c").alias("j"))
-    return rank_scores(s, fx.n_symbols(spark, sf))
+    return rank_scores(s)
 
 
 def rank_store(spark, sf) -> str:
@@ -156,7 +156,7 @@ def s12(spark, sf):
     b = fx.bars(spark, sf)
     b.select("code", "d", F.col("v").alias("score"), F.col("c").alias("tiebreak")).write.json(path)
     records = tables.load_table(spark, path, "json", "code string, d date, score double, tiebreak double")
-    return shown(tables.ranks_from_details(records, fx.n_symbols(spark, sf)), ["d"], [], ["code", "score", "rank", "total"])
+    return shown(tables.ranks_from_details(records), ["d"], [], ["code", "score", "rank", "total"])
 
 
 @query("s13_load_json", with_("bars") + f"SELECT {BARS_SQL} FROM bars")

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from barscope.operators.clean import head_tail, pick
 
-INLINE_CODES = 100  # longer code lists are joined instead of written into the filter
-
 
 def adj_filter(adj: str | None, asset: str = "stock") -> Column:
     """Adjustment rows to read: index series are stored as 'ind'; an unknown kind means qfq or raw."""
@@ -26,7 +24,10 @@ def adj_filter(adj: str | None, asset: str = "stock") -> Column:
 
 def select_bars(df: DataFrame, codes=None, start=None, end=None, columns: Sequence[str] | None = None,
                 adj: str | None = None, asset: str = "stock") -> DataFrame:
-    """Bars by codes (a list or a DataFrame), date range, adjustment and columns."""
+    """Bars by codes, date range, adjustment and columns.
+
+    A list of codes becomes part of the scan's filter; codes of a table are joined.
+    """
     if adj is not None or asset == "index":
         df = df.where(adj_filter(adj, asset))
     if start is not None:
@@ -35,9 +36,6 @@ def select_bars(df: DataFrame, codes=None, start=None, end=None, columns: Sequen
         df = df.where(F.col("d") <= F.lit(end).cast("date"))
     if isinstance(codes, DataFrame):
         df = df.join(codes.select("code"), "code", "left_semi")
-    elif codes is not None and len(codes) > INLINE_CODES:
-        listed = df.sparkSession.createDataFrame([(c,) for c in codes], "code string")
-        df = df.join(listed, "code", "left_semi")
     elif codes is not None:
         df = df.where(F.col("code").isin(list(codes)))
     return df.select(*columns) if columns else df
@@ -176,11 +174,11 @@ def read_ranks(spark: SparkSession, path: str, start=None, end=None) -> DataFram
     return select_bars(df, start=start, end=end).drop("ym")
 
 
-def ranks_from_details(details: DataFrame, bound: int | None = None) -> DataFrame:
+def ranks_from_details(details: DataFrame) -> DataFrame:
     """Rank table from detail records, for instance JSON files of one record per code and date."""
     from barscope.operators.scoring import rank_scores
 
-    return rank_scores(details.select("code", "d", "score", F.col("tiebreak").alias("j")), bound)
+    return rank_scores(details.select("code", "d", "score", F.col("tiebreak").alias("j")))
 
 
 def partition_dates(df: DataFrame) -> DataFrame:

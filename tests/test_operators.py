@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barscope.functions import series as ts
 from barscope.operators import category, crosssection, quality, research, solver
 from barscope.operators.indicators import with_indicators
-from barscope.operators.ranking import average_rank, rank_within
+from barscope.operators.ranking import average_ranks, previous, rank_within, steps
 from barscope.operators.resample import last_finished, resample
 from barscope.operators.rules import Clause, Rule, evaluate, rule_details
 from barscope.operators.scoring import rank_scores, recent_history, score
@@ -35,40 +35,66 @@ def as_set(df):
     return {tuple(r) for r in df.select(*sorted(df.columns)).collect()}
 
 
-def test_sorted_ranks_equal_window_ranks(skewed):
-    assert as_set(rank_scores(skewed, one_task=10)) == as_set(rank_scores(skewed))
+def test_ranks_of_a_skewed_date_equal_pandas(skewed):
+    got = {r.code: (r.rank, r.total) for r in rank_scores(skewed).collect()}
+    pdf = skewed.toPandas().sort_values(["score", "j", "code"], ascending=[False, True, True], na_position="last")
+    pdf["rank"] = pdf.groupby("d").cumcount() + 1
+    pdf["total"] = pdf.groupby("d").code.transform("count")
+    assert got == {c: (r, t) for c, r, t in zip(pdf.code, pdf["rank"], pdf.total)}
 
 
-def test_sorted_average_ranks_equal_pandas(skewed):
-    for up in (True, False):
-        got = {(r.code): r.r for r in average_rank(skewed, ["d"], "score", "r", up, one_task=10).collect()}
-        pdf = skewed.toPandas()
-        want = pdf.groupby("d").score.rank(method="average", ascending=up)
-        assert got == dict(zip(pdf.code, want))
-        assert got == {r.code: r.r for r in average_rank(skewed, ["d"], "score", "r", up).collect()}
+def test_ranks_do_not_depend_on_the_steps(skewed):
+    want = as_set(rank_scores(skewed))
+    order = [F.col("score").desc(), F.col("j").asc_nulls_last(), F.col("code")]
+    for coarse in ([steps(F.col("score"), 100, ascending=False)], [-F.col("score"), steps(F.col("j"), 0.1)]):
+        assert as_set(rank_within(skewed, ["d"], order, coarse, "rank", "total")) == want
+
+
+def test_average_ranks_of_a_skewed_date_equal_pandas(skewed):
+    got = {r.code: r for r in average_ranks(skewed, ["d"], "score", "up", "down", "n").collect()}
+    pdf = skewed.toPandas()
+    groups = pdf.groupby("d").score
+    for side, up in (("up", True), ("down", False)):
+        assert {c: r[side] for c, r in got.items()} == dict(zip(pdf.code, groups.rank(method="average", ascending=up)))
+    assert {c: r.n for c, r in got.items()} == dict(zip(pdf.code, groups.transform("count")))
 
 
 def test_average_rank_of_missing_values(spark):
-    df = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 5.0), ("e", 1, None), ("f", 2, None)], "code string, d int, x double")
-    for limit in (100, 1):
-        got = {r.code: r.r for r in average_rank(df, ["d"], "x", "r", one_task=limit).collect()}
-        assert got == {"a": 1.5, "b": 1.5, "e": 2.0, "f": 1.0}
+    rows = [("a", 1, 5.0), ("b", 1, 5.0), ("c", 1, -3.0), ("e", 1, None), ("f", 2, None), ("g", 2, None)]
+    got = {r.code: (r.up, r.down) for r in average_ranks(spark.createDataFrame(rows, "code string, d int, x double"), ["d"], "x", "up", "down").collect()}
+    assert got == {"a": (2.5, 1.5), "b": (2.5, 1.5), "c": (1.0, 3.0), "e": (3.0, 4.0), "f": (1.0, 1.0), "g": (1.0, 1.0)}
 
 
-def test_previous_row_across_partitions(spark):
-    """A hot key spread over several sort partitions, with missing values in between."""
-    from barscope.operators.ranking import previous
+def test_steps_keep_the_order(spark):
+    values = [float("-inf"), -1e9, -5.0, -0.1, -1e-5, 0.0, 1e-7, 0.1, 0.10001, 5.0, 1e9, float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for size in (None, 0.25):
+        got = [r.s for r in df.select(steps(F.col("x"), size).alias("s"), "i").orderBy("i").collect()]
+        assert got == sorted(got)
 
+
+def test_previous_row_across_buckets(spark):
+    """A hot key spread over several buckets, with missing values in between."""
     rows = [("hot" if i % 4 else f"k{i % 3}", i, float(i) if i % 7 else None) for i in range(4000)]
     df = spark.createDataFrame(rows, "code string, seq int, c double").repartition(7)
-    assert as_set(previous(df, "code", "seq", "c", one_task=100)) == as_set(previous(df, "code", "seq", "c"))
+    got = {(r.code, r.seq): r._previous for r in previous(df, "code", "seq", "c", size=100).collect()}
+    want, last = {}, {}
+    for code, seq, c in rows:
+        want[code, seq] = last.get(code)
+        last[code] = c
+    assert got == want
 
 
-def test_group_size_is_checked(skewed):
-    plain = rank_within(skewed, ["d"], [F.col("code")], "n", bound=10)
-    assert "spark_partition_id" not in plain._jdf.queryExecution().toString()
-    counted = rank_within(skewed, ["d"], [F.col("code")], "n", one_task=100)
-    assert as_set(counted.select("code", "n")) == as_set(plain.select("code", "n"))
+def test_missing_returns_rank_last(spark, series):
+    """The second code has no bar on the first of two dates."""
+    day = dt.date(2024, 1, 2)
+    bars = spark.createDataFrame([("a", day, 1.0, 5.0), ("a", day + dt.timedelta(1), 2.0, 6.0), ("b", day + dt.timedelta(1), 3.0, 7.0)], "code string, d date, c double, v double")
+    cal = spark.createDataFrame([(day, 1), (day + dt.timedelta(1), 2)], "d date, idx int")
+    for side in ("up", "down"):
+        got = {(r.code, r.d.day): r.r for r in crosssection.rank_ret(bars, cal, side).collect()}
+        assert got == {("a", 2): float("inf"), ("a", 3): 1.0, ("b", 3): 2.0}
+    coef = {(r.code, r.d.day): r.coef for r in crosssection.rank_match_coef(bars, cal).collect()}
+    assert coef == {("a", 2): 0.0, ("a", 3): 1.0, ("b", 3): 1.0}
 
 
 DAYS = [dt.date(2024, 12, 20), dt.date(2024, 12, 23), dt.date(2024, 12, 31), dt.date(2025, 1, 1), dt.date(2025, 1, 27), dt.date(2025, 2, 28), dt.date(2025, 3, 1)]

@@ -42,10 +42,15 @@ def test_all_indicators_take_one_shuffle_and_two_sorts(bars):
 def test_scoring_all_dates_takes_one_shuffle_per_timeframe_and_no_join(bars):
     from barscope.operators.scoring import rank_scores, score
 
-    df = rank_scores(score(bars, fx.RULES, fx.features), bound=100)
-    assert "Join" not in plan(df)
-    # Day bars by code, week bars by code, ranks by date.
-    assert shuffles(df) == 3
+    scored = score(bars, fx.RULES, fx.features)
+    assert "Join" not in plan(scored)
+    # Day bars by code, week bars by code.
+    assert shuffles(scored) == 2
+    # Ranks add one shuffle of the bars, which the bucket sizes read again, and none by date alone.
+    df = rank_scores(scored)
+    df.write.format("noop").mode("overwrite").save()
+    text = plan(df)
+    assert not re.search(r"Exchange hashpartitioning\(d#\d+, \d+\)[^\n]*\n[^\n]*Window", text)
 
 
 def test_rank_windows_are_partitioned(spark):
