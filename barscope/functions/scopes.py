@@ -13,18 +13,32 @@ from barscope.functions.values import col, sig
 
 PER_BAR = ("EACH", "PERBAR", "EACH_TRUE")
 RECENCY = ("RECENT", "DIST", "NEAR")
-_COUNTED = re.compile(r"^(COUNT>=|CONSEC>=|ANY_|ALL_)(\d+)$")
+# Spellings of the counted scopes.
+_SPELLED = ((re.compile(r"^(COUNT|CONSEC)(?:>=|=|≥|＝)(\d+)$"), ">="), (re.compile(r"^(ANY|ALL)[_-]?(\d+)$"), "_"))
 
 
 def parse_scope(scope: str) -> tuple[str, int]:
-    """Kind of scope and its number, e.g. ``('CONSEC>=', 3)``; unknown scopes are refused."""
-    s = (scope or "ANY").upper().replace(" ", "")
+    """Kind of scope and its number, e.g. ``('CONSEC>=', 3)``; unknown scopes are refused.
+
+    ``COUNT = 3`` and ``COUNT≥3`` are ``COUNT>=3``; ``ANY3``, ``ANY-3`` and ``ANY 3`` are ``ANY_3``.
+    """
+    s = "".join((scope or "ANY").upper().split())
     if s in ("LAST", "ANY", "ALL", *PER_BAR, *RECENCY):
         return s, 0
-    m = _COUNTED.match(s)
-    if not m or int(m.group(2)) < 1:
-        raise ValueError(f"unknown scope {scope!r}")
-    return m.group(1), int(m.group(2))
+    for form, ending in _SPELLED:
+        m = form.match(s)
+        if m and int(m.group(2)) >= 1:
+            return m.group(1) + ending, int(m.group(2))
+    raise ValueError(f"unknown scope {scope!r}")
+
+
+def scope_or_any(scope: str) -> str:
+    """The scope if it is known, else ``ANY``: for rules from files that must not stop a run."""
+    try:
+        parse_scope(scope)
+    except ValueError:
+        return "ANY"
+    return scope
 
 
 def effective_window(scope: str, window: int, bins: Sequence[tuple] = ()) -> int:

@@ -151,42 +151,49 @@ def price_if(cond, lookback: int, c="c") -> Column:
     return F.when(sig(cond) & (bar_no() > lookback), col(c))
 
 
-def any_tag(tags: Sequence[str], pattern: str, shift: int = 0) -> Column:
-    """Whether any boolean tag column whose name matches the pattern is set, ``shift`` bars ago."""
-    return tag_hits(tags, pattern, shift) > 0
+def _named(names: Sequence[str], pattern: str) -> list[str]:
+    """Names that hold the pattern, a regular expression if it has such signs; case doesn't matter."""
+    p = pattern.strip()
+    if re.search(r"[.^$*+?{}\[\]|()]", p):
+        return [n for n in names if re.search(p, n, re.IGNORECASE)]
+    return [n for n in names if p.lower() in n.lower()]
 
 
-def matching_tags(tags: Sequence[str], pattern: str) -> list[str]:
-    """Names in an exact bucket if there is one, else regex or substring matches."""
-    bucket = [t for t in tags if t.split("::")[0] == pattern]
-    if bucket:
-        return bucket
-    if re.search(r"[.^$*+?{}\[\]\\|()]", pattern):
-        return [t for t in tags if re.search(pattern, t)]
-    return [t for t in tags if pattern in t]
+def _set_count(names: Sequence[str], shift: int) -> Column:
+    n = reduce(lambda a, b: a + b, [sig(F.col(f"`{t}`").cast("boolean")).cast("int") for t in names], F.lit(0))
+    return n if shift == 0 else F.coalesce(F.lag(n, shift).over(W()), F.lit(0))
+
+
+def any_tag(tags: Sequence[str], pattern: str, shift: int = 0, columns: Sequence[str] = ()) -> Column:
+    """Whether any tag ``bucket::name`` or table column whose name matches is set, ``shift`` bars ago."""
+    return _set_count(_named([*columns, *tags], pattern), shift) > 0
 
 
-def tag_hits(tags: Sequence[str], pattern: str, shift: int = 0) -> Column:
+def matching_tags(tags: Sequence[str], pattern: str, columns: Sequence[str] = ()) -> list[str]:
+    """Tags of the bucket of that name; without any the matching columns, and without those the matching tags."""
+    bucket = [t for t in tags if t.split("::")[0].lower() == pattern.strip().lower()]
+    return bucket or _named(columns, pattern) or _named(tags, pattern)
+
+
+def tag_hits(tags: Sequence[str], pattern: str, shift: int = 0, columns: Sequence[str] = ()) -> Column:
     """How many matching tags are set, ``shift`` bars ago."""
-    names = matching_tags(tags, pattern)
-    n = reduce(lambda a, b: a + b, [sig(F.col(f"`{t}`")).cast("int") for t in names], F.lit(0))
-    return n if shift == 0 else F.coalesce(F.lag(n, shift).over(W()), F.lit(0))
+    return _set_count(matching_tags(tags, pattern, columns), shift)
 
 
-def any_tag_at_least(tags: Sequence[str], pattern: str, k: int, shift: int = 0) -> Column:
-    return tag_hits(tags, pattern, shift) >= k
+def any_tag_at_least(tags: Sequence[str], pattern: str, k: int, shift: int = 0, columns: Sequence[str] = ()) -> Column:
+    return tag_hits(tags, pattern, shift, columns) >= k
 
 
-def yday_any_tag(tags: Sequence[str], pattern: str) -> Column:
-    return any_tag(tags, pattern, 1)
+def yday_any_tag(tags: Sequence[str], pattern: str, columns: Sequence[str] = ()) -> Column:
+    return any_tag(tags, pattern, 1, columns)
 
 
-def yday_tag_hits(tags: Sequence[str], pattern: str) -> Column:
-    return tag_hits(tags, pattern, 1)
+def yday_tag_hits(tags: Sequence[str], pattern: str, columns: Sequence[str] = ()) -> Column:
+    return tag_hits(tags, pattern, 1, columns)
 
 
-def yday_any_tag_at_least(tags: Sequence[str], pattern: str, k: int) -> Column:
-    return any_tag_at_least(tags, pattern, k, 1)
+def yday_any_tag_at_least(tags: Sequence[str], pattern: str, k: int, columns: Sequence[str] = ()) -> Column:
+    return any_tag_at_least(tags, pattern, k, 1, columns)
 
 
 def at_max(df, value: str, price: str = "c"):

@@ -116,14 +116,27 @@ def tail_window(df: DataFrame, ref: Column | str, n: int) -> DataFrame:
 
 
 def apply_universe(df: DataFrame, universe, lists: DataFrame | None = None) -> DataFrame:
-    """Keep the codes of a universe: 'all', the name of a list, a sequence or a DataFrame of codes."""
+    """Keep the codes of a universe: 'all', the name of a list, a sequence or a DataFrame of codes.
+
+    Lists with dates (``d``) hold for those dates only. 'attention' takes category lists (``end_d``, ``code``), on each date
+    the newest that has ended by then.
+    """
     if isinstance(universe, DataFrame):
-        return df.join(universe.select("code").distinct(), "code", "left_semi")
+        keys = ["code", "d"] if "d" in universe.columns and "d" in df.columns else ["code"]
+        return df.join(universe.select(*keys).distinct(), keys, "left_semi")
     if not isinstance(universe, str):
         return df.where(F.col("code").isin(list(universe)))
     if universe == "all":
         return df
-    return df.join(lists.where(F.col("list") == universe).select("code"), "code", "left_semi")
+    if universe == "attention":
+        # One row per date and list end: bounded like the calendar.
+        ends = lists.select(F.col("end_d").alias("d"), F.col("end_d")).distinct()
+        days = df.select("d").distinct().withColumn("end_d", F.lit(None).cast("date")).unionByName(ends)
+        newest = F.last("end_d", ignorenulls=True).over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+        days = days.groupBy("d").agg(F.max("end_d").alias("end_d")).withColumn("end_d", newest).where("end_d IS NOT NULL")
+        listed = lists.select("end_d", "code").distinct().join(F.broadcast(days), "end_d").select("code", "d")
+        return df.join(listed, ["code", "d"], "left_semi")
+    return apply_universe(df, lists.where(F.col("list") == universe))
 
 
 def codes_on(df: DataFrame, day) -> DataFrame:

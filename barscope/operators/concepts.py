@@ -31,7 +31,8 @@ def concept_map(manual: DataFrame, a: DataFrame, b: DataFrame, blacklist: Sequen
     """Code to filtered concept text.
 
     Provider ``a`` overwrites manual entries (unless ``manual_wins``); in mix mode provider ``b``
-    fills codes still without text.
+    fills codes still without text.  Within manual entries and the first source the row with the largest ``seq`` wins,
+    within the second the one with the smallest.
     """
     first, second = (2, 1) if manual_wins else (1, 2)
     sources = [(manual, first), (a if mode != "b" else b, second)]
@@ -40,11 +41,11 @@ def concept_map(manual: DataFrame, a: DataFrame, b: DataFrame, blacklist: Sequen
     rows = None
     for df, prio in sources:
         text = filter_concepts("concepts", blacklist)
-        part = df.select("code", text.alias("concepts"), F.lit(prio).alias("prio"))
+        seq = F.col("seq").cast("long") if "seq" in df.columns else F.lit(0).cast("long")
+        part = df.select("code", text.alias("concepts"), F.lit(prio).alias("prio"), (seq if prio else -seq).alias("seq"))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.where(F.col("concepts").isNotNull() & (F.col("code") != ""))
-    # Within one source the row read last wins; texts of one code and source are distinct rows.
-    return rows.groupBy("code").agg(F.max_by("concepts", F.struct("prio", "concepts")).alias("concepts"))
+    return rows.groupBy("code").agg(F.max_by("concepts", F.struct("prio", "seq", "concepts")).alias("concepts"))
 
 
 def dedupe_concepts(df: DataFrame) -> DataFrame:

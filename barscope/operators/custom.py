@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barscope.operators.clean import apply_universe
 from barscope.operators.ranking import rank_within
 from barscope.operators.scoring import NO_J, coarse_order
 
@@ -48,11 +49,16 @@ def selects(combo: Combination, names: Column) -> Column:
     return _matches(names, combo.agg_mode, combo.rules)
 
 
-def custom_rank(details: DataFrame, scores: DataFrame, combo: Combination, top_n: int | None = None) -> DataFrame:
+def custom_rank(details: DataFrame, scores: DataFrame, combo: Combination, top_n: int | None = None,
+                universe=None, lists: DataFrame | None = None) -> DataFrame:
     """Codes and dates the combination selects, with the triggered rules and their dates; ``top_n`` of each date.
 
+    ``universe`` and ``lists`` are as for ``apply_universe``.
+
     Grouped per code and date over at most as many records as there are rules.
     """
+    if universe is not None:
+        details = apply_universe(details, universe, lists)
     hit = details.where((F.col("ok") | (F.col("add") > 0)) & F.col("name").isin(*combo.targets(), *combo.exclude))
     target, dated = F.col("name").isin(combo.targets()), F.col("name").isin(combo.collected())
     out = hit.groupBy("code", "d").agg(
@@ -72,6 +78,12 @@ def custom_order() -> list[Column]:
     return [F.col("score").desc(), F.col("j"), F.col("code"), F.col("d")]
 
 
+def trigger_span(details: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Number of distinct trigger dates of each group, the first and the last; no list of dates is gathered."""
+    dates = details.where("ok").select(*by, F.explode("hit_dates").alias("_d")).distinct()
+    return dates.groupBy(*by).agg(F.count("_d").alias("n"), F.min("_d").alias("first"), F.max("_d").alias("last"))
+
+
 def trigger_dates(dates: Column) -> Column:
     """Sorted distinct dates over lists of dates."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(dates))))

@@ -15,12 +15,16 @@ from barscope.operators.resample import resample
 
 @dataclass(frozen=True)
 class Clause:
-    """One condition: a predicate over feature columns, looked at through a window and a scope."""
+    """One condition: a predicate over feature columns, looked at through a window and a scope.
+
+    ``gate`` is a further predicate, or several, that must hold on the same bar.
+    """
 
     when: Column | str
     timeframe: str = "D"
     window: int = 60
     scope: str = "ANY"
+    gate: Column | str | Sequence | None = None
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,8 @@ class Rule:
     """A clause (or several) with points.
 
     ``bins`` are ``(lo, hi, points)`` by bars since the last hit, for the recency scopes; ``gate``
-    is a further predicate; ``tag`` names the reason bucket and the published signal.
+    is a further predicate; ``tag`` names the reason bucket and the published signal.  The scope is ``ANY``
+    unless given, but a gate of a rule with clauses is then looked at on the last bar alone.
     """
 
     name: str
@@ -36,7 +41,7 @@ class Rule:
     points: float = 0.0
     timeframe: str = "D"
     window: int = 60
-    scope: str = "ANY"
+    scope: str | None = None
     bins: tuple = ()
     gate: Column | str | Sequence | None = None
     clauses: tuple[Clause, ...] = ()
@@ -45,8 +50,12 @@ class Rule:
     show: bool = True
     reason: str | None = None
     hard: bool = True
+    scope_given: bool | None = None
 
     def __post_init__(self):
+        if self.scope_given is None:
+            object.__setattr__(self, "scope_given", self.scope is not None)
+        object.__setattr__(self, "scope", self.scope or "ANY")
         if self.timeframe not in ("D", "W", "M"):
             raise ValueError(f"unknown timeframe {self.timeframe!r}")
         parse_scope(self.scope)
@@ -62,16 +71,38 @@ def predicate(when) -> Column:
     return sig(F.expr(when) if isinstance(when, str) else when)
 
 
+def _gates(gate) -> list:
+    gates = list(gate) if isinstance(gate, (list, tuple)) else [gate]
+    return [g.when if isinstance(g, Clause) else g for g in gates]
+
+
+def _gated(x):
+    """A rule or clause whose gate has become part of its predicate."""
+    return replace(x, gate=None, when=all_of(*[predicate(p) for p in [*_gates(x.gate), x.when]]))
+
+
 def merge_gate(rule: Rule) -> Rule:
-    """The gate becomes part of the predicate, or a further clause."""
+    """The gate becomes part of the predicate, or a further clause; so do gates of clauses."""
+    if any(c.gate is not None for c in rule.clauses):
+        rule = replace(rule, clauses=tuple(_gated(c) if c.gate is not None else c for c in rule.clauses))
     if rule.gate is None:
         return rule
-    gates = list(rule.gate) if isinstance(rule.gate, (list, tuple)) else [rule.gate]
-    gates = [g.when if isinstance(g, Clause) else g for g in gates]
     if rule.clauses:
-        more = tuple(Clause(g, rule.timeframe, rule.window, rule.scope) for g in gates)
+        scope = rule.scope if rule.scope_given else "LAST"
+        more = tuple(Clause(g, rule.timeframe, rule.window, scope) for g in _gates(rule.gate))
         return replace(rule, gate=None, clauses=rule.clauses + more)
-    return replace(rule, gate=None, when=all_of(*[predicate(p) for p in [*gates, rule.when]]))
+    return _gated(rule)
+
+
+def when_text(rule: Rule) -> str:
+    """The rule's condition as text, where it was given as text; else its name."""
+    parts = [rule.when] if rule.when is not None else [c.when for c in rule.clauses]
+    return " AND ".join(parts) if all(isinstance(p, str) for p in parts) else rule.name
+
+
+def _ungated(rule: Rule) -> Rule:
+    """The rule without its gate; a gate of a black-list rule does not count."""
+    return replace(rule, gate=None)
 
 
 @dataclass(frozen=True)
@@ -87,7 +118,12 @@ class _Unit:
 
 def _units(i: int, rule: Rule) -> list[_Unit]:
     kind = parse_scope(rule.scope)[0]
-    if kind in PER_BAR or kind in RECENCY:
+    if kind in RECENCY:
+        # The rule's own timeframe and window, and the first clause's predicate.
+        when = predicate(rule.clauses[0].when if rule.clauses else rule.when)
+        n = effective_window(rule.scope, rule.window, rule.bins)
+        return [_Unit(f"u{i}_0", rule.timeframe, n, rule.scope, when)]
+    if kind in PER_BAR:
         parts = [predicate(c.when) for c in rule.clauses] or [predicate(rule.when)]
         head = rule.clauses[0] if rule.clauses else rule
         n = effective_window(rule.scope, head.window, rule.bins)
@@ -131,7 +167,7 @@ def evaluate(
     read; it is applied to day bars and to the week or month bars that rules ask for.  Week and
     month rules see finished periods only.
     """
-    rules = [merge_gate(r) if gates else replace(r, gate=None) for r in rules]
+    rules = [merge_gate(r) if gates else _ungated(r) for r in rules]
     units = {i: _units(i, r) for i, r in enumerate(rules)}
     flat = [u for us in units.values() for u in us]
     daily = features(bars)
@@ -224,21 +260,27 @@ def rule_details(evaluated: DataFrame, rules: Sequence[Rule], hits_only: bool =
 
 def rule_tags(bars: DataFrame, rules: Sequence[Rule], features=lambda df: df) -> DataFrame:
     """Signals of the tagged day rules as a long table (code, d, bucket, name), true bars only."""
-    tagged = [r for r in rules if r.tag and r.timeframe == "D" and r.when is not None]
-    df = features(bars).withColumns({f"t{i}": predicate(r.when) for i, r in enumerate(tagged)})
+    df, tags = tag_columns(features(bars), rules)
     names = F.array(*[
-        F.when(F.col(f"t{i}"), F.struct(F.lit(r.tag).alias("bucket"), F.lit(r.name).alias("name")))
-        for i, r in enumerate(tagged)
+        F.when(F.col(f"`{t}`"), F.struct(F.lit(t.split("::", 1)[0]).alias("bucket"), F.lit(t.split("::", 1)[1]).alias("name")))
+        for t in tags
     ])
     out = df.select("code", "d", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("x"))
     return out.select("code", "d", "x.bucket", "x.name")
 
 
 def tag_columns(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[str]]:
-    """The same signals as boolean columns named ``bucket::name``."""
-    tagged = [r for r in rules if r.tag and r.when is not None]
-    names = [f"{r.tag}::{r.name}" for r in tagged]
-    return df.withColumns({n: predicate(r.when) for n, r in zip(names, tagged)}), names
+    """The same signals as boolean columns named ``bucket::name``; a rule's clauses must all hold.
+
+    They are added in rule order, so a rule's predicate may read the tags before it.
+    """
+    names = []
+    for r in rules:
+        if r.tag and r.timeframe == "D":
+            parts = [r.when] if r.when is not None else [c.when for c in r.clauses]
+            names.append(f"{r.tag}::{r.name}")
+            df = df.withColumn(names[-1], all_of(*map(predicate, parts)))
+    return df, names
 
 
 def prescreen(
@@ -266,4 +308,4 @@ def first_reason(rules: Sequence[Rule], at: int) -> Column:
 
 def with_blacklist(rules: Sequence[Rule], blacklist: Sequence[Rule]) -> list[Rule]:
     """Both kinds of rules in one list, to be evaluated in one pass without further gate merging."""
-    return [*map(merge_gate, rules), *[replace(r, gate=None) for r in blacklist if r.hard]]
+    return [*map(merge_gate, rules), *[_ungated(r) for r in blacklist if r.hard]]

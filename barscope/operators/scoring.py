@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barscope.functions.scopes import PER_BAR, RECENCY, parse_scope
+from barscope.functions.scopes import PER_BAR, RECENCY, effective_window, parse_scope
 from barscope.functions.values import rnd
 from barscope.operators.indicators import with_indicators
 from barscope.operators.ranking import LAST, letters, rank_within, steps
-from barscope.operators.rules import Rule, evaluate, first_reason, with_blacklist
+from barscope.operators.clean import apply_universe
+from barscope.operators.rules import Rule, evaluate, first_reason, when_text, with_blacklist
 
 BASE_SCORE, MIN_SCORE = 50.0, 0.0
 NO_J = 999999.0  # fixed value: missing tiebreak in combination lists
@@ -150,26 +151,30 @@ def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df
         day = F.lit(ref).cast("date")
         hits, ranks = hits.where(F.col("d") == day), ranks.where(F.col("d") == day)
     if universe is not None:
-        hits = hits.join(universe.select("code"), "code", "left_semi")
+        hits = apply_universe(hits, universe)
     out = attach_scores(hits, ranks)
     order = [F.col("score").desc_nulls_last(), F.col("j").asc_nulls_last(), F.col("code")]
     return rank_within(out, ["d"], order, coarse_order())
 
 
 def screen_lists(bars: DataFrame, rule: Rule, features=lambda df: df, blacklist: Sequence[Rule] = ()):
-    """White and black lists of a screen: selected codes, and the rest with the reason."""
+    """White and black lists of a screen: selected codes, and the rest with the reason.
+
+    Codes that the black list rules out carry its reason and period; the others the screen's own text, with the window it
+    looks at and its condition, and the reference date.
+    """
     both = with_blacklist([rule], blacklist)
     seen = evaluate(bars, both, features, dates=True, gates=False)
     seen = seen.withColumn("_first", first_reason(both[1:], 1) if both[1:] else F.lit(None))
     reason, period = (
         (F.col("_first.reason"), F.col("_first.period")) if both[1:] else (F.lit(None), F.lit(None))
     )
-    fail = f"screen_fail:{rule.timeframe}{rule.window}:{rule.scope}"
+    text = f"{rule.timeframe}{effective_window(rule.scope, rule.window, rule.bins)}:{rule.scope}::{when_text(rule)}"
     white = F.col("r0_ok") & reason.isNull()
     return seen.select(
         "code", "d", F.when(white, F.lit("white")).otherwise(F.lit("black")).alias("list"),
-        F.coalesce(period, "r0_label").alias("period"),
-        F.when(white, F.lit("pass")).otherwise(F.coalesce(reason, F.lit(fail))).alias("reason"),
+        F.coalesce(period, F.date_format("d", "yyyyMMdd")).alias("period"),
+        F.when(white, F.lit(f"screen:{text}")).otherwise(F.coalesce(reason, F.lit(f"screen_fail:{text}"))).alias("reason"),
     )
 
 

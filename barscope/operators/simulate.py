@@ -109,12 +109,14 @@ def next_bars(bars: DataFrame, scenario: Scenario, overrides: DataFrame | None =
     if given:
         packed = overrides.select("code", F.struct(*given).alias("_ov"))
         last = last.join(packed, "code", "left")
-    if scenario.mode == "reverse_indicator":
-        out = _reverse(bars, last, scenario)
-    else:
-        s = _fields(scenario, given)
-        out = last.withColumns({f"_{n}": e for n, e in _prices(s).items()} | {"_v": _volume(s)})
-        out = _locked(out, s)
+    s = _fields(scenario, given)
+    moved = last.withColumns({f"_{n}": e for n, e in _prices(s).items()} | {"_v": _volume(s)})
+    out = _locked(moved, s)
+    if scenario.mode == "reverse_indicator" or "mode" in given and scenario.reverse_indicator:
+        solved = s["mode"] == "reverse_indicator"
+        names = ["code", *[f"_{n}" for n in "ohlcv"]]
+        reverse = _reverse(bars, last.where(solved), scenario, s)
+        out = out.where(~solved).select(*names).unionByName(reverse.select(*names))
     return out.select(
         "code", F.lit(sim_date).cast("date").alias("d"),
         *[F.col(f"_{n}").alias(n) for n in ("o", "h", "l", "c", "v")],
@@ -129,14 +131,16 @@ def _locked(out: DataFrame, s: dict[str, Column]) -> DataFrame:
     })
 
 
-def _reverse(bars: DataFrame, last: DataFrame, scenario: Scenario) -> DataFrame:
-    """Prices that bring an indicator to its target; codes that do not converge stay flat."""
+def _reverse(bars: DataFrame, last: DataFrame, scenario: Scenario, s: dict[str, Column]) -> DataFrame:
+    """Prices that bring an indicator to its target; codes that do not converge stay flat.
+
+    Indicator, target and method are the scenario's; ``s`` has its other fields, as given per symbol.
+    """
     from barscope.operators import solver
 
     solve = solver.reverse_price_grid if scenario.reverse_method == "grid" else solver.reverse_price_bisect
     found = solve(bars, scenario.reverse_indicator, scenario.reverse_target_value, scenario.reverse_tolerance)
-    s = _fields(scenario, [])
-    flat = _prices(_fields(replace(scenario, mode="flat"), []))
+    flat = _prices(s | {"mode": F.lit("flat")})
     out = last.join(found.select("code", "price", "converged"), "code", "left")
     ok = F.coalesce("converged", F.lit(False))
     ratio = F.col("price") / F.col("c")

@@ -140,6 +140,20 @@ def q7(spark, sf):
     return concepts.concept_map(*three(spark, sf), blacklist=["ECONOMY"])
 
 
+@query("q7_last_row", """
+SELECT p_brand AS code, CASE WHEN p_brand LIKE '%1' THEN 'n' || max(p_partkey) FILTER (p_size > 5) WHEN p_brand LIKE '%2' THEN 'z' || min(p_partkey)
+  ELSE 'a' || max(p_partkey) END AS concepts FROM part GROUP BY p_brand""")
+def q7_rows(spark, sf):
+    """Several rows of a code: the last one of the first sources wins, the first one of the source that fills in."""
+    p = fx.load(spark, sf, "part")
+    brand, key = F.col("p_brand").alias("code"), F.col("p_partkey").alias("seq")
+    rows = lambda cond, head: p.where(cond).select(brand, F.concat(F.lit(head), F.col("p_partkey").cast("string")).alias("concepts"), key)
+    one, two = F.col("p_brand").like("%1"), F.col("p_brand").like("%2")
+    return concepts.concept_map(rows(one & (F.col("p_size") <= 5), "m"), rows(one & (F.col("p_size") > 5) | ~(one | two), "n")
+                                .withColumn("concepts", F.when(F.col("code").like("%1"), F.col("concepts")).otherwise(F.regexp_replace("concepts", "^n", "a"))),
+                                rows(F.lit(True), "z"))
+
+
 @query("q8_dedupe_concepts", """
 SELECT code, coalesce(arg_min(CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN p_type ELSE '' END, {'e': p_type NOT IN ('SMALL', 'ECONOMY'), 's': p_partkey}), '') AS concepts_name,
   arg_min(p_partkey, {'e': p_type NOT IN ('SMALL', 'ECONOMY'), 's': p_partkey}) AS seq FROM (SELECT p_name AS code, * FROM part) GROUP BY code""")

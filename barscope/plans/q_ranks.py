@@ -158,6 +158,18 @@ FROM details GROUP BY code, d HAVING {cond}) x JOIN bars b ON b.code = x.code AN
 for _kind in COMBOS:
     combo(_kind)
 
+@query("w29_custom_top", with_("details", "lists") + f"""
+SELECT code, {T('d')} AS d, score, j FROM (SELECT b.code, b.d, b.v AS score, CASE WHEN b.c < 50000 THEN b.c ELSE 999999.0 END AS j,
+  row_number() OVER (PARTITION BY b.d ORDER BY b.v DESC, CASE WHEN b.c < 50000 THEN b.c ELSE 999999.0 END, b.code) AS n FROM bars b JOIN (
+  SELECT code, d FROM details WHERE name IN ('golden', 'streak') GROUP BY code, d) x ON b.code = x.code AND b.d = x.d
+  WHERE b.code IN (SELECT code FROM lists WHERE list = 'white')) WHERE n <= 2""")
+def w29_top(spark, sf):
+    """The first two of each date among the white-listed codes; some have no j."""
+    s = fx.bars(spark, sf).select("code", "d", F.col("v").alias("score"), F.when(F.col("c") < 50000, F.col("c")).alias("j"))
+    out = custom_rank(fx.details(spark, sf), s, COMBOS["any"], 2, "white", fx.lists(spark, sf))
+    return out.select("code", day_text("d").alias("d"), "score", "j")
+
+
 # Category lists.
 CTES["span"] = "SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT d FROM cal ORDER BY d DESC LIMIT 60)"
 CTES["weights"] = "SELECT d, i, w / avg(w) OVER () AS w FROM (SELECT d, i, pow(0.5, (59 - i) / 10.0) AS w FROM span)"

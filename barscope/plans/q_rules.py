@@ -10,7 +10,7 @@ from barscope.operators.ranking import rank_within, steps
 from barscope.operators import research, rules as rl, scoring
 from barscope.operators.calendar import missing_dates
 from barscope.operators.clean import apply_universe
-from barscope.operators.custom import trigger_dates
+from barscope.operators.custom import trigger_span
 from barscope.operators.rules import Clause, Rule
 from barscope.plans import fixtures as fx
 from barscope.plans.q_sources import plain_ranks
@@ -69,6 +69,31 @@ CAST(lag AS DOUBLE) AS lag FROM (SELECT *, lag IS NOT NULL AS ok FROM (SELECT co
          "up", ["lag"])
 
 
+# Clauses of a recency rule: its own timeframe and window, and the first predicate.
+one_rule("w9_recent_clauses", Rule("near", None, scope="RECENT", bins=((0, 0, 5), (1, 2, 3), (4, 6, 1)), clauses=(
+    Clause("c > o", "W", 3), Clause("v > 10", "M", 2))),
+         f"""SELECT code, {T('d')} AS d, ok, {R('CASE WHEN lag = 0 THEN 5 WHEN lag BETWEEN 1 AND 2 THEN 3 WHEN lag BETWEEN 4 AND 6 THEN 1 ELSE 0 END')} AS add,
+CAST(lag AS DOUBLE) AS lag FROM (SELECT *, lag IS NOT NULL AS ok FROM (SELECT code, d, CASE WHEN {_LAG} < 7 THEN {_LAG} END AS lag FROM up))""",
+         "up", ["lag"])
+
+
+@query("w10_unknown_scope", with_("up") + f"SELECT code, {T('d')} AS d, max(s::INT) {over(4)} = 1 AS hit FROM up")
+def w10(spark, sf):
+    """A scope that is not known, from a file whose rules must not stop the run, counts as ANY."""
+    df = fx.bars(spark, sf).withColumn("s", F.col("c") > F.col("o"))
+    return df.select("code", day_text("d").alias("d"), scopes.scope_hit("s", scopes.scope_or_any("SOMETIMES"), 4).alias("hit"))
+
+
+@query("w4_spellings", with_("upruns") + f"""
+SELECT code, {T('d')} AS d, sum(s::INT) {over(8)} >= 3 AS counted, max(run3) {over(6)} = 1 AS run,
+  max(s::INT) {over(5)} = 1 AND count(*) {over(5)} >= 3 AS some, max(run3) {over(3)} = 1 AS every FROM upruns""")
+def w4_spellings(spark, sf):
+    df = fx.bars(spark, sf).withColumn("s", F.col("c") > F.col("o"))
+    hit = lambda scope, n: scopes.scope_hit("s", scope, n)
+    return df.select("code", day_text("d").alias("d"), (hit("COUNT=3", 8) & hit("count ≥ 3", 8)).alias("counted"), hit("CONSEC = 3", 8).alias("run"),
+                     (hit("ANY3", 5) & hit("ANY 3", 5)).alias("some"), hit("ALL-3", 5).alias("every"))
+
+
 @query("w11_effective_window", with_("up") + f"""
 SELECT code, {T('d')} AS d, sum(s::INT) {over(12)} >= 12 AS counted, CASE WHEN {_LAG} < 5 THEN 1 ELSE 0 END AS near, s AS last FROM up""")
 def w11(spark, sf):
@@ -84,6 +109,11 @@ one_rule("w12_gate", Rule("gated", "c > o", 3, window=5, scope="COUNT>=2", gate=
          f"""SELECT code, {T('d')} AS d, ok, {R('CASE WHEN ok THEN 3 ELSE 0 END')} AS add FROM (
 SELECT code, d, sum((c > o AND v > 25)::INT) {over(5)} >= 2 AS ok FROM bars)""", "bars", [])
 
+one_rule("w12_gate_clauses", Rule("gated", None, 3, window=5, gate="v > 25", clauses=(
+    Clause("c > o", window=5, scope="COUNT>=2"), Clause("c > o", window=5, scope="ANY", gate=Clause("v > 10")))),
+         f"""SELECT code, {T('d')} AS d, ok, {R('CASE WHEN ok THEN 3 ELSE 0 END')} AS add FROM (
+SELECT code, d, sum((c > o)::INT) {over(5)} >= 2 AND max((c > o AND v > 10)::INT) {over(5)} = 1 AND v > 25 AS ok FROM bars)""", "bars", [])
+
 CTES["wkup"] = f"SELECT code, d, max(coalesce(c > o, false)::INT) {over(2)} = 1 AS s FROM weeks"
 CTES["moup"] = "SELECT code, d, coalesce(v > 100, false) AS s FROM months"
 CTES["labels"] = """
@@ -227,13 +257,16 @@ def w24(spark, sf):
     return shown(out, ["d"], [], ["code", "score", "j", "rank"])
 
 
+_SCREEN = f"D10:COUNT>=3::{fx.RULES[1].when}".replace("'", "''")
+
+
 @query("w24_screen_lists", with_("hits", "screened") + f"""
-SELECT h.code, {T('h.d')} AS d, CASE WHEN h.r1 AND x.reason IS NULL THEN 'white' ELSE 'black' END AS list,
-  CASE WHEN h.r1 AND x.reason IS NULL THEN 'pass' ELSE coalesce(x.reason, 'screen_fail:D10:COUNT>=3') END AS reason
+SELECT h.code, {T('h.d')} AS d, CASE WHEN h.r1 AND x.reason IS NULL THEN 'white' ELSE 'black' END AS list, coalesce(x.period, {T('h.d')}) AS period,
+  CASE WHEN h.r1 AND x.reason IS NULL THEN 'screen:{_SCREEN}' ELSE coalesce(x.reason, 'screen_fail:{_SCREEN}') END AS reason
 FROM hits h JOIN screened x ON x.code = h.code AND x.d = h.d""")
 def w24_lists(spark, sf):
     out = scoring.screen_lists(fx.bars(spark, sf), fx.RULES[1], fx.features, fx.BLACKLIST)
-    return shown(out, ["d"], [], ["code", "list", "reason"])
+    return shown(out, ["d"], [], ["code", "list", "period", "reason"])
 
 
 @query("w35_top_scores", with_("ranks") + f"SELECT {RANK_COLS} FROM ranks WHERE d = DATE '1999-03-10' ORDER BY rank LIMIT 10")
@@ -272,9 +305,8 @@ def f9(spark, sf):
 SELECT code, n, first, last FROM (SELECT code, count(DISTINCT x) AS n, {T('min(x)')} AS first, {T('max(x)')} AS last FROM (
 SELECT code, unnest(dates) AS x FROM details WHERE pos = 0) GROUP BY code)""")
 def f15(spark, sf):
-    x = fx.details(spark, sf).where(F.col("name") == "golden").groupBy("code").agg(trigger_dates(F.col("hit_dates")).alias("t"))
-    return x.select("code", F.size("t").cast("bigint").alias("n"), day_text(F.array_min("t")).alias("first"),
-                    day_text(F.array_max("t")).alias("last"))
+    x = trigger_span(fx.details(spark, sf).where(F.col("name") == "golden"), ["code"])
+    return x.select("code", "n", day_text("first").alias("first"), day_text("last").alias("last"))
 
 
 @query("j4_attach_scores", with_("hits", "plain_ranks") + f"""

@@ -8,7 +8,7 @@ from barscope.functions import series as ts
 from barscope.functions import values as val
 from barscope.functions.smoothing import ema, ewm_seeded, sma, with_ewm
 from barscope.operators import indicators as ind
-from barscope.operators.rules import Rule, rule_tags, tag_columns
+from barscope.operators.rules import Clause, Rule, rule_tags, tag_columns
 from barscope.plans import fixtures as fx
 from barscope.plans.registry import CTES, R, T, WIN, ewm_sql, lag, over, query, shown, sql_shown, strict, with_
 
@@ -116,6 +116,34 @@ def w19(spark, sf):
     return shown(out, ["d"], [], ["code", "bucket", "name"])
 
 
+@query("t19_columns", with_("tags") + f"""
+SELECT code, {T('d')} AS d, t_rise AS any_case, t_thin OR v > 60 AS any_column, t_rise::INT + t_thin::INT AS bucket_hits,
+  (v > 60)::INT AS column_hits, coalesce({lag('t_rise')} OR {lag('r_wide')}, false) AS yday FROM tags""")
+def t19_columns(spark, sf):
+    """Names match without regard to case, over tags and table columns; counts look for a bucket of that name first."""
+    df, names = tag_columns(fx.bars(spark, sf).withColumn("very_thin_or_fat", F.col("v") > 60), TAGGED)
+    own = ["very_thin_or_fat"]
+    return df.select(
+        "code", val.day_text("d").alias("d"), ts.any_tag(names, "RISE").alias("any_case"),
+        ts.any_tag(names, "Thin", columns=own).alias("any_column"), ts.tag_hits(names, "TREND", columns=own).alias("bucket_hits"),
+        ts.tag_hits(names, "thin", columns=own).alias("column_hits"), ts.yday_any_tag(names, "rise|WIDE").alias("yday"),
+    )
+
+
+CLAUSE_TAGS = (
+    Rule("both", None, tag="mix", clauses=(Clause("c > o"), Clause("v > 10"))), Rule("after", "`mix::both` AND h > 1.1 * l", tag="late"),
+    Rule("weekly", "c > o", timeframe="W", tag="mix"),
+)
+
+
+@query("w19_clause_tags", with_("tags") + f"""
+SELECT code, {T('d')} AS d, bucket, name FROM (SELECT code, d, 'mix' AS bucket, 'both' AS name, t_rise AND v > 10 AS on_ FROM tags
+UNION ALL SELECT code, d, 'late', 'after', t_rise AND v > 10 AND h > 1.1 * l FROM tags) WHERE on_""")
+def w19_clauses(spark, sf):
+    """Clauses must all hold, later tags read earlier ones, week rules publish no day tags."""
+    return shown(rule_tags(fx.bars(spark, sf), CLAUSE_TAGS), ["d"], [], ["code", "bucket", "name"])
+
+
 # Recursive averages: SQL folds the recursion, Spark uses the window form.
 
 CTES["ema_x"] = ewm_sql("x", 2 / 13, False, "holes", "y")

@@ -223,6 +223,37 @@ def s17(spark, sf):
     return tables.read_list(spark, path, "2000-01-03", "white").select("code", "reason", "period")
 
 
+@query("s17_lists_by_date", """
+WITH x AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS code, s_suppkey AS k FROM supplier)
+SELECT code, '20000103' AS day, 'white' AS list, 'new' AS reason FROM x WHERE k % 3 = 0
+UNION ALL SELECT code, '20000105', 'black', 'first' FROM x WHERE k % 2 = 1""")
+def s17_dates(spark, sf):
+    """Three dates one after another, the second without rows; then the first again. Other dates stay."""
+    path = scratch_path(spark, "lists")
+    k = F.col("s_suppkey")
+    s = fx.load(spark, sf, "supplier").select(fx.code_of("s_suppkey").alias("code"), k)
+
+    def listed(cond, day, name, reason):
+        more = {"d": F.lit(day).cast("date"), "list": F.lit(name), "reason": F.lit(reason), "period": F.lit(day)}
+        tables.write_lists(s.where(cond).withColumns(more), path, [day])
+
+    listed(k % 2 == 0, "2000-01-03", "white", "first")
+    listed(k < 0, "2000-01-04", "white", "none")
+    listed(k % 2 == 1, "2000-01-05", "black", "first")
+    listed(k % 3 == 0, "2000-01-03", "white", "new")
+    return tables.read_list(spark, path).select("code", day_text("d").alias("day"), "list", "reason")
+
+
+@query("s11_backfill", with_("plain_ranks") + f"SELECT code, {T('d')} AS d, rank, total FROM plain_ranks")
+def s11_backfill(spark, sf):
+    """A stored rank table lacks some dates and holds a wrong one; both are written into it."""
+    r, path = plain_ranks(spark, sf), scratch_path(spark, "ranks")
+    odd, bad = F.dayofmonth("d") % 5 == 0, F.col("d") == F.lit("1999-03-11").cast("date")
+    tables.write_ranks(r.where(~odd).withColumn("rank", F.when(bad, F.lit(-1)).otherwise(F.col("rank"))), path)
+    tables.add_ranks(r.where(odd | bad), path)
+    return shown(tables.read_ranks(spark, path), ["d"], [], ["code", "rank", "total"])
+
+
 @query("s18_save", with_("plain_ranks") + f"SELECT code, {T('d')} AS d, rank FROM plain_ranks")
 def s18(spark, sf):
     path = tables.save(plain_ranks(spark, sf), scratch_path(spark, "results"), "all_ranks")

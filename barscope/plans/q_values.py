@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barscope.functions import scopes
 from barscope.functions import values as val
+from barscope.functions.values import day_text
 from barscope.operators import benchmark, clean, research, status
 from barscope.operators.custom import trigger_dates
 from barscope.plans import fixtures as fx
@@ -158,6 +159,21 @@ def p9(spark, sf):
     return bars_out(clean.tail_window(fx.bars(spark, sf), "1998-06-15", 20))
 
 
+@query("p10_universe_by_date", with_("bars") + f"""
+SELECT 'dated' AS universe, code, {T('d')} AS d FROM bars WHERE month(d) % 2 = 0 AND CAST(substr(code, 2) AS BIGINT) % 2 = 0
+UNION ALL SELECT 'attention', code, {T('d')} FROM bars WHERE (d >= DATE '1998-01-01' AND d < DATE '2000-01-01' AND CAST(substr(code, 2) AS BIGINT) % 3 = 0)
+  OR (d >= DATE '2000-01-01' AND CAST(substr(code, 2) AS BIGINT) % 5 = 0)""")
+def p10_dates(spark, sf):
+    """Lists with dates hold on those dates; category lists hold until the next one ends."""
+    b, n = fx.bars(spark, sf), F.substring("code", 2, 20).cast("long")
+    dated = b.where(F.month("d") % 2 == 0).select("code", "d", F.when(n % 2 == 0, F.lit("white")).otherwise("black").alias("list"))
+    codes = b.select("code").distinct()
+    ends = [codes.where(n % k == 0).withColumn("end_d", F.lit(d).cast("date")) for k, d in ((3, "1998-01-01"), (5, "2000-01-01"))]
+    parts = [("dated", clean.apply_universe(b, "white", dated)), ("attention", clean.apply_universe(b, "attention", ends[0].unionByName(ends[1])))]
+    out = [x.select(F.lit(name).alias("universe"), "code", day_text("d").alias("d")) for name, x in parts]
+    return out[0].unionByName(out[1])
+
+
 @query("p10_universe", with_("bars", "lists") + """
 SELECT 'white' AS universe, count(*) AS n FROM bars WHERE code IN (SELECT code FROM lists WHERE list = 'white')
 UNION ALL SELECT 'black', count(*) FROM bars WHERE code IN (SELECT code FROM lists WHERE list = 'black')

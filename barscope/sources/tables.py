@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barscope.operators.clean import head_tail, pick
+from barscope.session import written_once
 
 
 def adj_filter(adj: str | None, asset: str = "stock") -> Column:
@@ -134,23 +135,34 @@ def lowest_rank(updates: DataFrame, keys: Sequence[str] = ("code", "d")) -> Data
     return pick(updates, keys, "rank", F.min_by)
 
 
-def write_lists(lists: DataFrame, path: str) -> None:
-    """White and black lists, one partition per date and list; an empty list keeps its schema."""
-    out = lists.select("code", "period", "reason", "d", "list")
-    # An empty partitioned write leaves no file, so the schema goes along in an unpartitioned one.
-    if out.isEmpty():
-        out.drop("d", "list").write.mode("overwrite").parquet(path)
-    else:
-        out.write.mode("overwrite").partitionBy("d", "list").parquet(path)
+LISTS = ("white", "black")
+
+
+def write_lists(lists: DataFrame, path: str, days: Sequence | None = None) -> None:
+    """White and black lists, one partition per date and list; other dates stay as they are.
+
+    ``days`` are the dates written, by default those with rows. A date's lists are replaced as a whole, also by an empty
+    one: each has a row without code, which readers leave out.
+    """
+    spark = lists.sparkSession
+    out = lists.select("code", "period", "reason", F.col("d").cast("date").alias("d"), "list")
+    dated = out.select("d").distinct()
+    if days is not None:
+        dated = spark.createDataFrame([(str(x),) for x in days], "d string").select(F.col("d").cast("date"))
+    empty = dated.select(
+        *[F.lit(None).cast("string").alias(c) for c in ("code", "period", "reason")], "d", F.explode(F.array(*map(F.lit, LISTS))).alias("list")
+    )
+    out.join(F.broadcast(dated), "d", "left_semi").unionByName(empty).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("d", "list").parquet(path)
 
 
 def read_list(spark: SparkSession, path: str, day=None, name: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    if day is not None and "d" in df.columns:
+    df = spark.read.schema("code string, period string, reason string, d date, list string").parquet(path)
+    if day is not None:
         df = df.where(F.col("d") == F.lit(day).cast("date"))
-    if name is not None and "list" in df.columns:
+    if name is not None:
         df = df.where(F.col("list") == name)
-    return df
+    return df.where(F.col("code").isNotNull())
 
 
 def month_of(d) -> Column:
@@ -164,6 +176,20 @@ def write_ranks(ranks: DataFrame, path: str) -> None:
     write(ranks.withColumn("ym", month_of(F.col("d"))), path, partition_by=["ym"])
 
 
+def add_ranks(ranks: DataFrame, path: str) -> None:
+    """Put the ranks of some dates into a stored table: these dates are replaced, all others stay.
+
+    Only the months of these dates are read and written again.
+    """
+    spark = ranks.sparkSession
+    new = ranks.withColumn("ym", month_of(F.col("d")))
+    days = new.select("d", "ym").distinct()
+    old = spark.read.parquet(path)
+    kept = old.join(days.select("ym").distinct(), "ym", "left_semi").join(days.select("d"), "d", "left_anti")
+    both = written_once(kept.select(*new.columns).unionByName(new))  # the files it reads are replaced
+    both.hint("rebalance", "ym").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path)
+
+
 def read_ranks(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
     """Ranks of a date range; months outside it are not read."""
     df = spark.read.parquet(path)

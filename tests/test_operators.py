@@ -259,3 +259,29 @@ def test_match_coefficient_is_in_range(walk):
 
     got = crosssection.rank_match_coef(walk, trade_dates(walk), 2).agg(F.min("coef"), F.max("coef")).first()
     assert 0.0 <= got[0] <= got[1] <= 1.0
+
+
+def test_reverse_mode_per_symbol(spark, series):
+    """Symbols may ask for the reverse mode, or for another where it is the default."""
+    bars = series({k: [10.0 + i % 3 for i in range(40)] for k in "abc"})
+    bars = bars.withColumns({"o": F.col("c"), "h": F.col("c") + 1, "l": F.col("c") - 1, "v": F.lit(5.0)})
+    reverse = Scenario("reverse_indicator", reverse_indicator="bbi", reverse_target_value=10.9, reverse_tolerance=0.05)
+    alone = {r.code: r.c for r in next_bars(bars, reverse).collect()}
+    plain = Scenario("close_pct", 2.0, reverse_indicator="bbi", reverse_target_value=10.9, reverse_tolerance=0.05)
+    some = spark.createDataFrame([("a", "reverse_indicator"), ("b", None)], "code string, mode string")
+    got = {r.code: r.c for r in next_bars(bars, plain, some).collect()}
+    last = {r.code: r.c for r in bars.where("d = '2024-02-09'").collect()}
+    assert got == {"a": alone["a"], "b": last["b"] * 1.02, "c": last["c"] * 1.02}
+    some = spark.createDataFrame([("a", "close_pct", 3.0)], "code string, mode string, pct double")
+    got = {r.code: r.c for r in next_bars(bars, reverse, some).collect()}
+    assert got == {"a": last["a"] * 1.03, "b": alone["b"], "c": alone["c"]}
+
+
+def test_lists_of_other_dates_stay(spark):
+    path = scratch_path(spark, "lists")
+    lists = lambda day, codes: spark.createDataFrame([(c, "p", "r", day, "white") for c in codes], "code string, period string, reason string, d string, list string")
+    tables.write_lists(lists("2024-01-02", ["a", "b"]), path)
+    tables.write_lists(lists("2024-01-03", ["c"]), path)
+    tables.write_lists(lists("2024-01-03", []), path, ["2024-01-03"])
+    read = lambda day: sorted(r.code for r in tables.read_list(spark, path, day, "white").collect())
+    assert read("2024-01-02") == ["a", "b"] and read("2024-01-03") == []
