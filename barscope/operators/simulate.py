@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 from functools import reduce
@@ -173,11 +174,20 @@ def last_j(df: DataFrame, date) -> DataFrame:
     return df.where(F.col("d") == F.lit(date).cast("date")).select("code", "j")
 
 
-def run_prediction(bars: DataFrame, checks: Sequence[tuple[str, Column | str, Scenario]],
+def _check(check, scenario: Scenario) -> Column:
+    if check is None:
+        return F.lit(True)
+    if scenario.mode == "open_pct" and isinstance(check, str):
+        check = re.sub(r"(?i)\bc\s*>\s*o\b", "c >= o", check)
+    return predicate(check)
+
+
+def run_prediction(bars: DataFrame, checks: Sequence[tuple[str, Column | str | None, Scenario]],
                    ranks: DataFrame, features: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Codes whose simulated bar satisfies a check, each under its own scenario, with today's scores.
 
-    Checks of one scenario share its simulation.
+    Checks of one scenario share its simulation.  A check of None holds for every code.  Under a scenario that sets
+    the open and leaves the close, a check ``c > o`` given as text also holds where they are equal.
     """
     ref, sim = bars.agg(F.max("d"), next_day(F.max("d"))).first()
     groups: dict[Scenario, list] = {}
@@ -186,7 +196,7 @@ def run_prediction(bars: DataFrame, checks: Sequence[tuple[str, Column | str, Sc
     parts = []
     for scenario, named in groups.items():
         df = features(simulate_next(bars, scenario, indicators=["kdj"], sim_date=sim))
-        df = df.withColumns({f"_c{i}": predicate(c) for i, (_, c) in enumerate(named)}).where("sim")
+        df = df.withColumns({f"_c{i}": _check(c, scenario) for i, (_, c) in enumerate(named)}).where("sim")
         hit = [F.when(F.col(f"_c{i}"), F.lit(n)) for i, (n, _) in enumerate(named)]
         found = F.filter(F.array(*hit), lambda x: x.isNotNull())
         parts.append(df.select(
@@ -212,20 +222,29 @@ def predict_ranking(bars: DataFrame, scenario: Scenario, rules: Sequence[Rule],
 
 
 def position_checks(bars: DataFrame, positions: DataFrame, policies: Sequence[tuple[str, Column | str, str]],
-                    ref=None) -> DataFrame:
+                    ref=None, scenario: Scenario | None = None,
+                    features: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Policies on many open positions.
 
-    ``positions`` has code, entry_date and entry_price; a policy is (name, predicate, explanation)
-    over the columns of the code's last bar up to ``ref``, entry_price and unreal_pnl.
+    ``positions`` has code, entry_date, entry_price and further variables; a policy is (name, predicate,
+    explanation) over the columns of the code's last bar up to ``ref``, the position's and unreal_pnl.  With a
+    scenario the bar is the simulated one after it, with the features computed again.
     """
     past = bars if ref is None else bars.where(F.col("d") <= F.lit(ref).cast("date"))
-    df = positions.join(last_bars(past), "code")
+    if scenario is None:
+        at = last_bars(features(past)).withColumns({"ref_date": F.col("d"), "sim_date": F.col("d")})
+    else:
+        days = past.agg(F.max("d").alias("ref_date"), next_day(F.max("d")).alias("sim_date"))
+        at = features(simulate_next(past, scenario, indicators=["kdj"])).where("sim")
+        at = at.join(F.broadcast(days), F.col("d") == F.col("sim_date"))  # one row
+    taken = [c for c in at.columns if c == "code" or c not in positions.columns]
+    df = positions.join(at.select(*taken), "code")
     df = df.withColumn("unreal_pnl", (F.col("c") - F.col("entry_price")) / F.col("entry_price"))
     rows = [
         F.struct(F.lit(n).alias("name"), predicate(p).alias("hit"), F.lit(x).alias("explain"))
         for n, p, x in policies
     ]
     return df.select(
-        "code", "entry_date", "entry_price", "unreal_pnl", F.col("d").alias("ref_date"),
+        "code", "entry_date", "entry_price", "unreal_pnl", "ref_date", "sim_date",
         F.inline(F.array(*rows)),
     )

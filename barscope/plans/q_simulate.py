@@ -183,12 +183,31 @@ def x9(spark, sf):
                       "j", "score", "tiebreak_j", F.col("rank").cast("double").alias("rank"))
 
 
-@query("f14_scenario_id", f"SELECT '{scenario_id(asdict(GAIN))}' AS id, count(*) AS n FROM supplier")
+@query("f14_scenario_id", f"""
+SELECT {fx.CODE.format('s_suppkey')} AS code, substr(md5('{{"atr_mult":1.0,"gap_pct":0.0,"hl_mode":"follow","limit_dn_pct":-9.9,"limit_up_pct":9.9,"lock_higher_than_open":false,'
+  || '"lock_inside_day":false,"mode":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'flat' ELSE 'close_pct' END || '","pct":' || CAST(s_suppkey % 5 AS VARCHAR)
+  || '.0,"range_pct":1.5,"reverse_indicator":"","reverse_method":"grid","reverse_target_value":0.0,"reverse_tolerance":1e-06,"vol_arg":0.0,"vol_mode":"same"}}'), 1, 12) AS id
+FROM supplier""")
 def f14(spark, sf):
-    """The id names the parameters, not the order they are given in."""
-    shuffled = dict(reversed(asdict(GAIN).items()))
-    n = fx.load(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.lit(scenario_id(shuffled)).alias("id"), "n")
+    """The id names the parameters, not the order they are given in; each supplier has its own scenario."""
+    k, ids = F.col("s_suppkey"), F.lit(None).cast("string")
+    for mode in ("flat", "close_pct"):
+        for pct in range(5):
+            shuffled = dict(reversed(asdict(Scenario(mode, float(pct))).items()))
+            this = ((k % 2 == 0) == (mode == "flat")) & (k % 5 == pct)
+            ids = F.when(this, F.lit(scenario_id(shuffled))).otherwise(ids)
+    return fx.load(spark, sf, "supplier").select(fx.code_of("s_suppkey").alias("code"), ids.alias("id"))
+
+
+MORE_CHECKS = (("all", None, GAIN), ("level", "C > O", Scenario("open_pct", 0.0)))
+
+
+@query("x9_unconditional", with_("simday", "final") + f"""
+SELECT code, rule_name, {T('(SELECT d FROM simday)')} AS sim_date FROM final, (SELECT unnest(['all', 'level']) AS rule_name)""")
+def x9_all(spark, sf):
+    """A check that is missing holds for every code; an open equal to the close counts as a rise where the scenario sets the open."""
+    out = sim.run_prediction(fx.bars(spark, sf), MORE_CHECKS, plain_ranks(spark, sf), fx.features)
+    return shown(out, ["sim_date"], [], ["code", "rule_name"])
 
 
 PRED_RULES = (fx.RULES[1], fx.RULES[2], fx.RULES[4])
@@ -236,6 +255,20 @@ def w36(spark, sf):
     return shown(out, ["entry_date", "ref_date"], [], ["code", out_num("unreal_pnl", 4).alias("unreal_pnl"), "name", "hit"])
 
 
+@query("w36_position_scenario", with_("positions", "gain_f", "simday") + f"""
+SELECT code, {T('entry_date')} AS entry_date, {R('pnl', 4)} AS unreal_pnl, {T('d - 1')} AS ref_date, {T('d')} AS sim_date, name, hit FROM (
+SELECT p.*, f.d, (f.c - entry_price) / entry_price AS pnl, f.c, f.ma20 FROM positions p JOIN (SELECT * FROM gain_f WHERE sim) f USING (code)) x
+CROSS JOIN LATERAL (SELECT 'take' AS name, pnl > 0.3 AS hit UNION ALL SELECT 'stop', coalesce(pnl < -0.1 OR c < ma20, false)
+  UNION ALL SELECT 'lots', entry_price * 3 > c) y""")
+def w36_scenario(spark, sf):
+    """Positions under a scenario, with a variable of their own."""
+    b = fx.bars(spark, sf)
+    own = positions(b).withColumn("lots", F.lit(3))
+    more = (*POLICIES, ("lots", "entry_price * lots > c", "large"))
+    out = sim.position_checks(b, own, more, scenario=GAIN, features=fx.features)
+    return shown(out, ["entry_date", "ref_date", "sim_date"], [], ["code", out_num("unreal_pnl", 4).alias("unreal_pnl"), "name", "hit"])
+
+
 @query("w37_opportunity_prices", with_("holes") + f"""
 SELECT code, {R('entry', 4)} AS entry, {R('tip', 4)} AS tip, c < entry AS below, c > tip AS above FROM (
 SELECT code, d, c, last_value(CASE WHEN x > o THEN h END IGNORE NULLS) OVER ({WIN} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS entry,
