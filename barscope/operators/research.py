@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barscope.functions.scopes import PER_BAR, parse_scope
 from barscope.functions.series import W
 from barscope.functions.values import div
 from barscope.operators.clean import join_hits_prices
 from barscope.operators.ranking import letters, rank_within
+from barscope.operators.rules import Rule, evaluate
 from barscope.session import written_once
 
 RULE_SCHEMA = (
@@ -84,6 +86,30 @@ def rule_dataset(hits: DataFrame, bars: DataFrame, rules: Sequence[str], horizon
     return feat.where(F.col("target").isNotNull())
 
 
+def rule_dataset_in_row(bars: DataFrame, rules: Sequence[Rule], features, target: int, min_hits: int = 1,
+                        log: bool = False) -> DataFrame:
+    """The same rows as ``rule_dataset`` straight from the bars: one column per rule, and ``target``.
+
+    Adds and forward returns lie in the row of their bar, so nothing is exploded, joined or written; the hits of each
+    rule are counted in one row, which is joined to all.
+    """
+    seen = evaluate(bars, rules, features)
+    ahead = F.lead("c", target).over(W()) / F.nullif(F.col("c"), F.lit(0.0))
+    seen = seen.withColumn("target", F.log(ahead) if log else ahead - 1.0)
+    hits = {}
+    for i, r in enumerate(rules):
+        hit = F.col(f"r{i}_cnt") > 0 if parse_scope(r.scope)[0] in PER_BAR else F.col(f"r{i}_add") != 0
+        hits[r.name] = F.when(hit, F.col(f"r{i}_add"))
+    own = seen.select("code", "d", "target", *[h.alias(n) for n, h in hits.items()])
+    counts = own.agg(F.struct(*[F.count(n).alias(n) for n in hits]).alias("_hits"))
+    one = F.lit(1).alias("_one")
+    own = own.select("*", one).join(F.broadcast(counts.select("*", one)), "_one")
+    kept = {n: F.when(F.col(f"_hits.{n}") >= min_hits, F.col(n)) for n in hits}
+    own = own.select("code", "d", "target", *[c.alias(n) for n, c in kept.items()])
+    some = F.coalesce(*[F.col(n) for n in hits]).isNotNull()
+    return own.where(some & F.col("target").isNotNull()).na.fill(0.0, list(hits)).select("code", "d", *hits, "target")
+
+
 def require_rows(df: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     """Refuse a dataset too small to learn from."""
     if df.limit(least).count() < least:

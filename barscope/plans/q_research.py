@@ -60,18 +60,30 @@ def a10(spark, sf):
     return shown(out, ["d"], [], ["code", *NAMES])
 
 
-CTES["dataset"] = "SELECT w.*, f.ret_5d AS target FROM wide w JOIN fwd f ON f.code = w.code AND f.d = w.d WHERE f.ret_5d IS NOT NULL"
+CTES["kept_rules"] = "SELECT name FROM details GROUP BY name HAVING count(*) >= 5000"
+CTES["wide_kept"] = f"SELECT code, d, {_pivot} FROM details WHERE name IN (SELECT name FROM kept_rules) GROUP BY code, d"
+CTES["dataset"] = "SELECT w.*, f.ret_5d AS target FROM wide_kept w JOIN fwd f ON f.code = w.code AND f.d = w.d WHERE f.ret_5d IS NOT NULL"
+_DATASET_SQL = with_("dataset") + f"SELECT code, {T('d')} AS d, {', '.join(NAMES)}, {R('target', 4)} AS target FROM dataset"
 
 
 def dataset(spark, sf):
-    hits = research.rule_hits(fx.details(spark, sf))
-    return research.rule_dataset(hits, fx.bars(spark, sf), NAMES, [1, 5], 5, min_hits=10)
+    return research.rule_dataset_in_row(fx.bars(spark, sf), fx.RULES, fx.features, 5, min_hits=5000)
+
+
+def shown_dataset(df):
+    return shown(research.require_rows(df), ["d"], [], ["code", *NAMES, out_num("target", 4).alias("target")])
 
 
-@query("m3_dataset", with_("dataset") + f"SELECT code, {T('d')} AS d, {', '.join(NAMES)}, {R('target', 4)} AS target FROM dataset")
+@query("m3_dataset", _DATASET_SQL)
 def m3(spark, sf):
-    out = research.require_rows(dataset(spark, sf))
-    return shown(out, ["d"], [], ["code", *NAMES, out_num("target", 4).alias("target")])
+    return shown_dataset(dataset(spark, sf))
+
+
+@query("m3_dataset_records", _DATASET_SQL)
+def m3_records(spark, sf):
+    """The same from stored records of hits."""
+    hits = research.rule_hits(fx.details(spark, sf))
+    return shown_dataset(research.rule_dataset(hits, fx.bars(spark, sf), NAMES, [1, 5], 5, min_hits=5000))
 
 
 CTES["placed_rows"] = "SELECT code, d, row_number() OVER (ORDER BY d, code) - 1 AS pos, count(*) OVER () AS n FROM bars"
