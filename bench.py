@@ -14,7 +14,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = [
     "w21_rank_scores", "w20_score_prescreened", "w17_rule_details", "i8_compute_all", "t10_ema", "r3_weeks_with_gaps",
-    "w25_rank_vol", "w28_benchmark_ffill", "w29_custom_groups", "w33_rolling", "x10_predict_ranking", "m3_dataset",
+    "w25_rank_vol", "w27_match_coef", "w22_missing_dates_ranked", "w35_top_scores", "x9_run_prediction", "w28_benchmark_ffill", "w29_custom_groups", "w33_rolling", "x10_predict_ranking", "m3_dataset",
 ]
 
 

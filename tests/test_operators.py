@@ -223,7 +223,7 @@ def test_empty_list_can_be_read_back(spark):
     empty = spark.createDataFrame([], "code string, period string, reason string, d date, list string")
     tables.write_lists(empty, path)
     back = tables.read_list(spark, path, "2024-01-01", "white")
-    assert back.count() == 0 and back.columns == ["code", "period", "reason"]
+    assert back.count() == 0 and back.columns == ["code", "period", "reason", "d", "list"]
 
 
 def test_time_weights():
