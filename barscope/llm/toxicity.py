@@ -1,14 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes the labelled rows that ``learn`` admits, at most ``PER_CLASS`` of each class (those with the smallest hashes of
-doc_id). Near copies in a class of this sample count once, as a group of copies would make all its words look
+doc_id in each of ``SALTS`` hash classes). Near copies in a class of this sample count once, as a group of copies would make all its words look
 telling. The vocabulary is what tells the classes apart: words of the sample with a chi-square of at least
 ``MIN_CHI2``, the best ``TERMS`` of them. Their document frequencies are counted over all texts.
 
 Examples lie in blocks; the index keeps, for every term and block, the largest weight in the block. A text's
 products with these are upper bounds of its similarity to any example of a block; blocks are opened from the
 highest bound down, until no bound reaches the k-th best similarity, so the nearest ``NEIGHBOURS`` are exact.
-Ties go to the example that comes first in hash order. They vote with their similarity, weighted so that the
+Ties go to the example that comes first in the index. They vote with their similarity, weighted so that the
 classes keep their shares among all labelled rows, with the overall share as one more vote. Scores are calibrated
 by a logistic curve over the vote and the number of vocabulary words in the text, fitted to the examples' own
 votes, each without itself. Evidence lists the closest. A text without any vocabulary word, an empty or a null one gets the toxic share of the examples
@@ -17,6 +17,8 @@ without any. Without a usable label scores are 0. Only the bounded sample and co
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,23 +27,27 @@ from pyspark.sql import functions as F
 from barscope.llm import kernels as K
 from barscope.llm.common import text_of
 
-PER_CLASS = 5000
+PER_CLASS = 5056
+SALTS = 64
 TERMS = 512
 MIN_CHI2 = 30.0
 NEIGHBOURS = 25
 EVIDENCE = 5
 BLOCK = 64
+KEPT_SCORES = 50_000
 
 
 def _vocabulary_counts(data, offsets, terms):
     """(text, term number, count) for the words of the sorted ``terms``."""
+    if not len(terms):
+        return (np.zeros(0, np.int64),) * 3
     hashes, first = K.words(data, offsets)
     values = hashes >> K.U(12)
-    at = np.minimum(np.searchsorted(terms, values), max(len(terms) - 1, 0))
-    hit = terms[at] == values if len(terms) else np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
+    hit = terms[at] == values
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[hit]
     key, count = np.unique(doc * len(terms) + at[hit], return_counts=True)
-    return key // max(len(terms), 1), key % max(len(terms), 1), count
+    return key // len(terms), key % len(terms), count
 
 
 class Index:
@@ -50,7 +56,9 @@ class Index:
     def __init__(self, terms, idf, rows, share):
         """rows: (doc_id, toxic, {term number: count}) in order; share: classes' weights."""
         self.terms, self.idf = terms, idf
-        full = [r for r in rows if r[2]]
+        # Examples with the same weightiest words lie together, so that a block's bounds are close to its examples.
+        weightiest = lambda r: sorted(r[2], key=lambda t: (-(1 + np.log(r[2][t])) * idf[t], t))[:3]
+        full = sorted((r for r in rows if r[2]), key=weightiest)
         empty = [share[r[1]] * np.array([r[1], 1.0]) for r in rows if not r[2]]
         total = sum((share[r[1]] * np.array([r[1], 1.0]) for r in rows), np.zeros(2))
         self.prior = total[0] / total[1] if total[1] else 0.0
@@ -62,8 +70,8 @@ class Index:
             for t, c in counts.items():
                 w[i, t] = (1 + np.log(c)) * idf[t]
         w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-        self.blocks = w.reshape(-1, BLOCK, len(terms))
-        self.highest = np.ascontiguousarray(self.blocks.max(axis=1).T)
+        self.postings = np.ascontiguousarray(w.T).reshape(len(terms), n // BLOCK, BLOCK)
+        self.highest = self.postings.max(axis=2)
         self.ids = np.array([r[0] for r in full] + [-1] * (n - len(full)), dtype=np.int64)
         self.toxic = np.array([r[1] for r in full] + [0] * (n - len(full)), dtype=float)
         self.weight = np.array([share[r[1]] for r in full] + [0] * (n - len(full)), dtype=float)
@@ -74,19 +82,21 @@ class Index:
         """Numbers and similarities of the k nearest examples that share a term."""
         q = ((1 + np.log(counts)) * self.idf[terms]).astype(np.float32)
         q /= np.linalg.norm(q)
+        terms = np.asarray(terms)
         bound = q @ self.highest[terms]
         order = np.argsort(-bound, kind="stable")
         best, sims, least = np.zeros(0, int), np.zeros(0), 0.0
-        for at in range(0, len(order), 8):
-            opened = order[at : at + 8]
+        for at in range(0, len(order), 16):
+            opened = order[at : at + 16]
             opened = opened[bound[opened] > max(least - 1e-5, 1e-6)]
             if not len(opened):
                 break
-            s = self.blocks[opened][:, :, terms].astype(np.float64) @ q
+            s = np.einsum("t,tbk->bk", q, self.postings[terms[:, None], opened])
             number = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            best, sims = np.concatenate([best, number]), np.round(np.concatenate([sims, s.ravel()]), 6)
+            s = np.round(s.ravel(), 6)
+            some = np.flatnonzero((s >= least) & (s > 0))
+            best, sims = np.concatenate([best, number[some]]), np.concatenate([sims, s[some]])
             keep = np.lexsort((best, -sims))[:k]
-            keep = keep[sims[keep] > 0]
             best, sims = best[keep], sims[keep]
             least = sims[-1] if len(sims) == k else 0.0
         return best, sims
@@ -131,10 +141,9 @@ def _sample(labels: DataFrame, learn: Column, per_class: int) -> tuple[DataFrame
     ids = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     ids = ids.groupBy("doc_id").agg(toxic).withColumn("h", F.xxhash64("doc_id"))
     counts = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
-    salted = Window.partitionBy("toxic", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    final = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    ids = ids.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= per_class)
-    ids = ids.withColumn("n", F.row_number().over(final)).where(F.col("n") <= per_class)
+    # The smallest hashes of each of 64 hash classes: bounded, and no class of labels meets in one task.
+    place = F.row_number().over(Window.partitionBy("toxic", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id"))
+    ids = ids.withColumn("n", place).where(F.col("n") <= math.ceil(per_class / SALTS))
     return ids.select(F.col("doc_id").alias("__id"), "toxic", "h"), counts
 
 
@@ -225,12 +234,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     return Index(terms, idf, rows, share)
 
 
-def _scores(index, part, data, offsets):
-    """Score and evidence of every text of a part of a batch."""
+def _scores(index, part, data, offsets, known):
+    """Score and evidence of every text of a part of a batch; ``known`` keeps those of word counts met before."""
     d, t, c = _vocabulary_counts(data, offsets, index.terms)
     cut = np.searchsorted(d, np.arange(part.num_rows + 1))
-    none = (float(index.without), [], [])
-    return [index.score(t[a:b], c[a:b]) if b > a else none for a, b in zip(cut[:-1], cut[1:])]
+    out = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        key = t[a:b].tobytes(), c[a:b].tobytes()
+        found = known.get(key)
+        if found is None:
+            found = index.score(t[a:b], c[a:b]) if b > a else (float(index.without), [], [])
+            if len(known) < KEPT_SCORES:
+                known[key] = found
+        out.append(found)
+    return out
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -238,9 +255,10 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        known = {}
         for batch in batches:
             for part, data, offsets in K.slices(batch):
-                scores, ids, sims = zip(*_scores(shared.value, part, data, offsets))
+                scores, ids, sims = zip(*_scores(shared.value, part, data, offsets, known))
                 out = [
                     part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())),
                     pa.array(sims, pa.list_(pa.float64())),
@@ -256,9 +274,10 @@ def accepted(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        known = {}
         for batch in batches:
             for part, data, offsets in K.slices(batch, "__t"):
-                kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets)], pa.bool_())
+                kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets, known)], pa.bool_())
                 yield part.filter(kept).drop_columns(["__t"])
 
     return docs.withColumn("__t", text_of()).mapInArrow(run, docs.schema)

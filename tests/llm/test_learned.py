@@ -123,7 +123,7 @@ def test_nearest_is_exact():
     r = np.random.default_rng(0)
     rows = [(i, int(i % 3 == 0), {int(t): int(c) for t, c in zip(r.choice(40, 6, False), r.integers(1, 4, 6))}) for i in range(900)]
     index = toxicity.Index(np.arange(40, dtype=np.uint64), r.uniform(1, 5, 40), rows, {0: 1.0, 1: 1.0})
-    w = index.blocks.reshape(-1, 40)
+    w = index.postings.reshape(40, -1).T
     for _ in range(50):
         terms, counts = np.sort(r.choice(40, 5, False)), r.integers(1, 4, 5)
         q = np.zeros(40)
