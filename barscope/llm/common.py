@@ -65,6 +65,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 23
+
+
+def sifted(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among the first column of ``ids``: all that are, and a few others.
+
+    One bit of a filter of fixed size stands for each id, so at most ``FILTER_BITS / 64`` rows are broadcast
+    whatever the number of ids. An exact join follows; what the filter holds back is not shuffled for it.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    bits = ids.select(place(ids.columns[0]).alias("__p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__p") % 64).cast("int"))
+    bits = bits.groupBy(F.floor(F.col("__p") / 64).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    rows = df.withColumn("__p", place(column)).join(F.broadcast(bits), F.floor(F.col("__p") / 64) == F.col("__word"))
+    return rows.where(F.call_function("getbit", F.col("__bits"), (F.col("__p") % 64).cast("int")) == 1).select(*df.columns)
+
+
 def crc_mod(n: int) -> Column:
     """Remainder of the CRC-32 of the id's decimal text."""
     return F.crc32(F.col("doc_id").cast("string")) % n

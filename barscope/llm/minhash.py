@@ -12,9 +12,10 @@ more. Classes are the connected components of the links, named by their smallest
 Not all pairs of a bucket are held against each other, yet no class is lost:
 1. Documents with the same words are one node.
 2. Each bucket's most popular document (the one whose keys are shared most) is compared with its members.
-3. What still lies in different classes of one bucket is paired unless it can't be similar: a link's common weight
-   is at most what either document shares with any other such document. Most members of a large group are
-   either joined in step 2 or ruled out here by numbers alone.
+3. What still lies in different classes of one bucket is paired unless it can't be similar: the common weight of two
+   documents is at most the lesser share they have with the center plus the lesser share they have, beside
+   it, with any other such document. Most members of a large group are either joined in step 2 or ruled out
+   here by numbers alone.
 
 Null and empty texts and those without a word stand alone, as do rows with a null doc_id (their class is null).
 Rows that share a doc_id are one document. Every row of the input has a row in the result.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barscope.llm import kernels as K
-from barscope.llm.common import text_of, written
+from barscope.llm.common import sifted, text_of, written
 
 SIMILARITY = 0.8
 RARE = 0.01
@@ -219,13 +220,17 @@ def _similar(weights):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+def compared(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """The pairs (a, b) with the similarity of their texts."""
     a = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
     found = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
     found = found.mapInArrow(_similar(weights), "a long, b long, similarity double")
-    return found.where(F.col("similarity") >= least - 1e-9).select("a", "b").distinct()
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,10 +255,14 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _shared(s: Column, t: Column) -> Column:
-    """Whether two documents whose shared weights are s.s and t.s may be similar."""
-    common = F.least(s, t)
-    return common >= SIMILARITY * (F.col("weight") + F.col("other_weight") - common) - 1e-4
+def _may_link(center_part: Column, more: Column, weight: Column) -> Column:
+    """Whether two documents may be similar, from bounds of what they have in common.
+
+    Both know what they share with the bucket's center (``inside``) and what else some document shares
+    (``beside``); in common they have at most the lesser of either.
+    """
+    common = center_part + more
+    return common >= SIMILARITY * (weight - common) - 1e-4
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,16 +281,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = written(band.join(sizes, "band"), "buckets")
     popular = placed.groupBy("rep").agg(F.sum("n").alias("popular"))
     placed = written(placed.join(popular, "rep").drop("n"), "buckets")
-    centers = placed.groupBy("band").agg(F.max(F.struct("popular", (-F.col("rep")).alias("r"))).alias("m"))
-    centers = centers.select("band", (-F.col("m.r")).alias("center"))
-    star = placed.join(centers, "band").where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = written(star, "pairs")
+    centers = placed.groupBy("band").agg(F.max(F.struct("popular", (-F.col("rep")).alias("r"), "weight")).alias("m"))
+    centers = written(centers.select("band", (-F.col("m.r")).alias("center"), F.col("m.weight").alias("center_weight")), "centers")
+    star = placed.join(centers, "band").where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
 
     # The texts that any pair can need.
     need = placed.select(F.col("rep").alias("doc_id")).distinct()
-    own = written(texts.join(need, "doc_id", "left_semi"), "candidate-texts")
-    links = written(verified(star, own, weights), "links")
+    # An inner join: a semi-join would be moved below the sifting.
+    own = written(sifted(texts, "doc_id", need).join(need, "doc_id"), "candidate-texts")
+    star = written(compared(star, own, weights), "pairs")
+    links = _links(star)
     label = components(links)
 
     now = placed.join(label, F.col("rep") == F.col("node"), "left")
@@ -289,18 +298,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("low <> high AND n > 2").select("band")
     left = written(now.join(mixed, "band"), "buckets")
-    alone = own.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    some = left.select(F.col("rep").alias("doc_id")).distinct()
+    alone = own.join(some, "doc_id", "left_semi")
     alone = alone.mapInArrow(_weighed(weights), "doc_id long, v long, w float")
     alone = alone.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("to"), F.sum("w").alias("w"))
     alone = alone.where(F.col("doc_id") == F.col("to")).groupBy("doc_id").agg(F.sum("w").alias("alone"))
+    left = left.join(centers, "band").where("rep <> center")
     left = left.join(alone.select(F.col("doc_id").alias("rep"), "alone"), "rep", "left")
-    left = left.withColumn("shared", F.col("weight") - F.coalesce("alone", F.lit(0.0)))
-    left = written(left.where(F.col("shared") >= SIMILARITY * F.col("weight") - 1e-4).drop("alone"), "buckets")
-    x, y = left, left.select("band", *[F.col(c).alias(f"other_{c}") for c in ("rep", "weight", "label", "shared")])
-    pairs = x.join(y, [x["band"] == y["band"], F.col("rep") < F.col("other_rep"), F.col("label") != F.col("other_label"), _shared(F.col("shared"), F.col("other_shared"))])
-    pairs = pairs.select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    more = verified(written(pairs, "pairs"), own, weights)
+    left = left.join(star.withColumnsRenamed({"a": "center", "b": "rep"}), ["center", "rep"])
+    inside = F.col("similarity") / (1 + F.col("similarity")) * (F.col("weight") + F.col("center_weight"))
+    left = left.withColumn("inside", inside)
+    left = left.withColumn("beside", F.greatest(F.col("weight") - F.col("inside") - F.coalesce("alone", F.lit(0.0)), F.lit(0.0)))
+    left = left.where(_may_link(F.col("inside"), F.col("beside"), F.col("weight") + F.col("inside") + F.col("beside")))
+    left = left.join(reps.select("rep", "bands"), "rep").select("band", "rep", "weight", "label", "inside", "beside", "bands")
+    left = written(left, "buckets")
+    other = left.select(*[F.col(c).alias(f"other_{c}") for c in left.columns])
+    least = lambda c: F.least(F.col(c), F.col(f"other_{c}"))
+    pairs = left.join(other, [
+        F.col("band") == F.col("other_band"),
+        F.col("rep") < F.col("other_rep"),
+        F.col("label") != F.col("other_label"),
+        _may_link(least("inside"), least("beside"), F.col("weight") + F.col("other_weight")),
+        # A pair that shares several bands comes from the first.
+        F.get(F.array_intersect("bands", "other_bands"), F.lit(0)) == F.col("band"),
+    ])
+    pairs = pairs.select(F.col("rep").alias("a"), F.col("other_rep").alias("b"))
+    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _links(compared(written(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), own, weights))
     label = components(links.unionByName(more).unionByName(copies))
     label = label.select(F.col("node").alias("__node"), "label")
     out = rows.select("doc_id").join(label, F.col("doc_id") == F.col("__node"), "left")
