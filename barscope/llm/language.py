@@ -5,14 +5,15 @@ is decided by linear support vector machines, one against one, and so is the lan
 languages: each pair of classes has its machine, the class with most votes wins, the sum of margins breaks
 ties. A family of one language needs no second step.
 
-Machines are fitted on at most ``PER_LANGUAGE`` documents of each language, those with the smallest hashes
-of doc_id, so the choice depends neither on partitions nor on order. ``lang``, ``source`` and ``doc_id`` are
+Machines are fitted on at most ``PER_LANGUAGE`` documents of each language, those with the smallest hashes of
+doc_id in each of ``SALTS`` hash classes, so the choice depends neither on partitions nor on order. ``lang``, ``source`` and ``doc_id`` are
 never inputs of a prediction. Texts that are null or without a letter are ``und`` with score 0; without any
 learned language all texts are. One learned language gives score 1. Rows that repeat are predicted one by one; a null doc_id is kept.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from barscope.llm import kernels as K
 from barscope.llm.common import text_of
 
-PER_LANGUAGE = 300
+PER_LANGUAGE = 320
+SALTS = 64
 BITS = 12
 DIMENSIONS = 1 << BITS
 MAX_LANGUAGES = 200
@@ -140,12 +142,10 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Mod
     The sample is at most ``per_language * MAX_LANGUAGES`` texts; only their features reach the driver.
     """
     ids = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    salted = Window.partitionBy("lang", "salt").orderBy("h", "doc_id")
-    final = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ids.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(64)))
-    # The smallest of each salt first, so that a frequent language doesn't meet in one task.
-    ids = ids.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= per_language)
-    ids = ids.withColumn("n", F.row_number().over(final)).where(F.col("n") <= per_language).select("doc_id", "lang", "h")
+    # The smallest hashes of each of 64 hash classes: bounded, and no language meets in one task.
+    ids = ids.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
+    ids = ids.withColumn("n", place).where(F.col("n") <= math.ceil(per_language / SALTS)).select("doc_id", "lang", "h")
     common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     chosen = ids.join(F.broadcast(common.select("lang")), "lang")
     sample = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(chosen), "doc_id")
