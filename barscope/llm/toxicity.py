@@ -2,17 +2,18 @@
 
 Fitting takes the labelled rows that ``learn`` admits, at most ``PER_CLASS`` of each class (those with the smallest hashes of
 doc_id in each of ``SALTS`` hash classes). Near copies in a class of this sample count once, as a group of copies would make all its words look
-telling. The vocabulary is what tells the classes apart: words of the sample with a chi-square of at least
-``MIN_CHI2``, the best ``TERMS`` of them. Their document frequencies are counted over all texts.
+telling. The cosine runs over all words of the sample. A word's weight is its idf, from the counts over all texts, times
+its contrast: the log-likelihood ratio of its presence in the two classes. A word as common in both weighs nothing, a word of
+one class the more the more texts have it; as cosines don't depend on the scale, neither does the size of the sample matter.
 
-Examples lie in blocks; the index keeps, for every term and block, the largest weight in the block. A text's
-products with these are upper bounds of its similarity to any example of a block; blocks are opened from the
-highest bound down, until no bound reaches the k-th best similarity, so the nearest ``NEIGHBOURS`` are exact.
+The index holds words of at least ``1 / DENSE`` of the examples as rows of a matrix, the others as lists of examples; a text's
+similarities to all examples are a matrix product plus the sums of its lists, so the nearest ``NEIGHBOURS`` are exact.
 Ties go to the example that comes first in the index. They vote with their similarity, weighted so that the
 classes keep their shares among all labelled rows, with the overall share as one more vote. Scores are calibrated
-by a logistic curve over the vote and the number of vocabulary words in the text, fitted to the examples' own
-votes, each without itself. Evidence lists the closest. A text without any vocabulary word, an empty or a null one gets the toxic share of the examples
-without any. Without a usable label scores are 0. Only the bounded sample and counts per vocabulary word reach the driver.
+by a logistic curve over the vote and the number of weighing words in the text, fitted to the examples' own
+votes, each without itself and without its label in the contrasts. Evidence lists the closest. A text without any weighing word, an empty
+or a null one gets the toxic share of the examples without any. Without a usable label scores are 0. Only the words of the bounded sample,
+with their counts, reach the driver.
 """
 
 from __future__ import annotations
@@ -29,77 +30,108 @@ from barscope.llm.common import text_of
 
 PER_CLASS = 5056
 SALTS = 64
-TERMS = 512
-MIN_CHI2 = 30.0
 NEIGHBOURS = 25
 EVIDENCE = 5
-BLOCK = 64
-KEPT_SCORES = 50_000
+DENSE = 16
+ROWS = 128
 
 
 def _vocabulary_counts(data, offsets, terms):
-    """(text, term number, count) for the words of the sorted ``terms``."""
+    """(text, term number, count) for the words of the sorted ``terms``, in order."""
+    value, count, per = K.counted(*K.words(data, offsets))
     if not len(terms):
         return (np.zeros(0, np.int64),) * 3
-    hashes, first = K.words(data, offsets)
-    values = hashes >> K.U(12)
-    at = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
-    hit = terms[at] == values
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[hit]
-    key, count = np.unique(doc * len(terms) + at[hit], return_counts=True)
-    return key // len(terms), key % len(terms), count
+    at = np.minimum(np.searchsorted(terms, value), len(terms) - 1)
+    hit = terms[at] == value
+    return np.repeat(np.arange(len(per) - 1), np.diff(per))[hit], at[hit], count[hit]
+
+
+def _contrast(pos, neg, n_pos, n_neg):
+    """Log-likelihood ratio of words in ``pos`` of ``n_pos`` toxic texts and ``neg`` of ``n_neg`` others."""
+    n, total = pos + neg, max(n_pos + n_neg, 1)
+
+    def cell(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    ratio = cell(pos, n * n_pos / total) + cell(neg, n * n_neg / total)
+    ratio += cell(n_pos - pos, (total - n) * n_pos / total) + cell(n_neg - neg, (total - n) * n_neg / total)
+    return np.round(np.maximum(2 * ratio, 0.0), 9)
 
 
 class Index:
-    """Labelled examples over a vocabulary, in blocks with their largest weights."""
+    """Labelled examples over the words of all of them."""
 
-    def __init__(self, terms, idf, rows, share):
-        """rows: (doc_id, toxic, {term number: count}) in order; share: classes' weights."""
+    def __init__(self, terms, idf, rows, share, without_own=None):
+        """rows: (doc_id, toxic, {term number: count} or arrays of both) in order; share: classes' weights;
+        without_own: the terms' weights for an example of either class, its label left out."""
         self.terms, self.idf = terms, idf
-        # Examples with the same weightiest words lie together, so that a block's bounds are close to its examples.
-        weightiest = lambda r: sorted(r[2], key=lambda t: (-(1 + np.log(r[2][t])) * idf[t], t))[:3]
-        full = sorted((r for r in rows if r[2]), key=weightiest)
-        empty = [share[r[1]] * np.array([r[1], 1.0]) for r in rows if not r[2]]
+        pairs = [r[2] if isinstance(r[2], tuple) else tuple(np.array(x, np.int64) for x in (list(r[2]), list(r[2].values()))) for r in rows]
+        full = [(r, *p) for r, p in zip(rows, pairs) if len(p[0])]
+        empty = [share[r[1]] * np.array([r[1], 1.0]) for r, p in zip(rows, pairs) if not len(p[0])]
         total = sum((share[r[1]] * np.array([r[1], 1.0]) for r in rows), np.zeros(2))
         self.prior = total[0] / total[1] if total[1] else 0.0
         none = sum(empty, np.zeros(2))
         self.without = (none[0] + self.prior) / (none[1] + 1)
-        n = -(-len(full) // BLOCK) * BLOCK
-        w = np.zeros((n, len(terms)), dtype=np.float32)
-        for i, (_, _, counts) in enumerate(full):
-            for t, c in counts.items():
-                w[i, t] = (1 + np.log(c)) * idf[t]
-        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-        self.postings = np.ascontiguousarray(w.T).reshape(len(terms), n // BLOCK, BLOCK)
-        self.highest = self.postings.max(axis=2)
-        self.ids = np.array([r[0] for r in full] + [-1] * (n - len(full)), dtype=np.int64)
-        self.toxic = np.array([r[1] for r in full] + [0] * (n - len(full)), dtype=float)
-        self.weight = np.array([share[r[1]] for r in full] + [0] * (n - len(full)), dtype=float)
+        self.ids = np.array([r[0] for r, _, _ in full], dtype=np.int64)
+        self.toxic = np.array([r[1] for r, _, _ in full], dtype=float)
+        self.weight = np.array([share[r[1]] for r, _, _ in full], dtype=float)
+        # Lists of examples, by term.
+        term = np.concatenate([np.zeros(0, np.int64), *[t for _, t, _ in full]])
+        example = np.repeat(np.arange(len(full), dtype=np.int32), [len(t) for _, t, _ in full])
+        w = (1 + np.log(np.concatenate([np.ones(0), *[c for _, _, c in full]]))) * idf[term]
+        w /= np.maximum(np.sqrt(np.bincount(example, weights=w * w, minlength=len(full))), 1e-12)[example]
+        order = np.argsort(term, kind="stable")
+        self.example, self.w = example[order], w[order].astype(np.float32)
+        self.first = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        dense = np.flatnonzero(np.diff(self.first) * DENSE >= max(len(full), 1))
+        self.row = np.full(len(terms), -1, dtype=np.int32)
+        self.row[dense] = np.arange(len(dense))
+        self._postings = None
         self.curve = np.array([1.0, 0.0, 0.0])
-        self.calibrate([(i, *map(np.array, zip(*sorted(r[2].items())))) for i, r in enumerate(full)])
+        self.calibrate([(i, t, c) for i, (_, t, c) in enumerate(full)], without_own or {0: idf, 1: idf})
+
+    def __getstate__(self):
+        return self.__dict__ | {"_postings": None}
+
+    @property
+    def postings(self):
+        """Weights of the words of many examples, a row for each; made where it is used, as only the lists are sent."""
+        if self._postings is None:
+            dense = np.flatnonzero(self.row >= 0)
+            out = np.zeros((len(dense), len(self.ids)), dtype=np.float32)
+            for k, t in enumerate(dense):
+                at = slice(self.first[t], self.first[t + 1])
+                out[k, self.example[at]] = self.w[at]
+            self._postings = out
+        return self._postings
+
+    def nearest_of(self, cut, terms, weights, k=NEIGHBOURS):
+        """Numbers and similarities of the k nearest examples of each text; its terms lie from one ``cut`` to the next."""
+        text = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        norm = np.sqrt(np.bincount(text, weights=weights * weights, minlength=len(cut) - 1))
+        weights = weights / np.maximum(norm, 1e-12)[text]
+        row, n = self.row[terms], len(self.ids)
+        for low in range(0, len(cut) - 1, ROWS):
+            high = min(low + ROWS, len(cut) - 1)
+            at = np.arange(cut[low], cut[high])
+            at = at[row[at] >= 0]
+            q = np.zeros((high - low, len(self.postings)), dtype=np.float32)
+            q[text[at] - low, row[at]] = weights[at]
+            for i, s in zip(range(low, high), q @ self.postings):
+                some = np.arange(cut[i], cut[i + 1])
+                some = some[(row[some] < 0) & (weights[some] > 0)]
+                start, size = self.first[terms[some]], self.first[terms[some] + 1] - self.first[terms[some]]
+                place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+                s = s + np.bincount(self.example[place], weights=np.repeat(weights[some], size) * self.w[place], minlength=n)
+                s = np.round(s, 6)
+                best = np.flatnonzero((s >= np.partition(s, n - k)[n - k] if n > k else True) & (s > 0))
+                best = best[np.lexsort((best, -s[best]))[:k]]
+                yield best, s[best]
 
     def nearest(self, terms, counts, k=NEIGHBOURS):
         """Numbers and similarities of the k nearest examples that share a term."""
-        q = ((1 + np.log(counts)) * self.idf[terms]).astype(np.float32)
-        q /= np.linalg.norm(q)
         terms = np.asarray(terms)
-        bound = q @ self.highest[terms]
-        order = np.argsort(-bound, kind="stable")
-        best, sims, least = np.zeros(0, int), np.zeros(0), 0.0
-        for at in range(0, len(order), 16):
-            opened = order[at : at + 16]
-            opened = opened[bound[opened] > max(least - 1e-5, 1e-6)]
-            if not len(opened):
-                break
-            s = np.einsum("t,tbk->bk", q, self.postings[terms[:, None], opened])
-            number = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = np.round(s.ravel(), 6)
-            some = np.flatnonzero((s >= least) & (s > 0))
-            best, sims = np.concatenate([best, number[some]]), np.concatenate([sims, s[some]])
-            keep = np.lexsort((best, -sims))[:k]
-            best, sims = best[keep], sims[keep]
-            least = sims[-1] if len(sims) == k else 0.0
-        return best, sims
+        return next(self.nearest_of(np.array([0, len(terms)]), terms, (1 + np.log(counts)) * self.idf[terms], k))
 
     def vote(self, best, sims):
         vote = sims * self.weight[best]
@@ -110,15 +142,21 @@ class Index:
         v = np.clip(vote, 1e-4, 1 - 1e-4)
         return np.array([np.log(v / (1 - v)), np.log(n_terms), 1.0])
 
-    def calibrate(self, examples):
-        """Fit the logistic curve by Newton steps; examples are (number, terms, counts)."""
+    def calibrate(self, examples, idf):
+        """Fit the logistic curve by Newton steps; examples are (number, terms, counts), idf the terms' weights for either class."""
         rows, y, w = [], [], []
-        for i, terms, counts in examples:
-            best, sims = self.nearest(terms, counts, NEIGHBOURS + 1)
-            other = best != i
-            rows.append(self._inputs(self.vote(best[other][:NEIGHBOURS], sims[other][:NEIGHBOURS]), len(terms)))
-            y.append(self.toxic[i])
-            w.append(self.weight[i])
+        for low in range(0, len(examples), ROWS):
+            part = examples[low : low + ROWS]
+            weights = [(1 + np.log(c)) * idf[int(self.toxic[i])][t] for i, t, c in part]
+            cut = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in part])])
+            found = self.nearest_of(cut, np.concatenate([t for _, t, _ in part]), np.concatenate(weights), NEIGHBOURS + 1)
+            for (i, _, _), own, (best, sims) in zip(part, weights, found):
+                other = best != i
+                n_terms = np.count_nonzero(own)
+                if n_terms:
+                    rows.append(self._inputs(self.vote(best[other][:NEIGHBOURS], sims[other][:NEIGHBOURS]), n_terms))
+                    y.append(self.toxic[i])
+                    w.append(self.weight[i])
         x, y, w = np.array(rows).reshape(-1, 3), np.array(y), np.array(w)
         if len(y) < 20 or y.min() == y.max():
             return
@@ -129,10 +167,17 @@ class Index:
             c = c - np.linalg.solve((x.T * (w * p * (1 - p))) @ x + 0.1 * np.eye(3), grad)
         self.curve = c
 
-    def score(self, terms, counts):
-        best, sims = self.nearest(terms, counts)
-        at = float(np.clip(self._inputs(self.vote(best, sims), len(terms)) @ self.curve, -30, 30))
-        return 1 / (1 + float(np.exp(-at))), self.ids[best[:EVIDENCE]].tolist(), sims[:EVIDENCE].tolist()
+    def scores(self, cut, terms, counts):
+        """Score, evidence and its similarities of each text; its terms lie from one ``cut`` to the next."""
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        some = np.concatenate([[0], np.cumsum(weights > 0)])[cut]
+        n_terms = np.diff(some)
+        for n, (best, sims) in zip(n_terms, self.nearest_of(cut, terms, weights)):
+            if n:
+                at = float(np.clip(self._inputs(self.vote(best, sims), n) @ self.curve, -30, 30))
+                yield 1 / (1 + float(np.exp(-at))), self.ids[best[:EVIDENCE]].tolist(), sims[:EVIDENCE].tolist()
+            else:
+                yield float(self.without), [], []
 
 
 def _sample(labels: DataFrame, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -197,14 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     share = {c: counts[c] / max(1, sizes[c]) / mean for c in counts}
     only = F.broadcast(docs.sparkSession.createDataFrame([r[:1] for r in kept], "__kept long"))
     sample = sample.join(only, F.col("doc_id") == F.col("__kept"), "left_semi")
-    pos, neg = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    apart = F.pow(a * (neg - b) - b * (pos - a), 2) * (pos + neg) / (pos * neg * (a + b) * (pos + neg - a - b + 1e-9))
     words = sample.mapInArrow(_term_classes, "w long, pos long, neg long")
-    words = words.groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    words = words.withColumn("chi2", F.round(apart, 6)).where(F.col("chi2") >= MIN_CHI2)
-    chosen = words.orderBy(F.desc("chi2"), "w").limit(TERMS).select("w").collect()
-    terms = np.array(sorted(r["w"] for r in chosen), dtype=np.int64).astype(K.U)
+    words = words.groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    w, pos, neg = (words.column(c).to_numpy() for c in ("w", "pos", "neg"))
+    order = np.argsort(w)
+    terms, pos, neg = w[order].astype(K.U), pos[order], neg[order]
     shared = context.broadcast(terms)
 
     def frequencies(batches):
@@ -214,40 +256,38 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
                 _, t, _ = _vocabulary_counts(data, offsets, shared.value)
                 df += np.bincount(t, minlength=len(df))
                 rows += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int64()), pa.array([rows, *df], pa.int64())], ["t", "n"])
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *t], pa.int64()), pa.array([rows, *df[t]], pa.int64())], ["t", "n"])
 
-    df = {r["t"]: r["n"] for r in texts.select("t").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
+    found = texts.select("t").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)  # the last is the number of texts
+    df[found.column("t").to_numpy()] = found.column("n").to_numpy()
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
     def vectors(batches):
         for batch in batches:
             for part, data, offsets in K.slices(batch):
                 d, t, c = _vocabulary_counts(data, offsets, shared.value)
                 cut = np.searchsorted(d, np.arange(part.num_rows + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, pa.int64())) for v in (t, c)]
+                lists = [pa.array([v[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for v in (t, c)]
                 out = [part.column("doc_id"), part.column("toxic"), part.column("h"), *lists]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "toxic", "h", "terms", "counts"])
 
-    schema = "doc_id long, toxic int, h long, terms array<long>, counts array<long>"
-    found = sorted(sample.mapInArrow(vectors, schema).collect(), key=lambda r: (r["h"], r["doc_id"], r["terms"]))
-    rows = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"]))) for r in found]
-    return Index(terms, idf, rows, share)
+    schema = "doc_id long, toxic int, h long, terms binary, counts binary"
+    found = sorted(sample.mapInArrow(vectors, schema).collect(), key=lambda r: (r["h"], r["doc_id"], bytes(r["terms"])))
+    rows = [(r["doc_id"], r["toxic"], (np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4"))) for r in found]
+    n_pos, n_neg = (sum(r[1] == c for r in rows) for c in (1, 0))
+    without_own = {
+        1: idf * _contrast(np.maximum(pos - 1, 0), neg, max(n_pos - 1, 0), n_neg),
+        0: idf * _contrast(pos, np.maximum(neg - 1, 0), n_pos, max(n_neg - 1, 0)),
+    }
+    return Index(terms, idf * _contrast(pos, neg, n_pos, n_neg), rows, share, without_own)
 
 
-def _scores(index, part, data, offsets, known):
-    """Score and evidence of every text of a part of a batch; ``known`` keeps those of word counts met before."""
+def _scores(index, part, data, offsets):
+    """Score and evidence of every text of a part of a batch."""
     d, t, c = _vocabulary_counts(data, offsets, index.terms)
-    cut = np.searchsorted(d, np.arange(part.num_rows + 1))
-    out = []
-    for a, b in zip(cut[:-1], cut[1:]):
-        key = t[a:b].tobytes(), c[a:b].tobytes()
-        found = known.get(key)
-        if found is None:
-            found = index.score(t[a:b], c[a:b]) if b > a else (float(index.without), [], [])
-            if len(known) < KEPT_SCORES:
-                known[key] = found
-        out.append(found)
-    return out
+    return list(index.scores(np.searchsorted(d, np.arange(part.num_rows + 1)), t, c))
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -255,10 +295,9 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        known = {}
         for batch in batches:
             for part, data, offsets in K.slices(batch):
-                scores, ids, sims = zip(*_scores(shared.value, part, data, offsets, known))
+                scores, ids, sims = zip(*_scores(shared.value, part, data, offsets))
                 out = [
                     part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())),
                     pa.array(sims, pa.list_(pa.float64())),
@@ -274,10 +313,9 @@ def accepted(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        known = {}
         for batch in batches:
             for part, data, offsets in K.slices(batch, "__t"):
-                kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets, known)], pa.bool_())
+                kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets)], pa.bool_())
                 yield part.filter(kept).drop_columns(["__t"])
 
     return docs.withColumn("__t", text_of()).mapInArrow(run, docs.schema)

@@ -119,6 +119,35 @@ def test_toxicity(spark, make_docs):
     assert toxicity.accepted(docs, index).columns == docs.columns
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxic_documents_are_found_at_small_sizes(spark, sf):
+    from barscope.llm.q_toxicity import op4
+
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = op4(spark, f"/root/testdata/{sf}").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert len(toxic) > 10 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    held = [r for r in toxic if r.held_out]
+    assert held and sum(r.predicted for r in held) >= 0.6 * len(held)
+
+
+def test_rare_and_frequent_words_count_alike():
+    r = np.random.default_rng(1)
+    draw = lambda: np.unique(np.minimum(r.zipf(1.3, 60) - 1, 2999))
+    rows = [(i, i % 2, (t, r.integers(1, 4, len(t)))) for i, t in enumerate(draw() for _ in range(500))]
+    idf = np.where(r.random(3000) < 0.1, 0.0, r.uniform(0.1, 5, 3000))
+    index = toxicity.Index(np.arange(3000, dtype=np.uint64), idf, rows, {0: 1.0, 1: 1.0})
+    assert 0 < len(index.postings) < 100
+    w = np.zeros((500, 3000))
+    for i, _, (t, c) in rows:
+        w[i, t] = (1 + np.log(c)) * idf[t]
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    for i in range(0, 500, 10):
+        best, got = index.nearest(*rows[i][2])
+        assert np.allclose(got, np.sort(w @ w[i])[::-1][: toxicity.NEIGHBOURS], atol=2e-6) and np.allclose((w @ w[i])[best], got, atol=2e-6)
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(0)
     rows = [(i, int(i % 3 == 0), {int(t): int(c) for t, c in zip(r.choice(40, 6, False), r.integers(1, 4, 6))}) for i in range(900)]
