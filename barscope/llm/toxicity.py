@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes the labelled rows that ``learn`` admits, at most ``PER_CLASS`` of each class (those with the smallest hashes of
-doc_id in each of ``SALTS`` hash classes). Near copies in a class of this sample count once, as a group of copies would make all its words look
+doc_id in each of ``SALTS`` hash classes). Near copies in a class of this sample (``SIMILAR`` or more of their distinct five-word
+shingles in common, compared exactly) count once, as a group of copies would make all its words look
 telling. The cosine runs over all words of the sample. A word's weight is its idf, from the counts over all texts, times
 its contrast: the log-likelihood ratio of its presence in the two classes. A word as common in both weighs nothing, a word of
 one class the more the more texts have it; as cosines don't depend on the scale, neither does the size of the sample matter.
@@ -13,7 +14,7 @@ classes keep their shares among all labelled rows, with the overall share as one
 by a logistic curve over the vote and the number of weighing words in the text, fitted to the examples' own
 votes, each without itself and without its label in the contrasts. Evidence lists the closest. A text without any weighing word, an empty
 or a null one gets the toxic share of the examples without any. Without a usable label scores are 0. Only the words of the bounded sample,
-with their counts, reach the driver.
+with their counts, and its shingles reach the driver.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ PER_CLASS = 5056
 SALTS = 64
 NEIGHBOURS = 25
 EVIDENCE = 5
+SIMILAR = 0.8
 DENSE = 16
 ROWS = 128
 
@@ -192,28 +194,48 @@ def _sample(labels: DataFrame, learn: Column, per_class: int) -> tuple[DataFrame
     return ids.select(F.col("doc_id").alias("__id"), "toxic", "h"), counts
 
 
-def _sketches(batches):
-    """Smallest shingle hashes of each text under four hash functions."""
+def _shingle_sets(batches):
+    """Distinct shingle hashes of each text, in order."""
     for batch in batches:
         for part, data, offsets in K.slices(batch):
             s, first = K.shingles(*K.words(data, offsets))
-            lists = []
-            for a, b in zip(first[:-1], first[1:]):
-                lists.append([int(K.mix(s[a:b] ^ K.U(k * 977 + 1)).min() >> K.U(1)) for k in range(4)] if b > a else [])
-            out = [part.column("doc_id"), part.column("toxic"), part.column("h"), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "toxic", "h", "sketch"])
+            sets = pa.array([np.unique(s[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), part.column("h"), sets], ["doc_id", "toxic", "h", "shingles"])
+
+
+def first_of_copies(sets: list[np.ndarray]) -> list[int]:
+    """Places of the sets of shingles that no earlier kept one resembles by ``SIMILAR`` or more; empty ones stay.
+
+    Sets so alike share one of the rarest shingles of each, those beyond the ``SIMILAR`` part of its size. Kept sets are
+    looked up by these, and those found are compared in full.
+    """
+    value, count = np.unique(np.concatenate([np.zeros(0, K.U), *sets]), return_counts=True)
+    by_shingle, kept = {}, []
+    for i, s in enumerate(sets):
+        at = np.searchsorted(value, s)
+        rarest = at[np.lexsort((at, count[at]))][: len(s) - math.ceil(SIMILAR * len(s) - 1e-9) + 1]
+        rarest = rarest[count[rarest] > 1].tolist()  # one that no other set has finds nothing
+        for j in sorted({j for x in rarest for j in by_shingle.get(x, ())}):
+            # Neither set repeats a shingle.
+            both = len(np.intersect1d(s, sets[j], assume_unique=True)) if SIMILAR * len(s) <= len(sets[j]) + 1e-9 else 0
+            if both >= SIMILAR * (len(s) + len(sets[j]) - both) - 1e-9:
+                break
+        else:
+            kept.append(i)
+            for x in rarest:
+                by_shingle.setdefault(x, []).append(i)
+    return kept
 
 
 def _without_copies(sample: DataFrame) -> list[tuple[int, int]]:
-    """(doc_id, class) of the bounded sample, without texts that share a sketch value with an earlier one."""
-    rows = sample.mapInArrow(_sketches, "doc_id long, toxic int, h long, sketch array<long>").collect()
-    seen, kept = set(), []
-    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
-        keys = {(r["toxic"], k, v) for k, v in enumerate(r["sketch"])}
-        if not keys & seen:
-            kept.append((r["doc_id"], r["toxic"]))
-        seen |= keys
-    return sorted(set(kept))
+    """(doc_id, class) of the bounded sample, without texts that resemble an earlier kept one of their class."""
+    rows = sample.mapInArrow(_shingle_sets, "doc_id long, toxic int, h long, shingles binary").collect()
+    rows = sorted(rows, key=lambda r: (r["h"], r["doc_id"]))
+    kept = set()
+    for c in (0, 1):
+        own = [r for r in rows if r["toxic"] == c]
+        kept |= {(own[i]["doc_id"], c) for i in first_of_copies([np.frombuffer(r["shingles"], K.U) for r in own])}
+    return sorted(kept)
 
 
 def _term_classes(batches):

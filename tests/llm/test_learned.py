@@ -148,6 +148,34 @@ def test_rare_and_frequent_words_count_alike():
         assert np.allclose(got, np.sort(w @ w[i])[::-1][: toxicity.NEIGHBOURS], atol=2e-6) and np.allclose((w @ w[i])[best], got, atol=2e-6)
 
 
+def test_only_near_copies_are_dropped(spark, make_docs):
+    """Different texts under a common header all count; near copies count once."""
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    header, base = words(40), words(200)
+    rows = [(i, " ".join(header + words(60))) for i in range(100)]
+    rows += [(1000 + i, " ".join([*base[: 10 * i], "edit", *base[10 * i + 1 :]])) for i in range(20)]
+    labels = spark.createDataFrame([(d, 1, d % 2) for d, _ in rows], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(make_docs(rows), labels, F.lit(True))
+    assert {d for d in index.ids.tolist() if d < 1000} == set(range(100))
+    assert sorted(d % 2 for d in index.ids.tolist() if d >= 1000) == [0, 1]
+
+
+def test_first_of_copies_is_exact():
+    r = np.random.default_rng(4)
+    pool = [np.unique(r.integers(0, 400, r.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
+    sets = [np.zeros(0, np.uint64)] * 2
+    for _ in range(400):
+        s = pool[r.integers(60)]
+        sets.append(np.unique(np.concatenate([s[r.random(len(s)) > 0.1], r.integers(0, 400, r.integers(0, 3)).astype(np.uint64)])))
+    kept = []
+    for i, s in enumerate(sets):
+        a = set(s.tolist())
+        if not a or not any(10 * len(a & (b := set(sets[j].tolist()))) >= 8 * len(a | b) for j in kept if len(sets[j])):
+            kept.append(i)
+    assert toxicity.first_of_copies(sets) == kept and 60 < len(kept) < 390
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(0)
     rows = [(i, int(i % 3 == 0), {int(t): int(c) for t, c in zip(r.choice(40, 6, False), r.integers(1, 4, 6))}) for i in range(900)]
