@@ -4,8 +4,10 @@ Detected are e-mail addresses, telephone numbers, payment card, bank and social
 hexadecimal secrets, and names after a title. Each distinct entity gets one surrogate, drawn from a keyed hash
 of its normal form, so that all its mentions in all documents change alike (coreference), whatever their
 punctuation or case. Surrogates keep what the mention shows: length, punctuation and case; a card's
-check digit; octets in range; the case of hexadecimal digits; a name's script and, by its title, its gender. Family names
-are entities of their own, so a bare family name agrees with the full one.
+check digit; octets in range; the case of hexadecimal digits; a name's script and, by its titles, its gender. Family names
+are entities of their own, so a family name after a title agrees with the full one; a given name has one surrogate under all titles.
+Names are only found directly after a title in title case, two words at most: further words, names without a title and names or titles in
+upper case stay as they are.
 
 *Collision checks.* No two entities of a kind share a surrogate and none is itself an entity of that kind that occurs in the
 texts: what collides is drawn again with the next attempt number, entities settled earlier keep theirs. Should a kind's
@@ -217,7 +219,12 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     mentions = some.select("__row", F.explode(F.array_distinct("__found")).alias("m"))
     mentions = mentions.select("__row", "m", F.posexplode(parts_of(F.col("m"))).alias("i", "part")).select("__row", "m", "i", "part.*")
-    drawn = surrogates(mentions, key)
+    # One ending for a given name, whatever titles it has: of its genders the first of f, m and n (none told).
+    without = F.regexp_replace("kind", "^(given-[a-z]+)-[fmn]$", "$1")
+    gender = F.regexp_extract("kind", "^given-[a-z]+(-[fmn])$", 1)
+    entities = mentions.select(without.alias("kind"), "norm", gender.alias("gender")).groupBy("kind", "norm").agg(F.min("gender").alias("gender"))
+    drawn = surrogates(entities.select(F.concat("kind", "gender").alias("kind"), "norm"), key).withColumn("kind", without)
+    mentions = mentions.withColumn("kind", without)
     known = mentions.join(drawn, ["kind", "norm"]).select("__row", "m", "i", "own", in_form(F.col("kind"), F.col("own"), F.col("drawn")).alias("new"))
     by_row = known.groupBy("__row").agg(F.collect_list(F.struct("m", "i", "own", "new")).alias("__known"))
 

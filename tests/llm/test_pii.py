@@ -49,6 +49,12 @@ def test_mentions_agree_and_entities_stay_apart(make_docs):
     assert all(other[i].text != got[i].text for i in ids)
 
 
+def test_given_names_agree_under_all_titles(make_docs):
+    got = changed(make_docs([(1, "Mr John Smith came"), (2, "Dr John Smith came, Mrs Anna Smith too"), (3, "Prof Anna Smith")]))
+    t = {i: re.findall(r"(?:Mr|Dr|Mrs|Prof) (\w+) (\w+)", r.text) for i, r in got.items()}
+    assert t[1][0] == t[2][0] and t[2][1] == t[3][0] and t[1][0][0].endswith("n") and t[3][0][0].endswith("na")
+
+
 def test_collisions_are_drawn_again(spark):
     """All 90 of 100 two-digit numbers need values of their own among 100."""
     rows = spark.createDataFrame([("phone", f"{i:02d}") for i in range(6)] * 2, "kind string, norm string")
