@@ -1,7 +1,7 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a piece the last token of its encoding is unique. It is found from the tokens that end
-there (matches of a suffix automaton over the vocabulary, longest first): the right one is the first whose
+there (matches of an Aho-Corasick automaton over the vocabulary, which stands in for a suffix automaton, longest first): the right one is the first whose
 start has a last token that is *compatible* with it, that is, the two stay apart when both are merged side
 by side. Back-pointers then give the ids. No merge queue is run over the text.
 
