@@ -157,7 +157,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 
     def drawn(s: Column) -> Column:
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(s, i) % 254 + 1).cast("string")), ".")
-        hexadecimal = F.substr(F.repeat(s, 40), F.lit(1), F.length(norm))
+        hexadecimal = F.substr(F.repeat(s, F.ceil(F.length(norm) / F.length(s)).cast("int")), F.lit(1), F.length(norm))
         domain = F.regexp_extract(norm, "@(.*)$", 1)
         own = _bytes(key, F.lit("domain"), domain, F.lit(0), 1)
         local = _alike(F.regexp_extract(norm, "^(.*)@", 1), s)

@@ -55,6 +55,12 @@ def test_given_names_agree_under_all_titles(make_docs):
     assert t[1][0] == t[2][0] and t[2][1] == t[3][0] and t[1][0][0].endswith("n") and t[3][0][0].endswith("na")
 
 
+def test_long_secrets_keep_their_length(make_docs):
+    long = "0123456789abcdef" * 1000
+    got = changed(make_docs([(1, f"key {long} end")]))
+    assert re.fullmatch(r"key [0-9a-f]{16000} end", got[1].text) and long not in got[1].text
+
+
 def test_collisions_are_drawn_again(spark):
     """All 90 of 100 two-digit numbers need values of their own among 100."""
     rows = spark.createDataFrame([("phone", f"{i:02d}") for i in range(6)] * 2, "kind string, norm string")
