@@ -30,9 +30,3 @@ def series(spark):
         return spark.createDataFrame([tuple(r.values()) for r in rows], types)
 
     return make
-
-
-def column(df, name, code="a"):
-    from pyspark.sql import functions as F
-
-    return [r[0] for r in df.where(F.col("code") == code).orderBy("d").select(name).collect()]

@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import column
 from pyspark.sql import functions as F
+from series_helpers import column
 
 from barscope.functions import scopes, series as ts, smoothing, values as val
 from barscope.functions.smoothing import Ewm, with_ewm

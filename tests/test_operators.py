@@ -5,8 +5,8 @@ import random
 
 import pandas as pd
 import pytest
-from conftest import column
 from pyspark.sql import functions as F
+from series_helpers import column
 
 from barscope.functions import series as ts
 from barscope.operators import category, crosssection, quality, research, solver
