@@ -20,6 +20,8 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[65:91] = IN_WORD[128:] = True
+NO_SPACE = np.ones(256, dtype=bool)
+NO_SPACE[9:14] = NO_SPACE[32] = False
 BLOCK = 1 << 20
 
 
@@ -49,9 +51,9 @@ def _powers(n, base):
 _UP, _DOWN = _powers(BLOCK, _BASE), _powers(BLOCK, _INVERSE)
 
 
-def words(data, offsets):
-    """Hash of every word, and the number of words before each text (one entry more than texts)."""
-    inside = IN_WORD[data]
+def words(data, offsets, signs=IN_WORD):
+    """Hash of every word, and the number of words before each text (one entry more than texts); words consist of ``signs``."""
+    inside = signs[data]
     before = np.empty_like(inside)
     before[:1], before[1:] = False, inside[:-1]
     edges = offsets[1:-1]

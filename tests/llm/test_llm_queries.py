@@ -23,7 +23,7 @@ def test_names():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert "pipeline" in names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11))
+    assert "pipeline" in names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 14))
 
 
 def test_pipeline(spark):
