@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barscope.functions.values import rnd
-from barscope.operators.ranking import rank_within, steps
+from barscope.operators.ranking import rank_within, steps, top_within
 
 
 def time_weights(n: int, mode: str = "none", half_life: float = 5.0, linear_min: float = 0.3) -> list[float]:
@@ -89,39 +89,106 @@ def category_rank(ranks: DataFrame, span: DataFrame, mode: str = "strength", min
     return out.limit(top_n) if top_n else out
 
 
+def _decay(mode: str, half_life: float) -> float:
+    return 0.5 ** (1.0 / max(half_life, 1e-6)) if mode.startswith("exp") else 1.0
+
+
+def _rolled(rows: DataFrame, n: int, weights: str, half_life: float) -> DataFrame:
+    """For each code the state of its window after every date on which a rank enters or leaves it.
+
+    Rows have code, d, idx, rank, total. The sums are over the ranks in the window: of their places ``p``, of ones, and both again times
+    the date's index (``pi``, ``i1``), all halved by age for exponential weights. ``until`` is the last index before the state changes.
+    """
+    q = _decay(weights, half_life)
+    # Powers count from the start of blocks of n dates, so they stay in range; a window touches two blocks.
+    place, block = F.col("idx") % n, F.floor(F.col("idx") / n)
+    grown = F.pow(F.lit(1.0 / q), place.cast("double"))
+    known = F.col("rank").isNotNull()
+    p = F.when(known, 1.0 - (F.col("rank") - 1.0) / F.col("total"))
+    # A rank enters at its date and leaves n dates later, both made from its row.
+    kinds = dict(rows.dtypes)
+    enters = F.struct("idx", "d", "rank", "total")
+    leaves = F.struct((F.col("idx") + n).alias("idx"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("d", "rank", "total")])
+    events = rows.select("code", F.inline(F.array(enters, leaves))).withColumns({"_p": p, "_one": F.when(known, F.lit(1.0)), "_g": grown, "_even": block % 2 == 0, "_place": place})
+    line = Window.partitionBy("code").orderBy("idx")
+    inside = line.rangeBetween(-(n - 1), 0)
+    by_date = F.struct("d", "rank")
+    events = events.withColumns({
+        "hits": F.count("rank").over(inside), "best_rank": F.min("rank").over(inside),
+        "_newest": F.max(F.when(known, by_date)).over(inside), "first": F.min("d").over(inside),
+        **{f"_{name}_{side}": F.sum(F.when(F.col("_even") == (side == "even"), F.col(x) * F.col("_g") * (F.col("idx") if name in ("pi", "i1") else 1))).over(inside)
+           for name, x in (("p", "_p"), ("one", "_one"), ("pi", "_p"), ("i1", "_one")) for side in ("even", "odd")
+           if weights.startswith("linear") or name in ("p", "one")},
+        "until": F.lead("idx").over(line) - 1,
+    })
+    events = events.where((F.col("until") >= F.col("idx")) & (F.col("hits") > 0))
+
+    def total(name):
+        # The own block's powers count from its start, the other block is the one before.
+        here = F.when(F.col("_even"), F.col(f"_{name}_even")).otherwise(F.col(f"_{name}_odd"))
+        past = F.when(F.col("_even"), F.col(f"_{name}_odd")).otherwise(F.col(f"_{name}_even"))
+        age = F.col("_place").cast("double")
+        return F.coalesce(here, F.lit(0.0)) * F.pow(F.lit(q), age) + F.coalesce(past, F.lit(0.0)) * F.pow(F.lit(q), age + n)
+
+    names = ("p", "one", "pi", "i1") if weights.startswith("linear") else ("p", "one")
+    return events.select(
+        "code", "idx", "until", "hits", "best_rank", "first", F.col("_newest.d").alias("last"), F.col("_newest.rank").alias("last_rank"),
+        *[total(x).alias(f"s_{x}") for x in names],
+    )
+
+
+def _weighted(state: DataFrame, n: int, weights: str, half_life: float, low: float) -> DataFrame:
+    """Strength and mean strength of a state at end index ``e``: the window's weights have mean 1 over its ``span`` dates."""
+    span, age = F.col("span").cast("double"), (F.col("e") - F.col("idx")).cast("double")
+    if weights.startswith("exp"):
+        q = _decay(weights, half_life)
+        mean = (1.0 - F.pow(F.lit(q), span)) / ((1.0 - q) * span) if q < 1 else F.lit(1.0)
+        scale = F.pow(F.lit(q), age) / mean
+        s, w = F.col("s_p") * scale, F.col("s_one") * scale
+    elif weights in ("", "none"):
+        s, w = F.col("s_p"), F.col("s_one")
+    else:
+        low = min(max(low, 0.0), 1.0)
+        # low + (1 - low) * (place in the window) / (span - 1), the place of index i being span - 1 - (e - i).
+        step = F.when(span > 1, (1.0 - low) / (span - 1.0)).otherwise(F.lit(0.0))
+        base = low + step * (span - 1.0 - F.col("e"))
+        mean = F.when(span > 1, F.lit((1.0 + low) / 2.0)).otherwise(F.lit(low))
+        flat = mean <= 0
+        s, w = (F.when(flat, F.lit(0.0)).otherwise((base * F.col(x) + step * F.col(y)) / mean) for x, y in (("s_p", "s_pi"), ("s_one", "s_i1")))
+    return state.withColumns({"strength": rnd(s, 6), "mean_strength": rnd(s / F.greatest(w, F.lit(1e-9)), 6)})
+
+
 def category_rank_rolling(ranks: DataFrame, calendar: DataFrame, n: int, min_hits: int = 1,
                           top_n: int | None = None, top_m: int | None = None, mode: str = "strength",
                           weights: str = "none", half_life: float = 5.0, linear_min: float = 0.3) -> DataFrame:
     """The list of every end date over its last ``n`` trading days, with the place in the list.
 
-    Each rank row goes to the (at most ``n``) end dates it counts for and is combined map-side by
-    code and end date.
+    A rank counts from its date until it leaves the window. What a code's window holds only changes on these dates, so it is summed up there,
+    in one pass over the code's ranks, and carried to the end dates in between; weights follow from the sums and the
+    end date. Neither ranks nor weights are copied.
     """
-    from barscope.operators.calendar import window_dates
-
-    spark = ranks.sparkSession
+    weights = weights or "none"
+    if not weights.startswith("exp") and weights != "none":
+        weights = "linear"
     limit = top_n if mode == "hits" else top_m
     rows = ranks.where(F.col("rank") <= limit) if limit else ranks
-    spans = window_dates(calendar, n).withColumn("span", F.least(F.col("end_idx"), F.lit(n)))
-    if mode != "hits":
-        table = [
-            (s, s - 1 - i, w)
-            for s in range(1, n + 1)
-            for i, w in enumerate(time_weights(s, weights, half_life, linear_min))
-        ]
-        w = spark.createDataFrame(table, "span int, age int, w double")
-        spans = spans.withColumn("age", F.col("end_idx") - F.col("idx")).join(F.broadcast(w), ["span", "age"])
-    # n rows per calendar date: bounded like the calendar itself.
-    rows = rows.join(F.broadcast(spans), "d")
+    days = calendar.select("d", "idx")  # one row per date
+    state = _rolled(rows.select("code", "d", "rank", "total").join(F.broadcast(days), "d"), n, weights, half_life)
+    need = F.greatest(F.lit(1), F.least(F.lit(min_hits), F.col("span")))
+    state = state.withColumn("e", F.explode(F.sequence("idx", "until"))).withColumn("span", F.least(F.col("e"), F.lit(n)))
+    state = state.where(F.col("hits") >= need)
+    ends = days.select(F.col("d").alias("end_d"), F.col("idx").alias("e"))
+    state = state.join(F.broadcast(ends), "e")
     if mode == "hits":
-        out, order = hit_counts(rows, 1, ("end_d", "span")), hits_order()
+        out = state.select("end_d", "code", "hits", "first", "last")
+        order, head = hits_order(), steps(F.col("hits"), 1, ascending=False)
     else:
-        out, order = rank_strength(rows, 1, ("end_d", "span")), strength_order()
-    need = F.greatest(F.lit(1), F.least(F.lit(min_hits), F.col("span")))
-    out = out.where(F.col("hits") >= need).drop("span")
-    head = steps(F.col("hits"), 1, ascending=False) if mode == "hits" else steps(F.col("strength"), 0.25, ascending=False)
-    out = rank_within(out, ["end_d"], order, [head], "place")
-    return out.where(F.col("place") <= top_n) if top_n else out
+        out = _weighted(state, n, weights, half_life, linear_min)
+        out = out.select("end_d", "code", "strength", "mean_strength", "hits", "best_rank", "last_rank", "first", "last")
+        order, head = strength_order(), steps(F.col("strength"), 0.25, ascending=False)
+    if top_n:
+        return top_within(out, ["end_d"], order, [head], top_n, "place")
+    return rank_within(out, ["end_d"], order, [head], "place")
 
 
 def category_codes(lists: DataFrame, ref) -> DataFrame:

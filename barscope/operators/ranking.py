@@ -63,13 +63,25 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], coars
     return rows.withColumn(out, (F.col("_before") + F.col("_k")).cast("int")).select(*df.columns, out, *([total] if total else []))
 
 
+TOP = 1000  # as many rows of a group does Spark keep per task before the shuffle
+
+
+def top_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], coarse: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group with their place: each task keeps its own first ones, so few rows meet."""
+    if n > TOP:
+        return rank_within(df, by, order, coarse, out).where(F.col(out) <= n)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= n)
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, up: str | None = None, down: str | None = None,
                   total: str | None = None, size: float | None = None) -> DataFrame:
     """Ranks with ties averaged, from the smallest value (``up``) or from the largest (``down``), and the group's size.
 
     Missing values get the integer part of the highest rank plus one, and so does all of a group without any value.
     """
-    rows, names = _bucketed(df, [steps(F.col(value), size)])
+    # Rows without a value are only counted, so they may lie anywhere.
+    anywhere = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(64))).otherwise(F.lit(0))
+    rows, names = _bucketed(df, [steps(F.col(value), size), anywhere])
     w = Window.partitionBy(*by, *names).orderBy(value)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))

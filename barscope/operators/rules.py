@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from barscope.functions import scopes
 from barscope.functions.scopes import PER_BAR, RECENCY, effective_window, parse_scope
 from barscope.functions.values import all_of, sig
+from barscope.operators.reach import condition_back
 from barscope.operators.resample import resample
 
 @dataclass(frozen=True)
 class Clause:
     """One condition: a predicate over feature columns, looked at through a window and a scope.
 
-    ``gate`` is a further predicate, or several, that must hold on the same bar.
+    ``gate`` is a further predicate, or several, that must hold on the same bar. ``back`` says how many bars before its own the
+    condition sees; a condition with a window of its own that doesn't say so is taken to see them all.
     """
 
     when: Column | str
@@ -25,6 +27,7 @@ class Clause:
     window: int = 60
     scope: str = "ANY"
     gate: Column | str | Sequence | None = None
+    back: int | None = None
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,8 @@ class Rule:
 
     ``bins`` are ``(lo, hi, points)`` by bars since the last hit, for the recency scopes; ``gate``
     is a further predicate; ``tag`` names the reason bucket and the published signal.  The scope is ``ANY``
-    unless given, but a gate of a rule with clauses is then looked at on the last bar alone.
+    unless given, but a gate of a rule with clauses is then looked at on the last bar alone. ``back`` holds
+    for the condition and the gate, as in ``Clause``.
     """
 
     name: str
@@ -51,6 +55,7 @@ class Rule:
     reason: str | None = None
     hard: bool = True
     scope_given: bool | None = None
+    back: int | None = None
 
     def __post_init__(self):
         if self.scope_given is None:
@@ -89,7 +94,7 @@ def merge_gate(rule: Rule) -> Rule:
         return rule
     if rule.clauses:
         scope = rule.scope if rule.scope_given else "LAST"
-        more = tuple(Clause(g, rule.timeframe, rule.window, scope) for g in _gates(rule.gate))
+        more = tuple(Clause(g, rule.timeframe, rule.window, scope, back=rule.back) for g in _gates(rule.gate))
         return replace(rule, gate=None, clauses=rule.clauses + more)
     return _gated(rule)
 
@@ -135,6 +140,16 @@ def _units(i: int, rule: Rule) -> list[_Unit]:
     ]
 
 
+def units_of(rule: Rule, gates: bool = True) -> list[tuple[_Unit, int | None]]:
+    """The signals of a rule, each with the bars that its condition sees before its own."""
+    parts = rule.clauses or (rule,)
+    backs = [condition_back(x, c.back) for c in parts for x in [c.when, *_gates(c.gate)] if x is not None]
+    if gates and rule.gate is not None and rule.clauses:
+        backs += [condition_back(x, rule.back) for x in _gates(rule.gate)]
+    back = None if None in backs else max(backs)
+    return [(u, back) for u in _units(0, merge_gate(rule) if gates else _ungated(rule))]
+
+
 def _results(df: DataFrame, units: Sequence[_Unit], dates: bool) -> DataFrame:
     """Signals first, then their scopes: two window layers over one sort."""
     df = df.withColumns({f"{u.key}_s": u.when for u in units})

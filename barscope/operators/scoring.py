@@ -13,6 +13,7 @@ from barscope.functions.values import rnd
 from barscope.operators.indicators import with_indicators
 from barscope.operators.ranking import LAST, letters, rank_within, steps
 from barscope.operators.clean import apply_universe
+from barscope.operators.reach import Reach, as_given, bars_for, day, indicators_back, rules_reach
 from barscope.operators.rules import Rule, evaluate, first_reason, when_text, with_blacklist
 
 BASE_SCORE, MIN_SCORE = 50.0, 0.0
@@ -26,7 +27,7 @@ def total_add(rules: Sequence[Rule]) -> Column:
 def score(
     bars: DataFrame,
     rules: Sequence[Rule],
-    features: Callable[[DataFrame], DataFrame] = lambda df: df,
+    features: Callable[[DataFrame], DataFrame] = as_given,
     base: float = BASE_SCORE,
     floor: float = MIN_SCORE,
     blacklist: Sequence[Rule] = (),
@@ -36,10 +37,16 @@ def score(
     """Score of every code on every date: base plus the adds of all rules, floored.
 
     The adds of a bar are summed in its row; no join or aggregation takes part.  ``blacklist`` rules
-    remove bars and are evaluated in the same pass; ``dates`` (a DataFrame of ``d``) keeps chosen
-    dates only.  The tiebreak is the indicator ``j``, computed if the features do not hold it.
+    remove bars and are evaluated in the same pass; ``dates`` (dates, or a DataFrame of ``d``) keeps chosen
+    dates only, and only the bars that can matter for them are read.  The tiebreak is the indicator ``j``, computed
+    if the features do not hold it.
     """
     both = with_blacklist(rules, blacklist)
+    if dates is not None:
+        # A date column has at most as many values as the calendar.
+        days = [r.d for r in dates.select("d").distinct().collect()] if isinstance(dates, DataFrame) else [day(d) for d in dates]
+        days = sorted({d for d in days if d is not None})
+        bars = bars_for(bars, days[0], days[-1], score_reach(both, features, tiebreak)) if days else bars.limit(0)
     seen = evaluate(bars, both, features, gates=False)
     if tiebreak and "j" not in seen.columns:
         seen = with_indicators(seen, ["kdj"])
@@ -47,11 +54,17 @@ def score(
         seen = seen.where(~F.col(f"r{i}_ok"))
     j = F.col("j") if tiebreak else F.lit(None).cast("double")
     out = seen.withColumn("score", F.greatest(F.lit(base) + total_add(rules), F.lit(floor)))
-    if dates is not None:
-        out = out.join(F.broadcast(dates.select("d").distinct()), "d", "left_semi")
+    if dates is not None and days:
+        out = out.where(F.col("d").isin(days))
     return out.select("code", "d", "score", j.alias("j"))
 
 
+def score_reach(rules: Sequence[Rule], features: Callable[[DataFrame], DataFrame], tiebreak: bool = True) -> Reach:
+    """How far back scores look: the rules (gates merged) over the features, and the tiebreak."""
+    reach = rules_reach(rules, features, gates=False)
+    return reach | Reach(indicators_back(["kdj"])) if tiebreak else reach
+
+
 def recent_history(bars: DataFrame, calendar: DataFrame, first, rows: int) -> DataFrame:
     """Bars from ``rows`` trading days before the first wanted date on.
 
@@ -107,7 +120,7 @@ def rank_scores(scores: DataFrame) -> DataFrame:
     return out.withColumn("score", rnd("score", 3))
 
 
-def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=lambda df: df,
+def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=as_given,
             floor: float = MIN_SCORE, blacklist: Sequence[Rule] = ()) -> DataFrame:
     """Add the adds of chosen rules to existing scores and rank again.
 
@@ -128,7 +141,7 @@ def rescore(ranks: DataFrame, bars: DataFrame, rules: Sequence[Rule], features=l
     return rank_scores(both.where(F.col("score").isNotNull()))
 
 
-def apply_rule(bars: DataFrame, rule: Rule, features=lambda df: df, dates: bool = False) -> DataFrame:
+def apply_rule(bars: DataFrame, rule: Rule, features=as_given, dates: bool = False) -> DataFrame:
     """One rule on every bar, with plain column names: ok, add, and cnt or lag by scope."""
     kind = parse_scope(rule.scope)[0]
     seen = evaluate(bars, [rule], features, dates=dates)
@@ -139,10 +152,13 @@ def apply_rule(bars: DataFrame, rule: Rule, features=lambda df: df, dates: bool
     )
 
 
-def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df, ref=None,
+def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=as_given, ref=None,
            universe: DataFrame | None = None, blacklist: Sequence[Rule] = ()) -> DataFrame:
-    """Codes a rule selects, with their scores, ranked among the selected ones per date."""
+    """Codes a rule selects, with their scores, ranked among the selected ones per date; for a reference date only the
+    bars that can matter for it are read."""
     both = with_blacklist([rule], blacklist)
+    if ref is not None:
+        bars = bars_for(bars, ref, ref, rules_reach(both, features, gates=False))
     hits = evaluate(bars, both, features, gates=False).where("r0_ok")
     for i in range(1, len(both)):
         hits = hits.where(~F.col(f"r{i}_ok"))
@@ -157,7 +173,7 @@ def screen(bars: DataFrame, rule: Rule, ranks: DataFrame, features=lambda df: df
     return rank_within(out, ["d"], order, coarse_order())
 
 
-def screen_lists(bars: DataFrame, rule: Rule, features=lambda df: df, blacklist: Sequence[Rule] = ()):
+def screen_lists(bars: DataFrame, rule: Rule, features=as_given, blacklist: Sequence[Rule] = ()):
     """White and black lists of a screen: selected codes, and the rest with the reason.
 
     Codes that the black list rules out carry its reason and period; the others the screen's own text, with the window it

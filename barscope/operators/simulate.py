@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, fields, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barscope.functions.values import next_day, scenario_id
-from barscope.operators.clean import last_bars, union_bars
-from barscope.operators.indicators import with_indicators
-from barscope.operators.rules import Rule, predicate
-from barscope.operators.scoring import rank_scores, score
+from barscope.operators.clean import last_bars, newest, union_bars
+from barscope.operators.indicators import REGISTRY, with_indicators
+from barscope.operators.reach import Reach, as_given, bars_for, features_back, indicators_back
+from barscope.operators.rules import Rule, merge_gate, predicate
+from barscope.operators.scoring import rank_scores, score, score_reach
 
 MIN_WICK = 0.001  # fixed value: shadow given where the last bar has none
 
@@ -41,9 +41,13 @@ class Scenario:
     reverse_tolerance: float = 1e-6
 
 
-def _fields(scenario: Scenario, overridden: Sequence[str]) -> dict[str, Column]:
-    # A field given per symbol replaces the default where present.
-    base = {f.name: F.lit(getattr(scenario, f.name)) for f in fields(scenario)}
+def _struct(scenario: Scenario) -> Column:
+    return F.struct(*[F.lit(getattr(scenario, f.name)).alias(f.name) for f in fields(scenario)])
+
+
+def _fields(overridden: Sequence[str]) -> dict[str, Column]:
+    """A scenario's fields from the row's ``_sc``; one given per symbol replaces it where present."""
+    base = {f.name: F.col(f"_sc.{f.name}") for f in fields(Scenario)}
     return base | {n: F.coalesce(F.col(f"_ov.{n}"), base[n]) for n in overridden}
 
 
@@ -103,23 +107,39 @@ def next_bars(bars: DataFrame, scenario: Scenario, overrides: DataFrame | None =
     ``overrides`` has code and any scenario fields; where a field is null the default holds.
     ``sim_date`` defaults to the day after the newest bar.
     """
-    if sim_date is None:
-        sim_date = bars.agg(next_day(F.max("d"))).first()[0]
+    return scenario_bars(bars, {"": scenario}, overrides, sim_date).drop("scenario")
+
+
+def scenario_bars(bars: DataFrame, scenarios: dict[str, Scenario], overrides: DataFrame | None = None,
+                  sim_date=None) -> DataFrame:
+    """Simulated bars of every code under named scenarios, all from the row of its last bar.
+
+    The scenarios are an array in that row, so any number of them takes one pass over the bars. What is given in ``overrides`` holds for
+    a code under all of them.
+    """
     last = last_bars(bars.select("code", "d", "o", "h", "l", "c", "v"))
+    if sim_date is None:
+        last = last.join(F.broadcast(last.agg(next_day(F.max("d")).alias("_sim"))), F.col("_sim").isNotNull())  # one row
+    else:
+        last = last.withColumn("_sim", F.lit(sim_date).cast("date"))
     given = [c for c in overrides.columns if c != "code"] if overrides is not None else []
     if given:
         packed = overrides.select("code", F.struct(*given).alias("_ov"))
         last = last.join(packed, "code", "left")
-    s = _fields(scenario, given)
+    each = F.array(*[F.struct(F.lit(n).alias("scenario"), _struct(s).alias("_sc")) for n, s in scenarios.items()])
+    last = last.select("*", F.inline(each))
+    s = _fields(given)
     moved = last.withColumns({f"_{n}": e for n, e in _prices(s).items()} | {"_v": _volume(s)})
     out = _locked(moved, s)
-    if scenario.mode == "reverse_indicator" or "mode" in given and scenario.reverse_indicator:
+    if "mode" in given or any(x.mode == "reverse_indicator" for x in scenarios.values()):
         solved = s["mode"] == "reverse_indicator"
-        names = ["code", *[f"_{n}" for n in "ohlcv"]]
-        reverse = _reverse(bars, last.where(solved), scenario, s)
-        out = out.where(~solved).select(*names).unionByName(reverse.select(*names))
+        names = ["code", "scenario", "_sim", *[f"_{n}" for n in "ohlcv"]]
+        indicators = None if "reverse_indicator" in given else sorted({x.reverse_indicator for x in scenarios.values() if x.reverse_indicator})
+        if indicators is None or indicators:
+            reverse = _reverse(bars, last.where(solved), indicators, s)
+            out = out.where(~solved).select(*names).unionByName(reverse.select(*names))
     return out.select(
-        "code", F.lit(sim_date).cast("date").alias("d"),
+        "scenario", "code", F.col("_sim").alias("d"),
         *[F.col(f"_{n}").alias(n) for n in ("o", "h", "l", "c", "v")],
     )
 
@@ -132,17 +152,22 @@ def _locked(out: DataFrame, s: dict[str, Column]) -> DataFrame:
     })
 
 
-def _reverse(bars: DataFrame, last: DataFrame, scenario: Scenario, s: dict[str, Column]) -> DataFrame:
+def _reverse(bars: DataFrame, last: DataFrame, indicators: Sequence[str] | None, s: dict[str, Column]) -> DataFrame:
     """Prices that bring an indicator to its target; codes that do not converge stay flat.
 
-    Indicator, target and method are the scenario's; ``s`` has its other fields, as given per symbol.
+    Indicator, target, tolerance and method are the row's own, like all other fields.
     """
     from barscope.operators import solver
 
-    solve = solver.reverse_price_grid if scenario.reverse_method == "grid" else solver.reverse_price_bisect
-    found = solve(bars, scenario.reverse_indicator, scenario.reverse_target_value, scenario.reverse_tolerance)
+    names = list(solver.NEXT if indicators is None else indicators)
+    state = solver.last_state(bars, names)
+    keep = [c for c in state.columns if c not in last.columns]
+    want = {"indicator": s["reverse_indicator"], "target": s["reverse_target_value"], "tolerance": s["reverse_tolerance"], "method": s["reverse_method"]}
+    rows = last.withColumns(want).join(state.select("code", *keep), "code")
+    found = solver.solved(rows, names, ["scenario"]).withColumnRenamed("code", "_code").withColumnRenamed("scenario", "_scenario")
     flat = _prices(s | {"mode": F.lit("flat")})
-    out = last.join(found.select("code", "price", "converged"), "code", "left")
+    same = (F.col("code") == F.col("_code")) & (F.col("scenario") == F.col("_scenario"))
+    out = last.join(found.select("_code", "_scenario", "price", "converged"), same, "left")
     ok = F.coalesce("converged", F.lit(False))
     ratio = F.col("price") / F.col("c")
     out = out.withColumns(
@@ -183,42 +208,57 @@ def _check(check, scenario: Scenario) -> Column:
 
 
 def run_prediction(bars: DataFrame, checks: Sequence[tuple[str, Column | str | None, Scenario]],
-                   ranks: DataFrame, features: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+                   ranks: DataFrame, features: Callable[[DataFrame], DataFrame] = as_given) -> DataFrame:
     """Codes whose simulated bar satisfies a check, each under its own scenario, with today's scores.
 
-    Checks of one scenario share its simulation.  A check of None holds for every code.  Under a scenario that sets
-    the open and leaves the close, a check ``c > o`` given as text also holds where they are equal.
+    A check of None holds for every code.  Under a scenario that sets the open and leaves the close, a check ``c > o``
+    given as text also holds where they are equal.  Only the newest bars of each code, as many as the features and the indicator look back, go
+    through the scenarios: each scenario is a series of its own made of them and its simulated bar, so all take one scan.
     """
     ref, sim = bars.agg(F.max("d"), next_day(F.max("d"))).first()
-    groups: dict[Scenario, list] = {}
-    for name, check, scenario in checks:
-        groups.setdefault(scenario, []).append((name, check))
-    parts = []
-    for scenario, named in groups.items():
-        df = features(simulate_next(bars, scenario, indicators=["kdj"], sim_date=sim))
-        df = df.withColumns({f"_c{i}": _check(c, scenario) for i, (_, c) in enumerate(named)}).where("sim")
-        hit = [F.when(F.col(f"_c{i}"), F.lit(n)) for i, (n, _) in enumerate(named)]
-        found = F.filter(F.array(*hit), lambda x: x.isNotNull())
-        parts.append(df.select(
-            "code", F.explode(found).alias("rule_name"), "j",
-            F.lit(ref).alias("ref_date"), F.lit(sim).alias("sim_date"),
-            F.lit(scenario_id(asdict(scenario))).alias("scenario_id"),
-        ))
-    out = reduce(DataFrame.unionByName, parts)
+    scenarios = list(dict.fromkeys(s for _, _, s in checks))
+    back = features_back(features)
+    reach = Reach(None if back is None else max(back, indicators_back(["kdj"]), *[scenario_back(s) for s in scenarios]))
+    kept = bars if ref is None else bars_for(bars, sim, sim, reach, every_code=True)
+    if reach.bars is not None:
+        # A bar more, so that what counts bars knows that there are enough.
+        kept = newest(kept, reach.bars + 1)
+    names = {f"{i:04d}": s for i, s in enumerate(scenarios)}
+    new = scenario_bars(kept, names, sim_date=sim).withColumn("sim", F.lit(True))
+    old = kept.select(F.explode(F.array(*map(F.lit, names))).alias("scenario"), *kept.columns, F.lit(False).alias("sim"))
+    series = F.concat_ws("\x00", "code", "scenario")
+    df = union_bars(old, new).withColumn("_own", F.col("code")).withColumn("code", series)
+    df = features(with_indicators(df, ["kdj"]))
+    wanted = [(n, (F.col("scenario") == f"{scenarios.index(s):04d}") & _check(c, s)) for n, c, s in checks]
+    df = df.withColumns({f"_c{i}": c for i, (_, c) in enumerate(wanted)}).where("sim")
+    found = F.filter(F.array(*[F.when(F.col(f"_c{i}"), F.lit(n)) for i, (n, _) in enumerate(wanted)]), lambda x: x.isNotNull())
+    ids = F.create_map(*[x for n, s in names.items() for x in (F.lit(n), F.lit(scenario_id(asdict(s))))])
+    out = df.select(
+        F.col("_own").alias("code"), F.explode(found).alias("rule_name"), "j", F.lit(ref).alias("ref_date"),
+        F.lit(sim).alias("sim_date"), ids[F.col("scenario")].alias("scenario_id"),
+    )
     today = ranks.where(F.col("d") == F.lit(ref)).select(
         "code", "score", F.col("j").alias("tiebreak_j"), "rank"
     )
     return out.join(today, "code", "left")
 
 
+def scenario_back(scenario: Scenario, overrides: DataFrame | None = None) -> int:
+    """Bars that a simulated bar depends on: the last one, and what a solved indicator looks back."""
+    if overrides is not None and {"mode", "reverse_indicator"} & set(overrides.columns):
+        return indicators_back(list(REGISTRY))
+    solved = scenario.mode == "reverse_indicator" and scenario.reverse_indicator
+    return indicators_back([scenario.reverse_indicator]) if solved else 1
+
+
 def predict_ranking(bars: DataFrame, scenario: Scenario, rules: Sequence[Rule],
-                    features: Callable[[DataFrame], DataFrame] = lambda df: df,
+                    features: Callable[[DataFrame], DataFrame] = as_given,
                     overrides: DataFrame | None = None) -> DataFrame:
-    """Scores and ranks of the simulated date."""
+    """Scores and ranks of the simulated date, from the bars that can matter for it."""
     sim = bars.agg(next_day(F.max("d"))).first()[0]
-    df = simulate_next(bars, scenario, overrides, ["kdj"], sim)
-    out = score(df, rules, features).where(F.col("d") == F.lit(sim))
-    return rank_scores(out)
+    reach = score_reach([merge_gate(r) for r in rules], features) | Reach(scenario_back(scenario, overrides))
+    df = simulate_next(bars_for(bars, sim, sim, reach, every_code=True), scenario, overrides, ["kdj"], sim)
+    return rank_scores(score(df, rules, features).where(F.col("d") == F.lit(sim)))
 
 
 def position_checks(bars: DataFrame, positions: DataFrame, policies: Sequence[tuple[str, Column | str, str]],

@@ -6,7 +6,7 @@ close; the other prices scale with it.  A code is one row, and the search is a f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,8 +105,12 @@ def next_value(indicator: str) -> NextValue:
     return NEXT[indicator]
 
 
-def last_state(bars: DataFrame, indicator: str) -> DataFrame:
-    return last_bars(next_value(indicator).state(bars.select("code", "d", "o", "h", "l", "c", "v")))
+def last_state(bars: DataFrame, indicators: Sequence[str]) -> DataFrame:
+    """What the closed forms of the indicators need, in the row of each code's last bar."""
+    df = bars.select("code", "d", "o", "h", "l", "c", "v")
+    for name in indicators:
+        df = next_value(name).state(df)
+    return last_bars(df)
 
 
 def candidate_prices(c, points: int = GRID_POINTS, span: float = GRID_RANGE) -> Column:
@@ -118,30 +122,25 @@ def candidate_prices(c, points: int = GRID_POINTS, span: float = GRID_RANGE) ->
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + i * step)
 
 
-def _report(df: DataFrame, tolerance: float) -> DataFrame:
-    return df.select(
-        "code", "d", "c", "price", "value", "error",
-        F.coalesce(F.col("error") < tolerance, F.lit(False)).alias("converged"),
-    )
+def solved(state: DataFrame, indicators: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Prices for rows of ``last_state`` that say what they want: indicator, target, tolerance and method (grid, bisect).
 
+    A row may ask for any of the indicators; one that asks for another gets no price. The grid takes the price whose value is nearest the target,
+    the first of equals; bisection is for indicators that rise with the close.
+    """
+    target, tolerance = F.col("target"), F.col("tolerance")
+
+    def value(x):
+        out = F.lit(None).cast("double")
+        for name in indicators:
+            out = F.when(F.col("indicator") == name, NEXT[name].value(x)).otherwise(out)
+        return out
 
-def reverse_price_grid(bars: DataFrame, indicator: str, target: float, tolerance: float = 1e-6) -> DataFrame:
-    """The grid price whose indicator is nearest the target; the first of equals."""
-    value = next_value(indicator).value
     tried = F.transform(
         candidate_prices("c"),
-        lambda x, i: F.struct(F.abs(value(x) - target).alias("error"), i.alias("i"), x.alias("price"),
-                              value(x).alias("value")),
+        lambda x, i: F.struct(F.abs(value(x) - target).alias("error"), i.alias("i"), x.alias("price")),
     )
-    best = F.array_min(F.filter(tried, lambda t: t["error"].isNotNull()))
-    df = last_state(bars, indicator).withColumn("_b", best)
-    return _report(df.select("code", "d", "c", "_b.price", "_b.value", "_b.error"), tolerance)
-
-
-def reverse_price_bisect(bars: DataFrame, indicator: str, target: float, tolerance: float = 1e-6) -> DataFrame:
-    """Bisection on the close, for indicators that rise with it."""
-    value = next_value(indicator).value
-    start = F.struct((F.col("c") * BOUND_LOW).alias("lo"), (F.col("c") * BOUND_HIGH).alias("hi"))
+    grid = F.array_min(F.filter(tried, lambda t: t["error"].isNotNull()))["price"]
 
     def halve(acc, _):
         mid = (acc["lo"] + acc["hi"]) / 2
@@ -152,8 +151,35 @@ def reverse_price_bisect(bars: DataFrame, indicator: str, target: float, toleran
             F.when(~done & ~low, mid).otherwise(acc["hi"]).alias("hi"),
         )
 
+    start = F.struct((F.col("c") * BOUND_LOW).alias("lo"), (F.col("c") * BOUND_HIGH).alias("hi"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, halve)
-    df = last_state(bars, indicator).withColumn("_b", found)
-    df = df.withColumn("price", (F.col("_b.lo") + F.col("_b.hi")) / 2)
+    found = F.when(F.col("indicator").isin(*indicators), (found["lo"] + found["hi"]) / 2)
+    df = state.withColumn("price", F.when(F.col("method") == "grid", grid).otherwise(found))
     df = df.withColumn("value", value(F.col("price"))).withColumn("error", F.abs(F.col("value") - target))
-    return _report(df, tolerance)
+    return df.select(
+        "code", *keep, "d", "c", "price", "value", "error", F.coalesce(F.col("error") < tolerance, F.lit(False)).alias("converged")
+    )
+
+
+def _for_all(bars, indicator, target, tolerance, method) -> DataFrame:
+    want = {"indicator": F.lit(indicator), "target": F.lit(float(target)), "tolerance": F.lit(float(tolerance)), "method": F.lit(method)}
+    return solved(last_state(bars, [indicator]).withColumns(want), [indicator])
+
+
+def reverse_price_grid(bars: DataFrame, indicator: str, target: float, tolerance: float = 1e-6) -> DataFrame:
+    """The grid price whose indicator is nearest the target; the first of equals."""
+    return _for_all(bars, indicator, target, tolerance, "grid")
+
+
+def reverse_price_bisect(bars: DataFrame, indicator: str, target: float, tolerance: float = 1e-6) -> DataFrame:
+    """Bisection on the close, for indicators that rise with it."""
+    return _for_all(bars, indicator, target, tolerance, "bisect")
+
+
+def reverse_prices(bars: DataFrame, wanted: DataFrame, indicators: Sequence[str] | None = None) -> DataFrame:
+    """Prices for the codes of ``wanted`` (code, indicator, target, tolerance, method), each on its own terms.
+
+    ``indicators`` are those that may be asked for, all that can be solved unless given; their states take one pass.
+    """
+    names = list(NEXT if indicators is None else indicators)
+    return solved(last_state(bars, names).join(wanted, "code"), names)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barscope.functions import series as ts
 from barscope.functions.values import rnd
+from barscope.operators.reach import looks_back
 from barscope.operators.rules import Clause, Rule, evaluate, rule_details
 from barscope.operators.scoring import rank_scores, score
 from barscope.plans.registry import CTES, R, ewm_sql, lag, over, strict
@@ -135,6 +136,7 @@ FROM events GROUP BY user_id, CAST(ts AS DATE)"""
 
 # Features and rules -----------------------------------------------------------------------------
 
+@looks_back(19)
 def features(df: DataFrame) -> DataFrame:
     """Columns the example rules read; what a rule set does not read is never computed."""
     return df.withColumns({
@@ -146,7 +148,7 @@ def features(df: DataFrame) -> DataFrame:
 CROSS = "ma5 > ma20 and lag(ma5) over (partition by code order by d) <= lag(ma20) over (partition by code order by d)"
 
 RULES = (
-    Rule("golden", CROSS, 8, window=10, scope="ANY", explain="short average crossed the long one"),
+    Rule("golden", CROSS, 8, window=10, scope="ANY", back=1, explain="short average crossed the long one"),
     Rule("below", "c < ma20", -5, window=10, scope="COUNT>=3", explain="often below the long average"),
     Rule("streak", "c > prev_c", 4, window=10, scope="CONSEC>=3", explain="rose three bars in a row", tag="opportunity"),
     Rule("busy", "v > 1.5 * vma5", 1, window=5, scope="EACH", gate="c > ma5", explain="busy bars"),

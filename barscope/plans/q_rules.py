@@ -257,6 +257,15 @@ def w24(spark, sf):
     return shown(out, ["d"], [], ["code", "score", "j", "rank"])
 
 
+@query("w24_screen_ref", with_("picked") + f"SELECT code, {T('d')} AS d, score, j, rank FROM picked WHERE d = DATE '2000-05-17'")
+def w24_ref(spark, sf):
+    """The screen of one date, from the bars that can matter for it."""
+    ranks = plain_ranks(spark, sf).where(F.col("rank") <= 15)
+    white = fx.lists(spark, sf).where(F.col("list") == "white")
+    out = scoring.screen(fx.bars(spark, sf), fx.RULES[1], ranks, fx.features, "2000-05-17", white)
+    return shown(out, ["d"], [], ["code", "score", "j", "rank"])
+
+
 _SCREEN = f"D10:COUNT>=3::{fx.RULES[1].when}".replace("'", "''")
 
 
@@ -271,7 +280,7 @@ def w24_lists(spark, sf):
 
 @query("w35_top_scores", with_("ranks") + f"SELECT {RANK_COLS} FROM ranks WHERE d = DATE '1999-03-10' ORDER BY rank LIMIT 10")
 def w35(spark, sf):
-    r = fx.ranks(spark, sf).where(F.col("d") == F.lit("1999-03-10").cast("date"))
+    r = scoring.rank_scores(scoring.score(fx.bars(spark, sf), fx.RULES, fx.features, dates=["1999-03-10"]))
     return shown(r.orderBy("rank").limit(10), ["d"], [], ["code", "score", "j", "rank", "total"])
 
 

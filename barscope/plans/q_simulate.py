@@ -16,7 +16,7 @@ from barscope.operators.simulate import Scenario
 from barscope.plans import fixtures as fx
 from barscope.plans.q_series import cents
 from barscope.plans.q_sources import BARS_SQL, bars_out, plain_ranks
-from barscope.plans.registry import CTES, R, T, WIN, out_num, over, query, shown, sql_shown, strict, with_
+from barscope.plans.registry import CTES, R, T, WIN, ewm_sql, out_num, over, query, shown, sql_shown, strict, with_
 
 CTES["final"] = "SELECT code, max(d) AS d, arg_max(o, d) AS o, arg_max(h, d) AS h, arg_max(l, d) AS l, arg_max(c, d) AS c, arg_max(v, d) AS v, arg_max(amount, d) AS amount FROM bars GROUP BY code"
 CTES["simday"] = "SELECT max(d) + 1 AS d FROM bars"
@@ -51,11 +51,8 @@ SIM = ["o", "h", "l", "c", "v"]
 
 @query("x1_scenarios", with_("final", "simday") + f"SELECT kind, code, {T('(SELECT d FROM simday)')} AS d, {', '.join(f'{R(n, 4)} AS {n}' for n in SIM)} FROM ({_rows})".replace("1.0 + ", "1.0::DOUBLE + "))
 def x1(spark, sf):
-    b, out = fx.bars(spark, sf), None
-    for name, (scenario, *_) in CASES.items():
-        part = sim.next_bars(b, scenario).withColumn("kind", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return shown(out, ["d"], SIM, ["kind", "code"], 4)
+    out = sim.scenario_bars(fx.bars(spark, sf), {name: scenario for name, (scenario, *_) in CASES.items()})
+    return shown(out.withColumnRenamed("scenario", "kind"), ["d"], SIM, ["kind", "code"], 4)
 
 
 @query("x2_locked_range", with_("final", "simday") + f"""
@@ -80,6 +77,10 @@ def x4(spark, sf):
     return shown(sim.next_bars(fx.bars(spark, sf), Scenario("close_pct", -2.0), given), [], ["c"], ["code"], 4)
 
 
+CTES["own_target"] = f"""
+SELECT {fx.CODE.format('s_suppkey')} AS code, s_suppkey % 4 AS k FROM supplier WHERE s_suppkey % 4 < 3"""
+
+
 # History and simulated bar together, prices in cents.
 CTES["cfinal"] = "SELECT code, arg_max(o, d) AS o, arg_max(h, d) AS h, arg_max(l, d) AS l, arg_max(c, d) AS c, arg_max(v, d) AS v FROM cents GROUP BY code"
 CTES["longer"] = f"""
@@ -137,13 +138,47 @@ def x7(spark, sf):
     return shown(solver.reverse_price_bisect(cents(spark, sf), "diff", 500.0), ["d"], ["price"], ["code"], 1)
 
 
-@query("x6_reverse_scenario")
+def bisected(state: str, target: float, tolerance: float, out: str) -> str:
+    """Recursive part that halves the bounds of the close until they are as near as asked, for the difference of two averages."""
+    mid = "((1 - 2.0::DOUBLE / 13) * e12 + 2.0::DOUBLE / 13 * ((lo + hi) / 2)) - ((1 - 2.0::DOUBLE / 27) * e26 + 2.0::DOUBLE / 27 * ((lo + hi) / 2))"
+    return f"""{out} AS (SELECT *, c * 0.5 AS lo, c * 2.0 AS hi, 0 AS n FROM {state} UNION ALL
+SELECT * EXCLUDE (mid, f, lo, hi, n), CASE WHEN hi - lo > {tolerance} AND f < {target} THEN mid ELSE lo END AS lo, CASE WHEN hi - lo > {tolerance} AND f >= {target} THEN mid ELSE hi END AS hi, n + 1 AS n
+FROM (SELECT *, (lo + hi) / 2 AS mid, {mid} AS f FROM {out}) WHERE n < 60)"""
+
+
+CTES["own_n"] = f"SELECT *, row_number() OVER ({WIN}) AS rn FROM bars"
+CTES["own12"] = ewm_sql("c", 2 / 13, False, "own_n", "e12")
+CTES["own26"] = ewm_sql("c", 2 / 27, False, "own12", "e26")
+CTES["own_state"] = f"SELECT * FROM own26 QUALIFY row_number() OVER (PARTITION BY code ORDER BY d DESC) = 1"
+_AT = "(1 - 2.0::DOUBLE / 13) * e12 + 2.0::DOUBLE / 13 * p - ((1 - 2.0::DOUBLE / 27) * e26 + 2.0::DOUBLE / 27 * p)"
+
+
+@query("x6_reverse_scenario", "WITH RECURSIVE " + with_("own_state", "simday")[5:] + ", " + bisected("own_state", 0.0, 1e-3, "steps") + f"""
+SELECT code, {T('(SELECT d FROM simday)')} AS d, {R('CASE WHEN ok THEN o * p / c ELSE c END', 2)} AS o, {R('CASE WHEN ok THEN h * p / c ELSE ' + _follow[0] + ' END', 2)} AS h,
+  {R('CASE WHEN ok THEN l * p / c ELSE ' + _follow[1] + ' END', 2)} AS l, {R('CASE WHEN ok THEN p ELSE c END', 2)} AS c, {R('v', 2)} AS v
+FROM (SELECT *, coalesce(abs({_AT}) < 1e-3, false) AS ok FROM (SELECT *, (lo + hi) / 2 AS p FROM steps WHERE n = 60))""")
 def x6_scenario(spark, sf):
-    """Simulated bars whose close comes from the solver (checked by brute force in the tests)."""
+    """Simulated bars whose close comes from the solver."""
     s = Scenario("reverse_indicator", reverse_indicator="diff", reverse_target_value=0.0, reverse_method="bisect", reverse_tolerance=1e-3)
     return shown(sim.next_bars(fx.bars(spark, sf), s), ["d"], SIM, ["code"], 2)
 
 
+@query("x4_reverse_overrides", "WITH RECURSIVE " + with_("tried", "diff_state", "cfinal", "own_target")[5:] + ", " + bisected("diff_state", 500.0, 1e-6, "steps") + f"""
+SELECT f.code, {R(f"CASE k WHEN 0 THEN x WHEN 1 THEN CASE WHEN abs({_AT} - 500.0) < 1e-6 THEN p ELSE f.c END WHEN 2 THEN f.c ELSE f.c * (1.0::DOUBLE + -2.0 / 100.0) END", 1)} AS c
+FROM cfinal f LEFT JOIN own_target t ON t.code = f.code LEFT JOIN (SELECT *, (lo + hi) / 2 AS p FROM steps WHERE n = 60) s ON s.code = f.code
+LEFT JOIN (SELECT code, arg_min(x, {{'e': abs(value - 250000.0), 'i': i}}) AS x FROM tried GROUP BY code) g ON g.code = f.code""")
+def x4_reverse(spark, sf):
+    """Symbols that solve for different indicators, by different methods, in one call; one that asks for an unknown one stays flat."""
+    k = F.col("s_suppkey") % 4
+    pick = lambda a, b, c: F.when(k == 0, F.lit(a)).when(k == 1, F.lit(b)).when(k == 2, F.lit(c))
+    given = fx.load(spark, sf, "supplier").where(k < 3).select(
+        fx.code_of("s_suppkey").alias("code"), F.lit("reverse_indicator").alias("mode"), pick("bbi", "diff", "nothing").alias("reverse_indicator"),
+        pick(250000.0, 500.0, 1.0).alias("reverse_target_value"), pick("grid", "bisect", None).alias("reverse_method"),
+        pick(1e12, 1e-6, 1.0).alias("reverse_tolerance"))
+    out = sim.next_bars(cents(spark, sf), Scenario("close_pct", -2.0), given)
+    return shown(out, [], ["c"], ["code"], 1)
+
+
 @query("j13_candidate_prices", with_("final") + f"""
 SELECT code, i, {R('x', 4)} AS x FROM (SELECT code, i, greatest(c * 0.5, c - c * 0.2) + i * ((least(c * 2.0, c + c * 0.2) - greatest(c * 0.5, c - c * 0.2)) / 49) AS x
 FROM final CROSS JOIN range(50) t(i))""")

@@ -285,3 +285,38 @@ def test_lists_of_other_dates_stay(spark):
     tables.write_lists(lists("2024-01-03", []), path, ["2024-01-03"])
     read = lambda day: sorted(r.code for r in tables.read_list(spark, path, day, "white").collect())
     assert read("2024-01-02") == ["a", "b"] and read("2024-01-03") == []
+
+
+def test_reverse_indicators_per_symbol(spark, series):
+    """Indicator, target, tolerance and method are each symbol's own; solving them together changes nothing."""
+    from barscope.operators.simulate import scenario_bars
+
+    rng = random.Random(8)
+    bars = series({k: [round(10 + rng.random() * 3, 2) for _ in range(60)] for k in "abcdef"})
+    bars = bars.withColumns({"o": F.col("c") - 0.2, "h": F.col("c") + 1, "l": F.col("c") - 1, "v": F.lit(5.0)})
+    wants = {"a": ("bbi", 11.5, "grid", 1.0), "b": ("diff", 0.3, "bisect", 1e-6), "c": ("rsi", 70.0, "bisect", 1e-3), "d": ("kdj", 50.0, "grid", 50.0), "e": ("nothing", 1.0, "grid", 1.0)}
+    table = spark.createDataFrame([(k, "reverse_indicator", *v) for k, v in wants.items()],
+                                  "code string, mode string, reverse_indicator string, reverse_target_value double, reverse_method string, reverse_tolerance double")
+    prices = lambda df: {r.code: (r.o, r.h, r.l, r.c) for r in df.collect()}
+    got = prices(next_bars(bars, Scenario("close_pct", 1.0, reverse_indicator="bbi", reverse_target_value=12.3), table))
+    for k, (name, target, method, tolerance) in wants.items():
+        if name != "nothing":
+            alone = Scenario("reverse_indicator", reverse_indicator=name, reverse_target_value=target, reverse_method=method, reverse_tolerance=tolerance)
+            assert got[k] == pytest.approx(prices(next_bars(bars, alone))[k])
+    assert got["e"] == prices(next_bars(bars, Scenario("flat")))["e"]
+    assert got["f"] == prices(next_bars(bars, Scenario("close_pct", 1.0)))["f"]
+    many = scenario_bars(bars, {"x": Scenario("flat"), "y": Scenario("reverse_indicator", reverse_indicator="diff", reverse_target_value=0.3, reverse_method="bisect")})
+    assert {r.code: r.c for r in many.where("scenario = 'y'").collect()}["b"] == pytest.approx(got["b"][3])
+    assert prices(many.where("scenario = 'x'")) == prices(next_bars(bars, Scenario("flat")))
+
+
+def test_scenarios_share_one_scan(spark, tmp_path):
+    import re
+
+    from barscope.plans import fixtures as fx
+    from barscope.operators.simulate import scenario_bars
+
+    fx.bars(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    scans = lambda n: len(re.findall(r"FileScan", scenario_bars(bars, {str(i): Scenario(pct=float(i)) for i in range(n)})._jdf.queryExecution().executedPlan().toString()))
+    assert scans(1) == scans(9) <= 2
