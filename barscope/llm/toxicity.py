@@ -13,8 +13,8 @@ Ties go to the example that comes first in the index. They vote with their simil
 classes keep their shares among all labelled rows, with the overall share as one more vote. Scores are calibrated
 by a logistic curve over the vote and the number of weighing words in the text, fitted to the examples' own
 votes, each without itself and without its label in the contrasts. Evidence lists the closest. A text without any weighing word, an empty
-or a null one gets the toxic share of the examples without any. Without a usable label scores are 0. Only the words of the bounded sample,
-with their counts, and its shingles reach the driver.
+or a null one gets the toxic share of the examples without any. Without a usable label scores are 0. Only the words of the bounded
+sample, with their counts, reach the driver.
 """
 
 from __future__ import annotations
@@ -78,13 +78,15 @@ class Index:
         self.toxic = np.array([r[1] for r, _, _ in full], dtype=float)
         self.weight = np.array([share[r[1]] for r, _, _ in full], dtype=float)
         # Lists of examples, by term.
-        term = np.concatenate([np.zeros(0, np.int64), *[t for _, t, _ in full]])
+        term = np.concatenate([np.zeros(0, np.int32), *[t.astype(np.int32) for _, t, _ in full]])
         example = np.repeat(np.arange(len(full), dtype=np.int32), [len(t) for _, t, _ in full])
         w = (1 + np.log(np.concatenate([np.ones(0), *[c for _, _, c in full]]))) * idf[term]
         w /= np.maximum(np.sqrt(np.bincount(example, weights=w * w, minlength=len(full))), 1e-12)[example]
-        order = np.argsort(term, kind="stable")
-        self.example, self.w = example[order], w[order].astype(np.float32)
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.example, self.w = example[order], w.astype(np.float32)[order]
+        del example, w
         self.first = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        del term, order
         dense = np.flatnonzero(np.diff(self.first) * DENSE >= max(len(full), 1))
         self.row = np.full(len(terms), -1, dtype=np.int32)
         self.row[dense] = np.arange(len(dense))
@@ -227,15 +229,21 @@ def first_of_copies(sets: list[np.ndarray]) -> list[int]:
     return kept
 
 
+def _first_rows(group: pa.Table) -> pa.Table:
+    """The rows of a class without those that resemble an earlier kept one."""
+    group = group.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    kept = first_of_copies([np.frombuffer(x.as_py(), K.U) for x in group.column("shingles")])
+    return group.select(["doc_id", "toxic"]).take(pa.array(kept, pa.int64()))
+
+
 def _without_copies(sample: DataFrame) -> list[tuple[int, int]]:
-    """(doc_id, class) of the bounded sample, without texts that resemble an earlier kept one of their class."""
-    rows = sample.mapInArrow(_shingle_sets, "doc_id long, toxic int, h long, shingles binary").collect()
-    rows = sorted(rows, key=lambda r: (r["h"], r["doc_id"]))
-    kept = set()
-    for c in (0, 1):
-        own = [r for r in rows if r["toxic"] == c]
-        kept |= {(own[i]["doc_id"], c) for i in first_of_copies([np.frombuffer(r["shingles"], K.U) for r in own])}
-    return sorted(kept)
+    """(doc_id, class) of the bounded sample, without texts that resemble an earlier kept one of their class.
+
+    Each class is gone through in a task; only ids come back.
+    """
+    sets = sample.mapInArrow(_shingle_sets, "doc_id long, toxic int, h long, shingles binary")
+    rows = sets.groupBy("toxic").applyInArrow(_first_rows, "doc_id long, toxic int").collect()
+    return sorted({(r["doc_id"], r["toxic"]) for r in rows})
 
 
 def _term_classes(batches):
@@ -296,8 +304,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "toxic", "h", "terms", "counts"])
 
     schema = "doc_id long, toxic int, h long, terms binary, counts binary"
-    found = sorted(sample.mapInArrow(vectors, schema).collect(), key=lambda r: (r["h"], r["doc_id"], bytes(r["terms"])))
-    rows = [(r["doc_id"], r["toxic"], (np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4"))) for r in found]
+    found = sample.mapInArrow(vectors, schema).toArrow()
+    ids, toxic, h = (found.column(c).to_pylist() for c in ("doc_id", "toxic", "h"))
+    lists = [[x.as_buffer() for x in found.column(c)] for c in ("terms", "counts")]
+    order = sorted(range(len(ids)), key=lambda i: (h[i], ids[i], bytes(lists[0][i])))
+    del words, found
+    rows = [(ids[i], toxic[i], tuple(np.frombuffer(x[i], "<i4") for x in lists)) for i in order]
     n_pos, n_neg = (sum(r[1] == c for r in rows) for c in (1, 0))
     without_own = {
         1: idf * _contrast(np.maximum(pos - 1, 0), neg, max(n_pos - 1, 0), n_neg),
