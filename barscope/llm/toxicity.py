@@ -20,6 +20,7 @@ sample, with their counts, reach the driver.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -212,28 +213,37 @@ def first_of_copies(sets: list[np.ndarray]) -> list[int]:
     looked up by these, and those found are compared in full.
     """
     value, count = np.unique(np.concatenate([np.zeros(0, K.U), *sets]), return_counts=True)
-    by_shingle, kept = {}, []
+    # The kept sets of a shingle are a chain: its newest entry, and from each entry the one before.
+    newest, before, owner, kept = np.full(len(value), -1, dtype=np.int32), array("i"), array("i"), []
     for i, s in enumerate(sets):
         at = np.searchsorted(value, s)
         rarest = at[np.lexsort((at, count[at]))][: len(s) - math.ceil(SIMILAR * len(s) - 1e-9) + 1]
-        rarest = rarest[count[rarest] > 1].tolist()  # one that no other set has finds nothing
-        for j in sorted({j for x in rarest for j in by_shingle.get(x, ())}):
+        rarest = rarest[count[rarest] > 1]  # one that no other set has finds nothing
+        found = set()
+        for k in newest[rarest].tolist():
+            while k >= 0:
+                found.add(owner[k])
+                k = before[k]
+        for j in sorted(found):
             # Neither set repeats a shingle.
             both = len(np.intersect1d(s, sets[j], assume_unique=True)) if SIMILAR * len(s) <= len(sets[j]) + 1e-9 else 0
             if both >= SIMILAR * (len(s) + len(sets[j]) - both) - 1e-9:
                 break
         else:
             kept.append(i)
-            for x in rarest:
-                by_shingle.setdefault(x, []).append(i)
+            before.extend(newest[rarest].tolist())
+            newest[rarest] = np.arange(len(owner), len(owner) + len(rarest))
+            owner.extend([i] * len(rarest))
     return kept
 
 
 def _first_rows(group: pa.Table) -> pa.Table:
     """The rows of a class without those that resemble an earlier kept one."""
-    group = group.sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    kept = first_of_copies([np.frombuffer(x.as_py(), K.U) for x in group.column("shingles")])
-    return group.select(["doc_id", "toxic"]).take(pa.array(kept, pa.int64()))
+    h, ids = (group.column(c).to_numpy() for c in ("h", "doc_id"))
+    order = np.lexsort((ids, h))
+    sets = [np.frombuffer(x.as_buffer(), K.U) for x in group.column("shingles")]
+    kept = first_of_copies([sets[i] for i in order])
+    return group.select(["doc_id", "toxic"]).take(pa.array(order[kept] if kept else [], pa.int64()))
 
 
 def _without_copies(sample: DataFrame) -> list[tuple[int, int]]:
