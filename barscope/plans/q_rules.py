@@ -11,6 +11,7 @@ from barscope.operators import research, rules as rl, scoring
 from barscope.operators.calendar import missing_dates
 from barscope.operators.clean import apply_universe
 from barscope.operators.custom import trigger_span
+from barscope.operators.indicators import with_indicators
 from barscope.operators.rules import Clause, Rule
 from barscope.plans import fixtures as fx
 from barscope.plans.q_sources import plain_ranks
@@ -153,12 +154,12 @@ def w16(spark, sf):
 _ANY10 = f"coalesce(list(d) FILTER (WHERE s0) {over(10)}, [])"
 _EACH5 = f"coalesce(list(d) FILTER (WHERE s3) {over(5)}, [])"
 CTES["dated"] = f"SELECT code, d, {_ANY10} AS l0, {_EACH5} AS l3, CASE WHEN min(d) {over(10)} = d THEN {T('d')} ELSE {T(f'min(d) {over(10)}')} || '-' || {T('d')} END AS p10 FROM sig"
-_rec = "SELECT code, d, {pos} AS pos, '{name}' AS name, '{scope}' AS scope, CAST({pts} AS DOUBLE) AS points, {add} AS add, {cnt} AS cnt, {dates} AS dates FROM adds JOIN dated USING (code, d) WHERE {on}"
+_rec = "SELECT code, d, {pos} AS pos, '{name}' AS name, '{scope}' AS scope, '{tf}' AS timeframe, {windows} AS score_windows, CAST({pts} AS DOUBLE) AS points, {add} AS add, {cnt} AS cnt, {dates} AS dates FROM adds JOIN dated USING (code, d) WHERE {on}"
 
 
 def _record(pos, on=None, dates="[d]", cnt="NULL::INTEGER"):
     r = fx.RULES[pos]
-    return _rec.format(pos=pos, name=r.name, scope=r.scope, pts=r.points, add=f"a{pos}", cnt=cnt, dates=dates, on=on or f"a{pos} <> 0")
+    return _rec.format(pos=pos, name=r.name, scope=r.scope, tf=r.timeframe, windows=scopes.effective_window(r.scope, r.window, r.bins), pts=r.points, add=f"a{pos}", cnt=cnt, dates=dates, on=on or f"a{pos} <> 0")
 
 
 CTES["details"] = " UNION ALL ".join([
@@ -167,11 +168,12 @@ DETAIL_SQL = f"""
 SELECT code, {T('d')} AS d, name, scope, points, add, CAST(cnt AS DOUBLE) AS cnt, len(dates)::INTEGER AS hit_count, {T('list_max(dates)')} AS hit_date FROM details"""
 
 
-@query("w17_rule_details", with_("details") + DETAIL_SQL)
+@query("w17_rule_details", with_("details") + DETAIL_SQL.replace("FROM details", ", timeframe, score_windows, array_to_string(list_transform(dates, lambda e: strftime(e, '%Y%m%d')), ',') AS hit_dates FROM details"))
 def w17(spark, sf):
     x = fx.details(spark, sf)
     return x.select("code", day_text("d").alias("d"), "name", "scope", "points", "add", F.col("cnt").cast("double").alias("cnt"),
-                    "hit_count", day_text("hit_date").alias("hit_date"))
+                    "hit_count", day_text("hit_date").alias("hit_date"), "timeframe", "score_windows",
+                    F.array_join(F.transform("hit_dates", lambda e: F.date_format(e, "yyyyMMdd")), ",").alias("hit_dates"))
 
 
 CTES["crash"] = f"""
@@ -233,14 +235,15 @@ SELECT coalesce(b.code, a.code) AS code, coalesce(b.d, a.d) AS d, greatest(coale
 FROM (SELECT code, d, CAST(v AS DOUBLE) AS score FROM bars WHERE v > 10) b FULL JOIN adds a ON a.code = b.code AND a.d = b.d"""
 
 
-@query("w23_rescore", with_("rescored") + f"""
-SELECT code, {T('d')} AS d, {R('score', 3)} AS score, CAST(row_number() OVER (PARTITION BY d ORDER BY score DESC, code) AS INTEGER) AS rank FROM rescored""")
+@query("w23_rescore", with_("rescored", "day_j") + f"""
+SELECT code, {T('d')} AS d, {R('score', 3)} AS score, j, CAST(row_number() OVER (PARTITION BY d ORDER BY score DESC, j ASC NULLS LAST, code) AS INTEGER) AS rank
+FROM rescored JOIN day_j USING (code, d)""")
 def w23(spark, sf):
     b = fx.bars(spark, sf)
     old = b.where(F.col("v") > 10).select("code", "d", F.col("v").alias("score"), F.lit(None).cast("double").alias("j"))
     chosen = [fx.RULES[0], fx.RULES[3]]
-    out = scoring.rescore(old, b, chosen, fx.features)
-    return shown(out, ["d"], [], ["code", "score", "rank"])
+    out = scoring.rescore(old, b, chosen, lambda df: with_indicators(fx.features(df), ["kdj"]))
+    return shown(out, ["d"], [], ["code", "score", "j", "rank"])
 
 
 CTES["picked"] = """
