@@ -10,10 +10,12 @@ Names are only found directly after a title in title case, two words at most: fu
 upper case stay as they are.
 
 *Collision checks.* No two entities of a kind share a surrogate and none is itself an entity of that kind that occurs in the
-texts: what collides is drawn again with the next attempt number, entities settled earlier keep theirs. Should a kind's
-format have fewer values than entities, what is left after ``ATTEMPTS`` rounds shares values.
+texts: what collides is drawn again with the next attempt number, entities settled earlier keep theirs. Mailboxes and names grow
+longer with the attempts, so there are always enough of them. Should the digits of another kind's format have hardly more
+values than there are entities, what is left after ``ATTEMPTS`` rounds shares values.
 
-Texts without an entity, null and empty ones are left as they are. Every row, also a repeated one, stays, with all its columns;
+Texts without an entity, null and empty ones are left as they are. Texts and runs of any length take time in proportion
+and no stack: a domain of thousands of labels is one address. Every row, also a repeated one, stays, with all its columns;
 rows may have any doc_id, null too. Only texts with entities are written, shuffled and rewritten.
 """
 
@@ -26,8 +28,10 @@ from barscope.llm.common import fields, let, text_of, written
 
 KEY = "surrogates-1"  # callers give their own secret
 ATTEMPTS = 32
+SAME_LENGTH = 8  # attempts after which mailboxes get longer, as a domain has few short ones
 
-# Forms of the entities, tried in this order at each place.
+# Forms of the entities, tried in this order at each place. What repeats without a bound is possessive, or a
+# single character class, and starts only where a run of its characters does: no recursion, and time linear in the text.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин"),
@@ -36,7 +40,7 @@ _TITLES = {
 }
 _TITLE = "|".join(sorted((t for ts in _TITLES.values() for t in ts), key=len, reverse=True))
 FORMS = {
-    "email": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}(?: ?\d{4}){1,5}(?: ?\d{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -47,7 +51,7 @@ FORMS = {
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
 #: What every entity holds: a quick look before the patterns.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[a-fA-F]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 # Syllables and gender endings that surrogate names are built from, by script.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li lo ma me mi mo na ne ra re sa se ta te".split(),
@@ -160,7 +164,8 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         hexadecimal = F.substr(F.repeat(s, F.ceil(F.length(norm) / F.length(s)).cast("int")), F.lit(1), F.length(norm))
         domain = F.regexp_extract(norm, "@(.*)$", 1)
         own = _bytes(key, F.lit("domain"), domain, F.lit(0), 1)
-        local = _alike(F.regexp_extract(norm, "^(.*)@", 1), s)
+        longer = F.repeat(F.lit("x"), F.greatest(attempt - SAME_LENGTH + 1, F.lit(0)))
+        local = _alike(F.concat(F.regexp_extract(norm, "^(.*)@", 1), longer), s)
         email = F.concat(local, F.lit("@"), F.substr(F.translate(own, "0123456789", "ghijklmnop"), F.lit(1), F.lit(10)), F.lit(".example"))
         out = F.when(kind == "email", email).when(kind == "secret", hexadecimal).when(kind == "ip", octets).when(kind == "card", _card(norm, s))
         for script in SYLLABLES:

@@ -81,3 +81,26 @@ def test_repeated_rows_and_long_texts(make_docs):
     got = pii.replaced(make_docs([(1, "a@b.co"), (1, "a@b.co"), (None, "A@B.CO"), (2, long), (3, "a@b.co.")])).collect()
     assert len(got) == 5 and all(r["__n_entities"] == 1 and "a@b.co" not in r.text.lower() for r in got)
     assert len({re.search(r"\S+@\S+?example", r.text.lower())[0] for r in got}) == 1
+
+
+def test_long_runs_of_every_form(make_docs):
+    """Runs of 100,000 characters need no stack, and time in proportion."""
+    n = 100_000
+    runs = ["x@" + "a." * (n // 2) + "com", "z" * n, "a." * (n // 2) + "@b.co", "a@" * (n // 2), "x@" + "z" * n, "1" * n, "1 " * (n // 2), "1.1.1." * (n // 6),
+            "Mr " + "A" + "b" * n + " C" + "d" * n, "Mr A " * (n // 5), "+1" * (n // 2), "AB12" * (n // 4), "ab" * (n // 2), "123-" * (n // 4)]
+    got = changed(make_docs(list(enumerate(runs))))
+    assert len(got) == len(runs) and got[1].text == runs[1] and got[4].text == runs[4]
+    assert got[0]["__n_entities"] == got[2]["__n_entities"] == got[8]["__n_entities"] == got[12]["__n_entities"] == 1
+    assert got[0].text.endswith(".example") and got[12].text != runs[12] and len(got[12].text) == n
+
+
+def test_mail_after_another_entity(make_docs):
+    t = changed(make_docs([(1, "(441) 555-3597.bob@x.com"), (2, "abcdef" * 6 + " no digit in it")]))
+    assert "bob" not in t[1].text and t[1]["__n_entities"] == 2
+    assert t[2]["__n_entities"] == 1 and t[2].text.endswith(" no digit in it")
+
+
+def test_few_mailboxes_of_a_domain_get_distinct_surrogates(make_docs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    got = changed(make_docs([(i, f"{c}@one.org") for i, c in enumerate(letters)]))
+    assert len({r.text for r in got.values()}) == 26 and not {r.text for r in got.values()} & {f"{c}@one.org" for c in letters}
