@@ -18,8 +18,6 @@ empty results.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,16 +82,16 @@ class LineRuns:
         """Per doc_id the hashes of lines that an earlier document holds."""
         known = self.runs()
         late = keys.join(known.hint("merge"), KEY).where("doc_id <> first")
-        return late.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("late"))
+        return late.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("__late"))
 
 
 def _batches(docs: DataFrame, n: int) -> list[Column]:
-    """Conditions that cut the ids into n ranges of equal width."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return []
-    step = max(1, math.ceil((high - low + 1) / n))
-    return [F.col("doc_id").between(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
+    """Conditions that cut the ids at their quantiles, so that an outlying id takes no batch for itself."""
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or [])) if n > 1 else []
+    above = [F.lit(True), *[F.col("doc_id") > c for c in cuts]]
+    upto = [*[F.col("doc_id") <= c for c in cuts], F.col("doc_id").isNotNull()]
+    return [a & b for a, b in zip(above, upto)]
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4) -> DataFrame:
@@ -106,13 +104,11 @@ def dedup_lines(docs: DataFrame, batches: int = 4) -> DataFrame:
         keys = docs.sparkSession.read.schema("doc_id bigint, h1 bigint, h2 bigint").parquet(path)
         runs.add(keys)
         late = keys if late is None else late.unionByName(keys)
-    if late is None:
-        late = docs.sparkSession.createDataFrame([], "doc_id bigint, h1 bigint, h2 bigint")
     late = runs.repeated(late).withColumnRenamed("doc_id", "__id")
     lines = F.split(text_of(), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("late", _hash(x)), F.lit(False)))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__late", _hash(x)), F.lit(False)))
     d = docs.join(late, F.col("doc_id") == F.col("__id"), "left")
-    d = d.withColumns({"__n_lines": F.size(lines).cast("long"), "__kept": F.when(F.col("late").isNotNull(), kept)})
+    d = d.withColumns({"__n_lines": F.size(lines).cast("long"), "__kept": F.when(F.col("__late").isNotNull(), kept)})
     dropped = F.coalesce(F.when(F.col("__kept").isNotNull(), F.col("__n_lines") - F.size("__kept")), F.lit(0))
     text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
     d = d.withColumns({"__n_dropped": dropped.cast("long"), "text": text})

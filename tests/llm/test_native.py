@@ -109,6 +109,16 @@ def test_line_dedup(make_docs):
         assert found == sorted((d or -1, t) for d, t in plain_lines(rows))
 
 
+def test_line_dedup_of_clashing_names_and_outlying_ids(spark):
+    rows = [(k, f"a line of its own {k}\na line that all have", "x") for k in (1, 2, 3, 10**12)]
+    names = ["late", "first", "h1", "h2", "known", "lines"]
+    docs = spark.createDataFrame([(*r, *names[1:]) for r in rows], "doc_id long, text string, late string, first string, h1 string, h2 string, known string, lines string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert [got[k]["__n_dropped"] for k in (1, 2, 3, 10**12)] == [0, 1, 1, 1] and got[2].text == "a line of its own 2" and got[2].late == "x"
+    sizes = [docs.where(c).count() for c in linededup._batches(docs, 4)]
+    assert sizes == [1, 1, 1, 1]
+
+
 def test_line_dedup_odd(odd_docs, no_docs):
     got = linededup.dedup_lines(odd_docs)
     assert got.count() == 10 and linededup.dedup_lines(no_docs).count() == 0
