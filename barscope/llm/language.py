@@ -6,8 +6,11 @@ languages: each pair of classes has its machine, the class with most votes wins,
 ties. A family of one language needs no second step.
 
 Machines are fitted on at most ``PER_LANGUAGE`` documents of each language, those with the smallest hashes of
-doc_id in each of ``SALTS`` hash classes, so the choice depends neither on partitions nor on order. ``lang``, ``source`` and ``doc_id`` are
-never inputs of a prediction. Texts that are null or without a letter are ``und`` with score 0; without any
+doc_id in each of ``SALTS`` hash classes, so the choice depends neither on partitions nor on order; of a doc_id with several
+languages the first by alphabet counts. Each pair's machine is fitted in a task of its own from the features of its two classes, and only weights reach
+the driver. All languages take part: more than ``ALONE`` without a known family are gathered in families of about the
+square root of their number, so that pairs stay few. ``lang``, ``source`` and ``doc_id`` are
+never inputs of a prediction. Texts that are null or without a letter (Unicode category L) are ``und`` with score 0; without any
 learned language all texts are. One learned language gives score 1. Rows that repeat are predicted one by one; a null doc_id is kept.
 """
 
@@ -22,13 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barscope.llm import kernels as K
-from barscope.llm.common import text_of
+from barscope.llm.common import sifted, text_of, written
 
 PER_LANGUAGE = 320
 SALTS = 64
 BITS = 12
 DIMENSIONS = 1 << BITS
-MAX_LANGUAGES = 200
+ALONE = 16
+TOP = ""  # the step between families
 SHARPNESS = 4.0
 
 # Language families by code; other codes are families of their own.
@@ -48,6 +52,16 @@ def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang.lower().split("-")[0] in codes), f"only {lang}")
 
 
+def families_of(langs: list[str]) -> dict[str, str]:
+    """The family of each language; many without a known one share families in order of their codes."""
+    out = {v: family_of(v) for v in langs}
+    rest = sorted(v for v, f in out.items() if f not in FAMILIES)
+    if len(rest) > ALONE:
+        size = math.ceil(math.sqrt(len(rest)))
+        out |= {v: f"others {k // size}" for k, v in enumerate(rest)}
+    return out
+
+
 def features(data, offsets):
     """One row per text: square roots of the shares of hashed 1- to 4-grams of bytes."""
     out = np.zeros((len(offsets) - 1, DIMENSIONS), dtype=np.float32)
@@ -79,21 +93,19 @@ def machine(gram, sign, rounds=200, c=100.0):
     return w
 
 
+def fitted(x, sign):
+    """Weights of the features, and the constant, of the machine between examples of sign 1 and -1."""
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    return x.T @ machine(x @ x.T, sign)
+
+
 class Pairwise:
-    """One machine for each pair of classes."""
-
-    def __init__(self, x, labels):
-        self.classes = sorted(set(labels))
-        self.labels = np.array(labels)
-        self.pairs = list(combinations(range(len(self.classes)), 2))
-        self.w = np.zeros((x.shape[1] + 1, len(self.pairs)), dtype=np.float32)
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        gram = x @ x.T
-        for j, (a, b) in enumerate(self.pairs):
-            rows = np.flatnonzero((self.labels == self.classes[a]) | (self.labels == self.classes[b]))
-            sign = np.where(self.labels[rows] == self.classes[a], 1, -1).astype(np.float32)
-            self.w[:, j] = x[rows].T @ machine(gram[np.ix_(rows, rows)], sign)
-        self.labels = None
+    """One machine for each pair of classes; ``weights`` holds those of the classes' numbers (a, b), a < b."""
+
+    def __init__(self, classes, weights):
+        self.classes = classes
+        self.pairs = list(combinations(range(len(classes)), 2))
+        self.w = np.array([weights[p] for p in self.pairs], dtype=np.float32).reshape(-1, DIMENSIONS + 1).T
 
     def predict(self, x):
         """Class numbers, and the share of confidence of the chosen class against its closest rival."""
@@ -114,13 +126,10 @@ class Pairwise:
 
 
 class Model:
-    def __init__(self, x, langs):
-        families = [family_of(v) for v in langs]
-        self.families = Pairwise(x, families) if len(langs) else None
-        self.within = {}
-        for f in set(families):
-            rows = [i for i, v in enumerate(families) if v == f]
-            self.within[f] = Pairwise(x[rows], [langs[i] for i in rows])
+    def __init__(self, steps):
+        """steps: machines by family, and those between families as ``TOP``."""
+        self.families = steps.get(TOP)
+        self.within = steps
 
     def predict(self, x):
         if self.families is None:
@@ -136,31 +145,49 @@ class Model:
         return list(langs), sure
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on a bounded sample of the rows where ``learn`` holds; at most ``MAX_LANGUAGES`` languages.
+def _vectors(batches):
+    for batch in batches:
+        for part, data, offsets in K.slices(batch):
+            x = features(data, offsets).astype(np.float16)
+            out = [part.column("lang"), part.column("h"), pa.array([v.tobytes() for v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["lang", "h", "x"])
 
-    The sample is at most ``per_language * MAX_LANGUAGES`` texts; only their features reach the driver.
-    """
-    ids = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
+
+def _pair(group: pa.Table) -> pa.Table:
+    """The machine of one pair of classes: at most ``PER_LANGUAGE`` rows for each language of either."""
+    group = group.sort_by([("h", "ascending"), ("lang", "ascending"), ("x", "ascending")])
+    x = np.array([np.frombuffer(v.as_buffer(), np.float16) for v in group.column("x")], dtype=np.float32)
+    w = fitted(x, group.column("sign").to_numpy().astype(np.float32))
+    return group.select(["step", "a", "b"]).slice(0, 1).append_column("w", pa.array([w.astype("<f4").tobytes()], pa.binary()))
+
+
+def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on a bounded sample of the rows where ``learn`` holds: at most ``per_language`` texts of each language."""
+    spark = docs.sparkSession
+    ids = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # The smallest hashes of each of 64 hash classes: bounded, and no language meets in one task.
-    ids = ids.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    ids = ids.groupBy("doc_id").agg(F.min(F.col("lang").cast("string")).alias("lang"))
+    ids = ids.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
     place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
     ids = ids.withColumn("n", place).where(F.col("n") <= math.ceil(per_language / SALTS)).select("doc_id", "lang", "h")
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    chosen = ids.join(F.broadcast(common.select("lang")), "lang")
-    sample = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(chosen), "doc_id")
-
-    def vectors(batches):
-        for batch in batches:
-            for part, data, offsets in K.slices(batch):
-                x = features(data, offsets).astype(np.float16)
-                out = [part.column("doc_id"), part.column("lang"), part.column("h"), pa.array([v.tobytes() for v in x], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang", "h", "x"])
-
-    found = sample.select("doc_id", "lang", "h", "t").mapInArrow(vectors, "doc_id long, lang string, h long, x binary")
-    found = sorted(found.collect(), key=lambda r: (r["h"], r["lang"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], dtype=np.float16) for r in found], dtype=np.float32).reshape(len(found), DIMENSIONS)
-    return Model(x, [r["lang"] for r in found])
+    chosen = written(ids, "language-sample")
+    sample = sifted(docs.select("doc_id", text_of().alias("t")), "doc_id", chosen).join(chosen, "doc_id").select("lang", "h", "t")
+    vectors = written(sample.mapInArrow(_vectors, "lang string, h long, x binary"), "language-vectors")
+
+    family = families_of([r["lang"] for r in vectors.select("lang").distinct().collect()])
+    classes = {TOP: sorted(set(family.values()))} if family else {}
+    classes |= {f: sorted(v for v in family if family[v] == f) for f in set(family.values())}
+    roles = []  # a row for each language, pair and side: some 1.5 powers of the number of languages
+    for step, names in classes.items():
+        for a, b in combinations(range(len(names)), 2):
+            sides = [(k, s) for k, s in ((a, 1), (b, -1))]
+            roles += [(v, step, a, b, s) for k, s in sides for v in family if names[k] in (v, family[v]) and step in (TOP, family[v])]
+    roles = spark.createDataFrame(roles, "lang string, step string, a int, b int, sign int")
+    machines = vectors.join(roles, "lang").groupBy("step", "a", "b").applyInArrow(_pair, "step string, a int, b int, w binary")
+    weights = {name: {} for name in classes}
+    for r in machines.collect():
+        weights[r["step"]][r["a"], r["b"]] = np.frombuffer(r["w"], "<f4")
+    return Model({name: Pairwise(names, weights[name]) for name, names in classes.items()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -168,9 +195,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import re
+        import regex
 
-        letter = re.compile(r"[^\W\d_]").search
+        letter = regex.compile(r"\p{L}").search
         for batch in batches:
             for part, data, offsets in K.slices(batch):
                 langs, sure = shared.value.predict(features(data, offsets))

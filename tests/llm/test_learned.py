@@ -215,6 +215,36 @@ def test_language_odd(make_docs, odd_docs, no_docs):
     assert language.predict(no_docs, none).count() == 0
 
 
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "ein guter Text", "de"), (2, "a good text", "en"), (3, "½ ② ² 12", "de"), (4, "Ⅷ ٣ _", None), (5, "ª", None)],
+                                 "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.predict(docs, language.fit(docs, F.col("doc_id") < 3)).collect()}
+    assert got[3].lang_pred == got[4].lang_pred == "und" and got[3].score == 0 and got[5].lang_pred != "und" and got[1].lang_pred == "de"
+
+
+def test_many_languages_are_all_predicted(spark):
+    rng = random.Random(3)
+    words = {f"q{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for k in range(300)}
+    rows = [(8 * k + i, " ".join(rng.choices(v, k=30)), v_lang) for k, (v_lang, v) in enumerate(words.items()) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = language.predict(docs, language.fit(docs, F.col("doc_id") % 8 < 3)).where("doc_id % 8 = 3")
+    got = {r.doc_id // 8: r.lang_pred for r in out.collect()}
+    assert len(got) == 300 and len(set(got.values())) > 280 and np.mean([got[k] == f"q{k:03d}" for k in got]) > 0.95
+
+
+def test_pairs_vote_like_a_plain_count():
+    rng = np.random.default_rng(1)
+    weights = {(a, b): rng.normal(size=language.DIMENSIONS + 1).astype(np.float32) for a in range(5) for b in range(a + 1, 5)}
+    x = rng.random((40, language.DIMENSIONS)).astype(np.float32)
+    best, sure = language.Pairwise(list("vwxyz"), weights).predict(x)
+    for row, k, p in zip(x, best, sure):
+        m = {pair: language.SHARPNESS * float(row @ w[:-1] + w[-1]) for pair, w in weights.items()}
+        wins = [sum(v > 0 if a == c else v <= 0 for (a, b), v in m.items() if c in (a, b)) for c in range(5)]
+        assert wins[k] == max(wins) and 0 <= p <= 1
+        worst = min(v if a == k else -v for (a, b), v in m.items() if k in (a, b))
+        assert abs(p - 1 / (1 + np.exp(-2 * np.clip(worst, -30, 30)))) < 1e-3
+
+
 def test_families_are_separated():
     assert language.family_of("de") == language.family_of("en-GB") == "germanic" and language.family_of("fr") == "romance"
     assert language.family_of("xx") != language.family_of("yy")
