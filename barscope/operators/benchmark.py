@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barscope.functions.series import so_far, W, last_n
 from barscope.functions.values import div
 
+FEATURES = ("idx_c", "idx_ret", "ret", "exret", "exret_sum", "rs", "beta", "corr")
+
 
 def join_benchmark(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """Benchmark close and return on each bar; one benchmark row per date, so it is broadcast."""
@@ -26,8 +30,31 @@ def align(joined: DataFrame, how: str = "ffill") -> DataFrame:
 
 def benchmark_features(bars: DataFrame, bench: DataFrame, n: int = 20, how: str = "ffill") -> DataFrame:
     """Excess return and its rolling sum, relative strength, beta and correlation."""
+    return _features(align(join_benchmark(bars, bench), how), n)
+
+
+def several_benchmarks(bars: DataFrame, benches: dict[str, DataFrame], n: int = 20, how: str = "ffill") -> DataFrame:
+    """The features against each benchmark, under ``<feature>_<name>``.
+
+    With ``drop`` a benchmark only sees the bars whose dates it and all benchmarks before it have: returns are taken over
+    these bars, and the result holds those that are left in the end. All benchmarks come in one table with a row per date, so
+    it is broadcast, and all windows follow one shuffle of the bars. No benchmarks give the bars as they are.
+    """
+    if not benches:
+        return bars
+    rows = reduce(DataFrame.unionByName, [b.select(F.lit(name).alias("code"), "d", "c") for name, b in benches.items()])
+    rows = rows.withColumn("ret", div("c", F.lag("c").over(W())) - 1)
+    of = lambda name, x: F.max(F.when(F.col("code") == name, F.col(x)))
+    values = [of(name, x).alias(f"{out}_{name}") for name in benches for x, out in (("c", "idx_c"), ("ret", "idx_ret"))]
+    df = bars.join(F.broadcast(rows.groupBy("d").agg(*values)), "d", "left")
+    for name in benches:
+        df = align(df.withColumnsRenamed({f"idx_c_{name}": "idx_c", f"idx_ret_{name}": "idx_ret"}), how)
+        df = _features(df, n).withColumnsRenamed({x: f"{x}_{name}" for x in FEATURES})
+    return df
+
+
+def _features(df: DataFrame, n: int) -> DataFrame:
     least = max(5, n // 3)
-    df = align(join_benchmark(bars, bench), how)
     held = F.last("c", ignorenulls=True).over(so_far())
     df = df.withColumn("_held", held).withColumn("ret", div("_held", F.lag("_held").over(W())) - 1)
     df = df.withColumns({"exret": F.col("ret") - F.col("idx_ret"), "_ratio": div("c", "idx_c")})

@@ -122,6 +122,43 @@ SELECT code, {T('d')} AS d, {R('exret', 4)} AS exret, {R(f'CASE WHEN count(exret
 _bench("ffill", "bf")
 _bench("drop", "bd")
 
+# Two benchmarks that lack different dates; the second one sees what the first has left.
+CTES["high_bench"] = "SELECT d, h AS idx_c, h / nullif(lag(h) OVER (ORDER BY d), 0) - 1 AS idx_ret FROM bench WHERE day(d) % 5 <> 1"
+_FEATURES = {"exret": 4, "exret_sum": 4, "rs": 4, "beta": 3, "corr": 4}
+
+
+def _two_benches(how: str):
+    joined = "LEFT JOIN" if how == "ffill" else "JOIN"
+    hold = (lambda x: f"last_value({x} IGNORE NULLS) {over()}") if how == "ffill" else (lambda x: x)
+    source, kept, w = "bars", "", over(20)
+    for tag, bench in (("close", "half_bench"), ("high", "high_bench")):
+        at = f"two_{how}_{tag}"
+        CTES[f"{at}_a"] = f"SELECT s.*, i.idx_c, i.idx_ret FROM (SELECT code, d, c{kept} FROM {source}) s {joined} {bench} i ON i.d = s.d"
+        CTES[f"{at}_b"] = (
+            f"SELECT * EXCLUDE (idx_c, idx_ret), {hold('idx_c')} AS idx_c, {hold('idx_ret')} AS idx_ret, c / nullif({lag('c')}, 0) - 1 AS ret FROM {at}_a"
+        )
+        CTES[f"{at}_c"] = (
+            f"SELECT *, ret - idx_ret AS exret, c / nullif(idx_c, 0) AS ratio, "
+            f"CASE WHEN idx_ret IS NOT NULL THEN ret END AS x, CASE WHEN ret IS NOT NULL THEN idx_ret END AS y FROM {at}_b"
+        )
+        CTES[f"{at}_d"] = f"""SELECT code, d, c{kept}, exret AS exret_{tag}, CASE WHEN count(exret) {w} >= 6 THEN sum(exret) {w} END AS exret_sum_{tag},
+  ratio / CASE WHEN count(ratio) {w} >= 6 THEN avg(ratio) {w} END AS rs_{tag},
+  CASE WHEN count(x) {w} >= 20 THEN covar_samp(x, y) {w} END / CASE WHEN count(idx_ret) {w} >= 20 THEN nullif(var_samp(idx_ret) {w}, 0) END AS beta_{tag},
+  CASE WHEN count(x) {w} >= 20 THEN covar_samp(x, y) {w} / nullif(stddev_samp(x) {w} * stddev_samp(y) {w}, 0) END AS corr_{tag} FROM {at}_c"""
+        source, kept = f"{at}_d", kept + "".join(f", {x}_{tag}" for x in _FEATURES)
+    names = {f"{x}_{tag}": n for tag in ("close", "high") for x, n in _FEATURES.items()}
+    text = with_(source) + f"SELECT code, {T('d')} AS d, {', '.join(f'{R(x, n)} AS {x}' for x, n in names.items())} FROM {source}"
+
+    @query(f"w28_two_benchmarks_{how}", text)
+    def run(spark, sf):
+        high = fx.bench_bars(spark, sf).where(F.dayofmonth("d") % 5 != 1).select("d", F.col("h").alias("c"))
+        out = benchmark.several_benchmarks(fx.bars(spark, sf), {"close": half_bench(spark, sf), "high": high}, 20, how)
+        return out.select("code", day_text("d").alias("d"), *[out_num(x, n).alias(x) for x, n in names.items()])
+
+
+_two_benches("ffill")
+_two_benches("drop")
+
 # Custom combinations over stored rule records.
 COMBOS = {
     "any": Combination(rules=("golden", "streak"), agg_mode="OR"),

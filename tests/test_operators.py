@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from series_helpers import column
 
 from barscope.functions import series as ts
-from barscope.operators import category, crosssection, quality, research, solver
+from barscope.operators import benchmark, category, crosssection, quality, research, solver
 from barscope.operators.indicators import with_indicators
 from barscope.operators.ranking import average_ranks, previous, rank_within, steps
 from barscope.operators.resample import last_finished, resample
@@ -320,3 +320,35 @@ def test_scenarios_share_one_scan(spark, tmp_path):
     bars = spark.read.parquet(str(tmp_path / "bars"))
     scans = lambda n: len(re.findall(r"FileScan", scenario_bars(bars, {str(i): Scenario(pct=float(i)) for i in range(n)})._jdf.queryExecution().executedPlan().toString()))
     assert scans(1) == scans(9) <= 2
+
+
+@pytest.mark.parametrize("how", ["ffill", "drop"])
+def test_several_benchmarks_like_pandas(spark, how):
+    """Each benchmark lacks other dates; with drop the second sees what the first has left."""
+    rng = random.Random(8)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(60)]
+    series = {"s1": days, "s2": days[7:50]}
+    bars = pd.DataFrame([(c, d, rng.uniform(5, 9)) for c, own in series.items() for d in own], columns=["code", "d", "c"])
+    benches = {"x": pd.DataFrame([(d, rng.uniform(50, 60)) for i, d in enumerate(days) if i % 4], columns=["d", "c"]),
+               "y": pd.DataFrame([(d, rng.uniform(80, 90)) for i, d in enumerate(days) if i % 7 != 2], columns=["d", "c"])}
+    want = []
+    for _, g in bars.groupby("code"):
+        g = g.reset_index(drop=True)
+        for name, b in benches.items():
+            m = g[["d"]].merge(b.assign(r=b.c.pct_change()), on="d", how="left")
+            if how == "ffill":
+                m = m.ffill()
+            else:
+                g, m = g[m.c.notna()].reset_index(drop=True), m[m.c.notna()].reset_index(drop=True)
+            ret, ratio = g.c.pct_change(), g.c / m.c
+            g[f"exret_sum_{name}"] = (ret - m.r).rolling(10, min_periods=5).sum()
+            g[f"rs_{name}"] = ratio / ratio.rolling(10, min_periods=5).mean()
+            g[f"beta_{name}"] = ret.rolling(10).cov(m.r) / m.r.rolling(10).var()
+            g[f"corr_{name}"] = ret.rolling(10).corr(m.r)
+        want.append(g)
+    want = pd.concat(want).sort_values(["code", "d"]).reset_index(drop=True)
+    sides = {n: spark.createDataFrame(b, "d date, c double") for n, b in benches.items()}
+    out = benchmark.several_benchmarks(spark.createDataFrame(bars, "code string, d date, c double"), sides, 10, how)
+    got = out.select(*want.columns).orderBy("code", "d").toPandas()
+    assert 0 < len(want) and (how == "ffill" or len(want) < len(bars))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=1e-8)
