@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barscope.functions.series import W
-from barscope.operators.calendar import date_gaps
 from barscope.operators.clean import code_diff, codes_on, prev_day_pairs
 
 TOLERANCE = 1e-6
@@ -110,28 +109,43 @@ def latest_counts(bars: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.col("d").desc()).limit(k)
 
 
-def health(bars: DataFrame, expected: DataFrame, gap_days: int = 21, ind_lag: int = 0) -> DataFrame:
-    """One row: range, gaps, newest row count against the expected one, and a status."""
-    per_day = bars.groupBy("d").agg(F.count(F.lit(1)).alias("rows"))
-    span = per_day.agg(
-        F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("days"),
-        F.max_by("rows", "d").alias("latest_rows"), F.lit(1).alias("_one"),
-    )
-    gaps = date_gaps(per_day.select("d"), gap_days).agg(
-        F.count(F.lit(1)).alias("gap_cnt"), F.lit(1).alias("_one")
-    )
-    size = expected.agg(F.countDistinct("code").alias("expected_rows"), F.lit(1).alias("_one"))
-    # Three single-row aggregates side by side.
-    out = span.join(F.broadcast(gaps), "_one").join(F.broadcast(size), "_one").drop("_one")
-    low = F.col("latest_rows") < F.greatest(F.lit(100.0), F.col("expected_rows") * 0.6)
-    status = (
+def _alignment(indicators) -> tuple[Column, Column]:
+    """Over rows per date with ``_has_<indicator>``: days from the newest bar back to the newest date that has all
+    indicators' values (0 or less), and whether all indicators have any."""
+    last = [F.max(F.when(F.col(f"_has_{x}") > 0, F.col("d"))) for x in indicators]
+    if not last:
+        return F.lit(0), F.lit(True)
+    return F.datediff(F.array_min(F.array(*last)), F.max("d")), F.forall(F.array(*last), lambda x: x.isNotNull())
+
+
+def _status(least_rows: float) -> Column:
+    low = F.col("latest_rows") < F.greatest(F.lit(float(least_rows)), F.col("expected_rows") * 0.6)
+    return (
         F.when(F.col("days") == 0, F.lit("EMPTY"))
         .when(F.col("gap_cnt") > 0, F.lit("WARN"))
         .when((F.col("latest_rows") > 0) & low, F.lit("CRIT"))
-        .when(F.lit(ind_lag) < 0, F.lit("WARN"))
+        .when(~F.col("ind_exists") | (F.col("ind_lag") < 0), F.lit("WARN"))
         .otherwise(F.lit("OK"))
     )
-    return out.withColumn("status", status)
+
+
+def health(bars: DataFrame, expected: DataFrame, gap_days: int = 21, indicators=(), least_rows: float = 100, by: str | None = None) -> DataFrame:
+    """Range, gaps, newest row count against the expected one, alignment of the indicators, and a status.
+
+    One row, or with ``by`` one for each of its values, such as adjustments; an adjustment without bars has none.
+    ``ind_lag`` says how many days the newest values of the indicator that is farthest behind lie before the newest bar; an
+    indicator without any value gives ``ind_exists`` false. Bars are counted by date first, so all that follows is bounded by the calendar.
+    """
+    key = [by] if by else []
+    per_day = bars.groupBy(*key, "d").agg(F.count(F.lit(1)).alias("rows"), *[F.count(x).alias(f"_has_{x}") for x in indicators])
+    gap = F.datediff(F.lead("d").over(Window.partitionBy(*key).orderBy("d")), "d") > gap_days
+    lag, exists = _alignment(indicators)
+    span = per_day.withColumn("_gap", gap).groupBy(*key).agg(
+        F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("days"), F.count_if("_gap").alias("gap_cnt"),
+        F.max_by("rows", "d").alias("latest_rows"), lag.alias("ind_lag"), exists.alias("ind_exists"), F.lit(1).alias("_one"),
+    )
+    size = expected.agg(F.countDistinct("code").alias("expected_rows"), F.lit(1).alias("_one"))
+    return span.join(F.broadcast(size), "_one").drop("_one").withColumn("status", _status(least_rows))
 
 
 def next_range(bars: DataFrame, expected: DataFrame, end) -> DataFrame:

@@ -99,6 +99,29 @@ FROM (SELECT d, n, lead(d) OVER (ORDER BY d) AS nd FROM (SELECT d, count(*) AS n
 health("q5_health", "bars", fx.bars)
 health("q5_health_gaps", "gaps", gaps)
 
+# Month bars of four kinds: whole, with an indicator that stops early, with few codes in the newest month, and without a year.
+CTES["kinds"] = """
+SELECT k.adj, m.* REPLACE (CASE WHEN k.adj <> 'late' OR m.d <= DATE '2000-06-01' THEN m.v END AS v) FROM (
+  SELECT code, date_trunc('month', d)::DATE AS d, sum(v) AS v, max(h) AS h FROM bars WHERE d < DATE '2001-01-01' GROUP BY ALL) m
+CROSS JOIN (VALUES ('whole'), ('late'), ('few'), ('gap')) k(adj)
+WHERE (k.adj <> 'few' OR m.d < DATE '2000-12-01' OR m.code LIKE '%1') AND (k.adj <> 'gap' OR year(m.d) <> 1999)"""
+
+
+@query("q5_health_by_kind", with_("kinds", "symbols") + f"""
+SELECT adj, {T('first')} AS first, {T('last')} AS last, days, gap_cnt, latest_rows, ind_lag, CASE WHEN gap_cnt > 0 THEN 'WARN'
+  WHEN latest_rows < greatest(5, 0.6 * (SELECT count(DISTINCT code) FROM symbols)) THEN 'CRIT' WHEN ind_lag < 0 THEN 'WARN' ELSE 'OK' END AS status FROM (
+SELECT adj, min(d) AS first, max(d) AS last, count(*) AS days, count(*) FILTER (WHERE nd - d > 40) AS gap_cnt, arg_max(n, d) AS latest_rows,
+  least(max(d) FILTER (WHERE nv > 0), max(d) FILTER (WHERE nh > 0)) - max(d) AS ind_lag
+FROM (SELECT *, lead(d) OVER (PARTITION BY adj ORDER BY d) AS nd FROM (
+  SELECT adj, d, count(*) AS n, count(v) AS nv, count(h) AS nh FROM kinds GROUP BY adj, d)) GROUP BY adj)""")
+def q5_kinds(spark, sf):
+    month = fx.bars(spark, sf).where("d < DATE '2001-01-01'").groupBy("code", F.trunc("d", "month").alias("d")).agg(F.sum("v").alias("v"), F.max("h").alias("h"))
+    kinds = month.withColumn("adj", F.explode(F.array(*map(F.lit, ("whole", "late", "few", "gap")))))
+    kinds = kinds.where("(adj <> 'few' OR d < DATE '2000-12-01' OR code LIKE '%1') AND (adj <> 'gap' OR year(d) <> 1999)")
+    kinds = kinds.withColumn("v", F.when(F.expr("adj <> 'late' OR d <= DATE '2000-06-01'"), F.col("v")))
+    out = quality.health(kinds, fx.symbols(spark, sf), 40, ("v", "h"), 5, "adj")
+    return shown(out, ["first", "last"], [], ["adj", "days", "gap_cnt", "latest_rows", "ind_lag", "status"])
+
 
 @query("q6_next_range", with_("bars", "symbols") + f"""
 SELECT asked, {T('latest')} AS latest, missing, {T("CASE WHEN latest + 1 <= e THEN latest + 1 WHEN missing > 0 THEN latest END")} AS start,
