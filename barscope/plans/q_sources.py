@@ -10,6 +10,7 @@ from barscope.operators.scoring import rank_scores
 from barscope.plans import fixtures as fx
 from barscope.plans.registry import CTES, R, T, query, shown, sql_shown, with_
 from barscope.session import scratch_path
+from barscope.sources import store as store_
 from barscope.sources import tables
 from barscope.streaming.ingest import read_days, stream_days
 
@@ -206,6 +207,25 @@ def s16(spark, sf):
     return shown(out, ["d"], ["c", "v", "amount"], ["code"])
 
 
+@query("s16_stored_upsert", with_("bars") + f"""
+SELECT code, {T('d')} AS d, {R(f"CASE WHEN d < {OLD} THEN c WHEN d >= DATE '2001-01-01' THEN 2 * c END")} AS c,
+  {R(f'CASE WHEN d >= {NEW} THEN v + 1 ELSE v END')} AS v, {R(f'CASE WHEN d < {NEW} OR v > 25 THEN amount END')} AS amount
+FROM bars""")
+def s16_stored(spark, sf):
+    """A stored table of the older bars: an upsert with nulls, a write broken off before its commit, keys only, then prices."""
+    root = scratch_path(spark, "upserted")
+    b = fx.bars(spark, sf).withColumn("ym", store_.month())
+    old, late = F.col("d") < F.lit("2000-01-01").cast("date"), F.col("d") >= F.lit("2001-01-01").cast("date")
+    first = store_.create(b.where(old), root, ["code", "d"], "ym")
+    new = b.where(F.col("d") >= F.lit("1999-07-01").cast("date"))
+    ups = new.select("code", "d", "ym", (F.col("v") + 1).alias("v"), F.when(F.col("v") > 25, F.col("amount")).alias("amount"))
+    store_.upsert(ups, root)
+    store_.stage(b.withColumn("c", F.lit(0.0)), root, first, list(first.folders))
+    store_.upsert(b.select("code", "d", "ym"), root)
+    store_.upsert(b.where(late).select("code", "d", "ym", (F.col("c") * 2).alias("c")), root)
+    return shown(store_.read(spark, root), ["d"], ["c", "v", "amount"], ["code"])
+
+
 @query("s16_rank_update", with_("plain_ranks") + f"""
 SELECT code, {T('d')} AS d, CAST(min(rank) AS INTEGER) AS rank, max(total) AS total FROM plain_ranks GROUP BY code, d""")
 def s16_rank(spark, sf):
