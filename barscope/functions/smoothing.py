@@ -71,11 +71,15 @@ def with_ewm(df: DataFrame, averages: Sequence[Ewm]) -> DataFrame:
     return smooth(place(df, size), averages, size).select(*keep)
 
 
-def smooth(df: DataFrame, averages: Sequence[Ewm], size: int) -> DataFrame:
-    """The averages over bars already placed in blocks; several levels share one sort."""
+def smooth(df: DataFrame, averages: Sequence[Ewm], size: int, seeded: bool = False) -> DataFrame:
+    """The averages over bars already placed in blocks; several levels share one sort.
+
+    With ``seeded`` an input may be an average itself, that of all earlier bars: ``_wt_<out>`` is the weight of the input (1 for
+    plain bars), ``_lag_<out>`` how many bars before this one the last of these lay (0 for plain bars).
+    """
     moving = [(i, a) for i, a in enumerate(averages) if a.alpha < 1.0]
     if moving:
-        df = _blocked(df, moving, size)
+        df = _blocked(df, moving, size, seeded)
     plain = {a.out: col(a.x) for a in averages if a.alpha >= 1.0}
     if plain:
         df = df.withColumns(plain)
@@ -92,7 +96,7 @@ def _line():
     return Window.partitionBy("code").orderBy("_blk", "d")
 
 
-def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]], size: int) -> DataFrame:
+def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]], size: int, seeds: bool = False) -> DataFrame:
     blocks = Window.partitionBy("code", "_blk").orderBy("d")
     so_far = blocks.rowsBetween(Window.unboundedPreceding, 0)
     whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -100,10 +104,11 @@ def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]], size: int) -> DataFra
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     base = df.columns
     valid = {i: F.col(a.x).isNotNull() for i, a in moving}
+    at = {i: F.col("_rn") - F.col(f"_lag_{a.out}") if seeds else F.col("_rn") for i, a in moving}
     seeded = [(i, a) for i, a in moving if not a.adjust]
     if seeded:
         df = df.withColumns({
-            f"_prev{i}": F.last(F.when(valid[i], F.col("_rn")), ignorenulls=True).over(earlier)
+            f"_prev{i}": F.last(F.when(valid[i], at[i]), ignorenulls=True).over(earlier)
             for i, a in seeded
         })
         # Log of the renormalisation after a gap of k rows; zero where there is none.
@@ -120,7 +125,7 @@ def _blocked(df: DataFrame, moving: list[tuple[int, Ewm]], size: int) -> DataFra
         if not a.adjust:
             first = F.when(F.col(f"_prev{i}").isNull(), F.lit(1.0)).otherwise(F.lit(a.alpha))
             wgt = first * wgt * F.exp(F.col(f"_gap{i}") - F.col(f"_g{i}"))
-        weights[f"_w{i}"] = F.when(valid[i], wgt)
+        weights[f"_w{i}"] = F.when(valid[i], wgt * F.col(f"_wt_{a.out}") if seeds else wgt)
     df = df.withColumns(weights)
     sums = {}
     for i, a in moving:

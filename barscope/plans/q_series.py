@@ -11,6 +11,8 @@ from barscope.operators import indicators as ind
 from barscope.operators.rules import Clause, Rule, rule_tags, tag_columns
 from barscope.plans import fixtures as fx
 from barscope.plans.registry import CTES, R, T, WIN, ewm_sql, lag, over, query, shown, sql_shown, strict, with_
+from barscope.session import scratch_path
+from barscope.streaming.ingest import read_values, stream_indicators, take_batch
 
 # Closes with holes, so windows meet missing values.
 CTES["holes"] = (
@@ -271,3 +273,34 @@ def i11(spark, sf):
     b = cents(spark, sf)
     new = b.where(F.col("d") >= F.lit("2001-01-01").cast("date")).withColumn("v", F.col("v") * 2)
     return shown(ind.indicators_incremental(b, new, INC), ["d"], [], ["code", "vr", "bbi"])
+
+
+def _between(b, start: str, end: str):
+    return b.where((F.col("d") >= F.lit(start).cast("date")) & (F.col("d") < F.lit(end).cast("date")))
+
+
+def _carried(spark, root: str):
+    return shown(read_values(spark, root), ["d"], [], ["code", *[ind.REGISTRY[n].out for n in ALL]])
+
+
+@query("i11_state", with_("all_ind") + f"SELECT code, {T('d')} AS d, {_ALL_SQL} FROM all_ind")
+def i11_state(spark, sf):
+    """Six indicators over three batches from stored states. The first has wrong prices of some codes; the last corrects them."""
+    b, root = cents(spark, sf), scratch_path(spark, "carried")
+    doubtful = F.col("code").like("%7") & (F.col("d") >= F.lit("1994-06-01").cast("date"))
+    first = _between(b, "1900-01-01", "1995-01-01")
+    take_batch(first.withColumn("c", F.when(doubtful, F.col("c") + 100).otherwise(F.col("c"))), 0, root, ALL)
+    take_batch(_between(b, "1995-01-01", "1998-01-01"), 1, root, ALL)
+    take_batch(_between(b, "1998-01-01", "2100-01-01").unionByName(first.where(doubtful)), 2, root, ALL)
+    return _carried(spark, root)
+
+
+@query("s19_stream_indicators", with_("all_ind") + f"SELECT code, {T('d')} AS d, {_ALL_SQL} FROM all_ind")
+def s19_indicators(spark, sf):
+    """Three deliveries of files, each taken up by a stream that goes on from the stored states."""
+    b = cents(spark, sf).withColumn("seq", F.lit(1))
+    landing, root, offsets = (scratch_path(spark, n) for n in ("landing", "streamed", "offsets"))
+    for start, end in (("1900-01-01", "1996-01-01"), ("1996-01-01", "1997-01-01"), ("1997-01-01", "2100-01-01")):
+        _between(b, start, end).write.mode("append").parquet(landing)
+        stream_indicators(spark, landing, b.schema, root, ALL, offsets).awaitTermination()
+    return _carried(spark, root)
