@@ -89,6 +89,23 @@ def category_rank(ranks: DataFrame, span: DataFrame, mode: str = "strength", min
     return out.limit(top_n) if top_n else out
 
 
+def list_hits(lists: DataFrame, span: DataFrame, name: str = "white", min_hits: int = 1, top_n: int | None = None) -> DataFrame:
+    """How often and from when to when a code was on the white or black list of the span's dates.
+
+    ``lists`` has code, d and list, as ``sources.tables.read_list`` gives them: dates outside the span are not read. Each row counts.
+    """
+    from barscope.operators.calendar import trade_dates
+    from barscope.sources.tables import LISTS
+
+    if name not in LISTS:
+        raise ValueError(f"unknown list {name!r}")
+    days = trade_dates(span)
+    need = max(1, min(min_hits, days.count()))  # dates of a span, as in category_rank
+    inside = lists.where((F.col("list") == name) & F.col("code").isNotNull()).join(F.broadcast(days), "d")
+    out = hit_counts(inside, need).orderBy(*hits_order())
+    return out.limit(top_n) if top_n else out
+
+
 def _decay(mode: str, half_life: float) -> float:
     return 0.5 ** (1.0 / max(half_life, 1e-6)) if mode.startswith("exp") else 1.0
 

@@ -156,19 +156,57 @@ def split_folds(df: DataFrame, ratio: float, folds: int) -> DataFrame:
     return out.select(*[c for c in out.columns if c not in ("pos", "n", "_m")], "_m.fold", "_m.part")
 
 
-def rule_importance(train: DataFrame, test: DataFrame, rules: Sequence[str], rounds: int = 50,
-                    seed: int = 42) -> DataFrame:
-    """Gain importance of each rule from boosted trees, with the test errors."""
-    from pyspark.ml.evaluation import RegressionEvaluator
+def best_round(losses: Sequence[float], patience: int | None) -> int:
+    """The round with the smallest loss before ``patience`` rounds have gone by without a smaller one; without patience the last."""
+    if not patience:
+        return len(losses) - 1
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best
+
+
+def rule_model(train: DataFrame, test: DataFrame, rules: Sequence[str], rounds: int = 50, patience: int | None = 20, depth: int = 5,
+               rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees over the rules: gains by rule, and one row of metrics of the best round.
+
+    The test part's loss after each round tells the best one, stopping early after ``patience`` rounds without a better one; as
+    later trees don't change earlier ones, a fit of that many rounds with the same seed is the stopped model. ``rows`` are drawn for
+    each tree, ``columns`` for each node. The first tree counts whole, later ones by ``rate``.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     pack = VectorAssembler(inputCols=list(rules), outputCol="features")
-    gbt = GBTRegressor(labelCol="target", maxDepth=5, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=seed)
-    model = gbt.fit(pack.transform(train))
-    seen = model.transform(pack.transform(test))
-    rmse, mae = (
-        RegressionEvaluator(labelCol="target", metricName=m).evaluate(seen) for m in ("rmse", "mae")
-    )
-    rows = [(n, float(g), float(rmse), float(mae)) for n, g in zip(rules, model.featureImportances.toArray())]
-    return train.sparkSession.createDataFrame(rows, "rule string, gain double, rmse double, mae double")
+    packed = [written_once(pack.transform(part).select("features", F.col("target").cast("double").alias("target"))) for part in (train, test)]
+
+    def fit(n: int):
+        return GBTRegressor(labelCol="target", maxDepth=depth, stepSize=rate, subsamplingRate=rows, featureSubsetStrategy="all" if columns >= 1 else str(columns),
+                            maxIter=n, seed=seed).fit(packed[0])
+
+    model = fit(rounds)
+    best = best_round(model.evaluateEachIteration(packed[1], "squared"), patience)
+    if best + 1 < rounds:
+        model = fit(best + 1)
+    error = F.col("prediction") - F.col("target")
+
+    def measures(part: str, df: DataFrame) -> DataFrame:
+        return model.transform(df).agg(
+            F.sqrt(F.avg(error * error)).alias(f"{part}_rmse"), F.avg(F.abs(error)).alias(f"{part}_mae"), F.avg("prediction").alias(f"{part}_mean"),
+            F.avg("target").alias(f"{part}_target"), F.count(F.lit(1)).alias(f"{part}_size"))
+
+    one = F.lit(1).alias("_one")
+    metrics = measures("train", packed[0]).select("*", one).join(measures("test", packed[1]).select("*", one), "_one").drop("_one")
+    gains = [(n, float(g)) for n, g in zip(rules, model.featureImportances.toArray())]
+    return train.sparkSession.createDataFrame(gains, "rule string, gain double"), metrics.withColumn("best_round", F.lit(best))
+
+
+def rule_importance(train: DataFrame, test: DataFrame, rules: Sequence[str], rounds: int = 50,
+                    seed: int = 42, **options) -> DataFrame:
+    """Gain importance of each rule from boosted trees, with the errors and means of the best round."""
+    gains, metrics = rule_model(train, test, rules, rounds, seed=seed, **options)
+    named = metrics.withColumnsRenamed({"test_rmse": "rmse", "test_mae": "mae"})
+    return gains.withColumn("_one", F.lit(1)).join(F.broadcast(named.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -14,6 +14,8 @@ from barscope.plans import q_rules  # noqa: F401  (defines the SQL of stored rec
 from barscope.plans.q_sources import plain_ranks
 from barscope.plans.q_values import half_bench
 from barscope.plans.registry import CTES, R, T, WIN, lag, out_num, over, query, shown, sql_shown, with_
+from barscope.session import scratch_path
+from barscope.sources import tables
 
 
 def finite(name):
@@ -248,6 +250,22 @@ def w30(spark, sf):
     return list_out(category.category_rank(plain_ranks(spark, sf), days, "hits", min_hits=5, top_n=20))
 
 
+@query("w30_list_hits", with_("plain_ranks", "span") + f"""
+SELECT list, code, hits, {T('first')} AS first, {T('last')} AS last FROM (
+SELECT list, code, count(*) AS hits, min(d) AS first, max(d) AS last FROM (
+  SELECT code, d, unnest(list_filter([CASE WHEN rank <= 30 THEN 'white' END, CASE WHEN rank > total - 30 THEN 'black' END], lambda e: e IS NOT NULL)) AS list
+  FROM plain_ranks JOIN span USING (d)) GROUP BY list, code) WHERE hits >= 3""")
+def w30_lists(spark, sf):
+    """White and black lists of a span's dates, stored and read again."""
+    days, path = span(fx.bars(spark, sf)), scratch_path(spark, "lists")
+    both = F.array_compact(F.array(F.when(F.col("rank") <= 30, F.lit("white")), F.when(F.col("rank") > F.col("total") - 30, F.lit("black"))))
+    r = plain_ranks(spark, sf).join(F.broadcast(days.select("d")), "d", "left_semi").withColumn("list", F.explode(both))
+    tables.write_lists(r.withColumns({"period": F.lit("x"), "reason": F.lit("rank")}), path)
+    stored = tables.read_list(spark, path)
+    hits = [list_out(category.list_hits(stored, days, n, 3).withColumn("list", F.lit(n)), "list") for n in tables.LISTS]
+    return hits[0].unionByName(hits[1])
+
+
 @query("w32_time_weights", with_("span") + f"""
 SELECT {T('d')} AS d, {R("w1 / avg(w1) OVER ()")} AS w_exp, {R("w2 / avg(w2) OVER ()")} AS w_linear, 1.0::DOUBLE AS w_none
 FROM (SELECT d, pow(0.5, (59 - i) / 5.0) AS w1, 0.3 + 0.7 * i / 59.0 AS w2 FROM span)""")

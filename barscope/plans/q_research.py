@@ -119,3 +119,37 @@ def m6(spark, sf):
     parts = written_once(research.split_time(dataset(spark, sf), 0.2))
     train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
     return research.rule_importance(train, test, NAMES, rounds=3)
+
+
+# One tree of depth one over all rows: the split of a rule's adds with the least squared error, and the means of its sides.
+CTES["parts"] = """
+SELECT w.*, CASE WHEN row_number() OVER (ORDER BY w.d, w.code) - 1 < floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part
+FROM dataset w"""
+CTES["long"] = "SELECT * FROM (UNPIVOT (SELECT code, d, part, target, " + ", ".join(f"{n}::DOUBLE AS {n}" for n in NAMES) + " FROM parts) ON " + ", ".join(NAMES) + " INTO NAME rule VALUE x)"
+CTES["by_value"] = "SELECT rule, x, count(*) AS n, sum(target) AS s FROM long WHERE part = 'train' GROUP BY rule, x"
+CTES["sides"] = """
+SELECT rule, x, sum(n) OVER w AS n0, sum(s) OVER w AS s0, sum(n) OVER (PARTITION BY rule) AS n1, sum(s) OVER (PARTITION BY rule) AS s1
+FROM by_value WINDOW w AS (PARTITION BY rule ORDER BY x ROWS UNBOUNDED PRECEDING)"""
+CTES["best_split"] = """
+SELECT rule, x, s0 / n0 AS low, (s1 - s0) / (n1 - n0) AS high FROM sides WHERE n0 < n1
+ORDER BY s0 * s0 / n0 + (s1 - s0) * (s1 - s0) / (n1 - n0) DESC LIMIT 1"""
+CTES["fitted"] = """
+SELECT l.part, l.target, CASE WHEN l.x <= b.x THEN b.low ELSE b.high END AS y FROM long l JOIN best_split b USING (rule)"""
+_PARTS = ("train", "test")
+_measures = ", ".join(
+    f"{R(e.format(p=p))} AS {p}_{n}" for p in _PARTS for n, e in (
+        ("rmse", "sqrt(avg((y - target) * (y - target)) FILTER (WHERE part = '{p}'))"), ("mae", "avg(abs(y - target)) FILTER (WHERE part = '{p}')"),
+        ("mean", "avg(y) FILTER (WHERE part = '{p}')"), ("target", "avg(target) FILTER (WHERE part = '{p}')")))
+
+
+@query("m6_one_split", with_("fitted") + f"""
+SELECT {_measures}, count(*) FILTER (WHERE part = 'train') AS train_size, count(*) FILTER (WHERE part = 'test') AS test_size, 0 AS best_round,
+  (SELECT rule FROM best_split) AS rule, 1.0::DOUBLE AS gain FROM fitted""")
+def m6_one(spark, sf):
+    """The same fit with one tree of depth one and nothing drawn has a closed form."""
+    parts = written_once(research.split_time(dataset(spark, sf), 0.2))
+    train, test = (parts.where(F.col("part") == p) for p in _PARTS)
+    out = research.rule_importance(train, test, NAMES, rounds=1, depth=1, rows=1.0, columns=1.0).where("gain > 0")
+    out = out.withColumnsRenamed({"rmse": "test_rmse", "mae": "test_mae"})
+    nums = [f"{p}_{n}" for p in _PARTS for n in ("rmse", "mae", "mean", "target")]
+    return shown(out, [], nums, ["train_size", "test_size", "best_round", "rule", "gain"])

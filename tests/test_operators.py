@@ -248,6 +248,46 @@ def test_informative_rule_is_most_important(spark):
     assert gain["good"] > 0.8 > gain["noise"]
 
 
+def test_best_round():
+    assert research.best_round([3.0, 2.0, 2.5, 1.0], None) == 3
+    assert research.best_round([3.0, 2.0, 2.5, 2.5, 1.0], 2) == 1  # stopped before the better one
+    assert research.best_round([3.0, 2.0, 2.5, 1.0, 1.0], 2) == 3
+    assert research.best_round([1.0], 5) == 0
+
+
+def test_early_stopping_ends_at_the_best_round_of_the_test_part(spark):
+    """Train and test disagree about one rule, so every round after the first makes the test part worse."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(float(i % 2), float(rng.random() < 0.5), 1.0 * (i % 2) + rng.gauss(0, 0.1)) for i in range(200)]
+    train = spark.createDataFrame(rows, "r double, noise double, target double")
+    test = train.withColumn("target", F.lit(0.5))
+    gains, metrics = research.rule_model(train, test, ["r", "noise"], rounds=6, patience=2, rows=1.0, columns=1.0, rate=0.5)
+    m = metrics.first()
+    one = research.rule_model(train, test, ["r", "noise"], rounds=m.best_round + 1, patience=None, rows=1.0, columns=1.0, rate=0.5)
+    assert m.best_round < 5 and one[1].first() == m and one[0].collect() == gains.collect()
+    assert (m.train_size, m.test_size, m.test_target) == (200, 200, 0.5) and m.train_rmse < m.test_rmse
+
+
+def test_list_hits(spark):
+    import datetime as dt
+
+    from barscope.operators import category
+    from barscope.operators.calendar import trade_dates
+
+    day = lambda i: dt.date(2024, 1, i)
+    span = trade_dates(spark.createDataFrame([(day(i),) for i in (2, 3, 4)], "d date"))
+    rows = [("a", day(2), "white"), ("a", day(4), "white"), ("b", day(3), "white"), ("b", day(3), "black"), ("a", day(9), "white"), (None, day(3), "white")]
+    lists = spark.createDataFrame(rows, "code string, d date, list string")
+    hits = lambda *a: [tuple(r) for r in category.list_hits(lists, span, *a).collect()]
+    assert hits("white") == [("a", 2, day(2), day(4)), ("b", 1, day(3), day(3))]
+    assert hits("white", 2) == [("a", 2, day(2), day(4))] and hits("white", 1, 1) == hits("white", 2)
+    assert hits("black", 9) == []  # needs as many hits as the span has dates, at most
+    with pytest.raises(ValueError):
+        hits("top")
+
+
 def test_validation_rules_by_kind(spark):
     df = spark.createDataFrame([("600000.SH", 1.0, -1), ("bad", 0.0, 2)], "code string, o double, v int")
     got = as_set(quality.validate(df, quality.DEFAULT_RULES["bars"]))
