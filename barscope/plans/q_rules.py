@@ -168,11 +168,24 @@ DETAIL_SQL = f"""
 SELECT code, {T('d')} AS d, name, scope, points, add, CAST(cnt AS DOUBLE) AS cnt, len(dates)::INTEGER AS hit_count, {T('list_max(dates)')} AS hit_date FROM details"""
 
 
-@query("w17_rule_details", with_("details") + DETAIL_SQL.replace("FROM details", ", timeframe, score_windows, array_to_string(list_transform(dates, lambda e: strftime(e, '%Y%m%d')), ',') AS hit_dates FROM details"))
+def _span(n: int) -> str:
+    return f"CASE WHEN min(d) {over(n)} = d THEN {T('d')} ELSE {T(f'min(d) {over(n)}')} || '-' || {T('d')} END"
+
+
+CTES["week_spans"] = f"SELECT code, d, {_span(3)} AS w3 FROM weeks"
+CTES["spans"] = f"""
+SELECT b.*, {T('l.w')} AS w1, s.w3 FROM (SELECT code, d, {_span(10)} AS p10, {_span(9)} AS p9, {_span(5)} AS p5 FROM bars) b
+JOIN labels l ON l.code = b.code AND l.d = b.d LEFT JOIN week_spans s ON s.code = b.code AND s.d = l.w"""
+
+
+@query("w17_rule_details", with_("details", "spans") + DETAIL_SQL.replace("FROM details", f""", timeframe, score_windows,
+  array_to_string(list_transform(dates, lambda e: strftime(e, '%Y%m%d')), ',') AS hit_dates,
+  CASE WHEN pos < 3 THEN p10 WHEN pos = 3 THEN p5 WHEN pos = 4 THEN p9 WHEN pos = 5 THEN w1 ELSE {T('d')} || coalesce(';' || w3, '') END AS period
+FROM details JOIN spans USING (code, d)"""))
 def w17(spark, sf):
     x = fx.details(spark, sf)
     return x.select("code", day_text("d").alias("d"), "name", "scope", "points", "add", F.col("cnt").cast("double").alias("cnt"),
-                    "hit_count", day_text("hit_date").alias("hit_date"), "timeframe", "score_windows",
+                    "hit_count", day_text("hit_date").alias("hit_date"), "timeframe", "score_windows", "period",
                     F.array_join(F.transform("hit_dates", lambda e: F.date_format(e, "yyyyMMdd")), ",").alias("hit_dates"))
 
 
