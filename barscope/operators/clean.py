@@ -11,6 +11,7 @@ from barscope.functions.series import W
 from barscope.functions.values import col, parse_day, rnd, to_number
 from barscope.operators.ranking import previous
 
+# The numeric columns of the stored tables.
 NUMERIC = (
     "o", "h", "l", "c", "pre_close", "change", "pct_chg", "v", "amount", "tor",
     "total_share", "float_share", "total_mv", "circ_mv",
