@@ -33,12 +33,13 @@ def store(spark, sf) -> str:
     """Path of the bar table, written once per session below the shared folder."""
     key = (spark.sparkContext.applicationId, sf, "bars")
     if key not in _stored:
-        b = fx.bars(spark, sf)
-        half = b.withColumns({n: F.col(n) / 2 for n in "ohlc"})
-        parts = [b.withColumn("adj_type", F.lit("raw")), half.withColumn("adj_type", F.lit("qfq")),
-                 fx.bench_bars(spark, sf).withColumn("adj_type", F.lit("ind"))]
         path = scratch_path(spark, "bars")
-        tables.write(parts[0].unionByName(parts[1]).unionByName(parts[2]), path, partition_by=["adj_type"])
+        raw = tables.write_folder(fx.bars(spark, sf), path, "adj_type", "raw")
+        # Adjusted bars come from the stored raw ones, so the bars are aggregated once.
+        half = spark.read.parquet(raw).withColumns({n: F.col(n) / 2 for n in "ohlc"})
+        tables.write_folder(half, path, "adj_type", "qfq")
+        index = fx.bench_bars(spark, sf)
+        tables.write_folder(index.select("code", *[c for c in index.columns if c != "code"]), path, "adj_type", "ind")
         _stored[key] = path
     return _stored[key]
 

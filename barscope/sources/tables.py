@@ -108,6 +108,16 @@ def write(df: DataFrame, path: str, mode: str = "replace", partition_by: Sequenc
     df.write.mode("append" if mode == "append" else "overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_folder(df: DataFrame, root: str, name: str, value: str) -> str:
+    """Write rows that share one partition value straight into its folder; returns the folder.
+
+    Nothing is shuffled or sorted to bring the folder's rows together.
+    """
+    path = f"{root.rstrip('/')}/{name}={value}"
+    write(df.drop(name), path)
+    return path
+
+
 def save(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = ()) -> str:
     """Write a result table below a root folder; returns its path."""
     path = f"{root.rstrip('/')}/{name}"
