@@ -192,7 +192,8 @@ def add_ranks(ranks: DataFrame, path: str) -> None:
     Only the months of these dates are read and written again.
     """
     spark = ranks.sparkSession
-    new = ranks.withColumn("ym", month_of(F.col("d")))
+    # Read four times below, so the ranking behind it runs once.
+    new = written_once(ranks.withColumn("ym", month_of(F.col("d"))))
     days = new.select("d", "ym").distinct()
     old = spark.read.parquet(path)
     kept = old.join(days.select("ym").distinct(), "ym", "left_semi").join(days.select("d"), "d", "left_anti")
