@@ -155,17 +155,19 @@ def create(df: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict
 
 
 def change(updates: DataFrame, root: str, make: Callable[[DataFrame, DataFrame], DataFrame], notes: dict[str, int] | None = None,
-           tries: int = 3) -> State:
+           tries: int = 3, stable: bool = False) -> State:
     """Replace the partitions that ``updates`` touch by ``make(old rows of these partitions, updates)``.
 
-    The updates are written once, so what is read, merged and named is the same also if their source changes. A writer that
+    The updates are written once, so what is read, merged and named is the same also if their source changes; ``stable`` ones
+    come from files that nobody changes and are not written again. A writer that
     was overtaken starts again from the newer state; after ``tries`` it gives up, with the table as the others left it.
     """
     spark = updates.sparkSession
     state = current(spark, root)
     if not state.version:
         raise FileNotFoundError(f"no table at {root}")
-    fixed = written_once(_by_part(updates, state.part))
+    fixed = _by_part(updates, state.part)
+    fixed = fixed if stable else written_once(fixed)
     # One value per touched partition; as many as the manifest may name.
     touched = [r[0] for r in fixed.select(F.col(state.part).cast("string")).distinct().collect()]
     if None in touched:
@@ -180,7 +182,7 @@ def change(updates: DataFrame, root: str, make: Callable[[DataFrame, DataFrame],
     raise lost
 
 
-def upsert(updates: DataFrame, root: str, notes: dict[str, int] | None = None, order: str | None = None) -> State:
+def upsert(updates: DataFrame, root: str, notes: dict[str, int] | None = None, order: str | None = None, stable: bool = False) -> State:
     """Update the supplied columns of rows with a stored key (a supplied null counts), insert the others.
 
     Columns the table doesn't have are left out; with key columns only, stored rows stay as they are. A key that comes twice
@@ -195,13 +197,13 @@ def upsert(updates: DataFrame, root: str, notes: dict[str, int] | None = None, o
             raise ValueError(f"updates of {root} hold a key twice")
         return tables.upsert(old, new, keys)
 
-    return change(updates, root, merge, notes)
+    return change(updates, root, merge, notes, stable=stable)
 
 
-def put(updates: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict[str, int] | None = None) -> State:
-    """Upsert, into a table that is created first if there is none."""
+def put(updates: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict[str, int] | None = None, stable: bool = False) -> State:
+    """Upsert, into a table that is created first if there is none; ``stable`` as for ``change``."""
     if current(updates.sparkSession, root).version:
-        return upsert(updates, root, notes)
+        return upsert(updates, root, notes, stable=stable)
     return create(updates, root, keys, part, notes)
 
 
