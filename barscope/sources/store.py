@@ -200,13 +200,20 @@ def upsert(updates: DataFrame, root: str, notes: dict[str, int] | None = None, o
     return change(updates, root, merge, notes, stable=stable)
 
 
-def put(updates: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict[str, int] | None = None, stable: bool = False) -> State:
-    """Upsert, into a table that is created first if there is none; ``stable`` as for ``change``."""
+def put(updates: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict[str, int] | None = None) -> State:
+    """Upsert, into a table that is created first if there is none."""
     if current(updates.sparkSession, root).version:
-        return upsert(updates, root, notes, stable=stable)
+        return upsert(updates, root, notes)
     return create(updates, root, keys, part, notes)
 
 
+def put_stable(updates: DataFrame, root: str, keys: Sequence[str], part: str) -> State:
+    """The same for rows that come from files which nobody changes, so they are not written once more."""
+    if current(updates.sparkSession, root).version:
+        return upsert(updates, root, stable=True)
+    return create(updates, root, keys, part)
+
+
 def replace_days(rows: DataFrame, root: str, by: str = "d", notes: dict[str, int] | None = None) -> State:
     """Rows of some dates replace all stored rows of these dates; other dates stay."""
 

@@ -53,7 +53,7 @@ def take_batch(batch: DataFrame, number: int, root: str, names: Sequence[str]) -
     if known.notes.get("batch", -1) >= number:
         return
     rows = written_once(batch.withColumn("ym", store.month()))
-    store.put(rows, bars, ["code", "d"], "ym", stable=True)
+    store.put_stable(rows, bars, ["code", "d"], "ym")
     if not known.version:
         out, new = advance(None, rows, names)
     else:
@@ -63,7 +63,7 @@ def take_batch(batch: DataFrame, number: int, root: str, names: Sequence[str]) -
         if not again.isEmpty():
             redone, fresh = rebuild(store.read(spark, bars), again, names)
             out, new = out.unionByName(redone), new.unionByName(fresh)
-    store.put(out, values, ["code", "d"], "ym", stable=True)  # read from the rows that ``advance`` has written
+    store.put_stable(out, values, ["code", "d"], "ym")  # read from the rows that ``advance`` has written
     store.put(new.withColumn("bucket", bucket()), states, ["code"], "bucket", {"batch": number})
 
 
