@@ -7,7 +7,7 @@ by side. Back-pointers then give the ids. No merge queue is run over the text.
 
 Texts are cut at special tokens, then into pieces by the vocabulary's pattern. Pieces repeat, so a bounded
 table keeps their ids. Null texts count as empty: no ids, empty decoded text. Rows, also repeated ones, are
-encoded one by one; memory is that of one batch of texts.
+encoded one by one; memory is that of some 1 MB of texts, or of one longer text.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barscope.llm.common import text_of
+from barscope.llm.kernels import slices
 
 # The splitting pattern of byte-level BPE vocabularies, and what it says for ASCII texts.
 PATTERN = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-KEPT_PIECES = 150_000
+KEPT_PIECES, KEPT_PAIRS = 150_000, 1 << 18
+SLICE = 1 << 20
 
 
 class Pieces(dict):
@@ -82,7 +84,7 @@ class Encoder:
         names = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
         self.cut = regex.compile(f"({names})").split if names else None
         self.edges = lru_cache(1 << 17)(self._edge)
-        self.compatible = lru_cache(1 << 20)(self._compatible)
+        self.compatible = lru_cache(KEPT_PAIRS)(self._compatible)
         self.known = Pieces(self.encode_piece)
         self.bytes_of = self.token | {i: x.encode() for x, i in self.special.items()}
 
@@ -136,6 +138,15 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
 
 
+def encode_batch(encoder: Encoder, batch: pa.RecordBatch):
+    """Some ``SLICE`` bytes of text at a time, as Python's copies of texts and ids are several times as large."""
+    for part, _, _ in slices(batch, size=SLICE):
+        ids = list(map(encoder.encode, part.column("t").to_pylist()))
+        decoded = list(map(encoder.decode, ids))
+        out = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"])
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, ``ids`` (little-endian unsigned 32-bit integers) and the text decoded from them."""
     spec = open(path, encoding="utf-8").read()
@@ -144,10 +155,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            ids = list(map(encoder.encode, batch.column("t").to_pylist()))
-            decoded = list(map(encoder.decode, ids))
-            out = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"])
+            yield from encode_batch(encoder, batch)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("t"))
     schema = T.StructType().add("doc_id", "long").add("ids", "binary").add("decoded", "string")

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def test_bpe_documents(spark, reference):
     same({r.doc_id: r.text for r in docs.collect()}, bpe.encoded(docs, vocabulary()).collect(), reference)
 
 
+def test_bpe_takes_a_batch_in_parts():
+    """Texts, ids and decoded texts of a whole batch are not held at once."""
+    texts = [f"some text {i} " * 5000 for i in range(100)] + [None, "", "end"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "t": pa.array([t or "" for t in texts])})
+    out = list(bpe.encode_batch(bpe.Encoder(open(vocabulary(), encoding="utf-8").read()), batch))
+    assert len(out) > 5 and max(part.column("decoded").nbytes for part in out) < 3 << 20
+    assert pa.Table.from_batches(out).column("decoded").to_pylist() == [t or "" for t in texts]
+    assert pa.Table.from_batches(out).column("doc_id").to_pylist() == list(range(len(texts)))
+
+
 def test_bpe_odd(odd_docs, no_docs):
     rows = bpe.digests(bpe.encoded(odd_docs, vocabulary())).collect()
     assert len(rows) == 10 and {r.doc_id: r.n_tokens for r in rows}[1] == 0
