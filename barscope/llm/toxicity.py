@@ -37,6 +37,7 @@ EVIDENCE = 5
 SIMILAR = 0.8
 DENSE = 16
 ROWS = 128
+SLICE = 1 << 20  # bytes of text at a time; arrays over its words are some twenty times as large
 
 
 def _vocabulary_counts(data, offsets, terms):
@@ -200,7 +201,7 @@ def _sample(labels: DataFrame, learn: Column, per_class: int) -> tuple[DataFrame
 def _shingle_sets(batches):
     """Distinct shingle hashes of each text, in order."""
     for batch in batches:
-        for part, data, offsets in K.slices(batch):
+        for part, data, offsets in K.slices(batch, size=SLICE):
             s, first = K.shingles(*K.words(data, offsets))
             sets = pa.array([np.unique(s[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), part.column("h"), sets], ["doc_id", "toxic", "h", "shingles"])
@@ -259,7 +260,7 @@ def _without_copies(sample: DataFrame) -> list[tuple[int, int]]:
 def _term_classes(batches):
     """Per part of a batch: word, and the numbers of texts of either class that have it."""
     for batch in batches:
-        for part, data, offsets in K.slices(batch):
+        for part, data, offsets in K.slices(batch, size=SLICE):
             hashes, first = K.words(data, offsets)
             value, _, per = K.counted(hashes, first)
             doc = np.repeat(np.arange(len(per) - 1), np.diff(per))
@@ -292,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     def frequencies(batches):
         df, rows = np.zeros(len(shared.value), dtype=np.int64), 0
         for batch in batches:
-            for part, data, offsets in K.slices(batch):
+            for part, data, offsets in K.slices(batch, size=SLICE):
                 _, t, _ = _vocabulary_counts(data, offsets, shared.value)
                 df += np.bincount(t, minlength=len(df))
                 rows += part.num_rows
@@ -306,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
 
     def vectors(batches):
         for batch in batches:
-            for part, data, offsets in K.slices(batch):
+            for part, data, offsets in K.slices(batch, size=SLICE):
                 d, t, c = _vocabulary_counts(data, offsets, shared.value)
                 cut = np.searchsorted(d, np.arange(part.num_rows + 1))
                 lists = [pa.array([v[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for v in (t, c)]
@@ -340,7 +341,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in K.slices(batch):
+            for part, data, offsets in K.slices(batch, size=SLICE):
                 scores, ids, sims = zip(*_scores(shared.value, part, data, offsets))
                 out = [
                     part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())),
@@ -358,7 +359,7 @@ def accepted(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in K.slices(batch, "__t"):
+            for part, data, offsets in K.slices(batch, "__t", size=SLICE):
                 kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets)], pa.bool_())
                 yield part.filter(kept).drop_columns(["__t"])
 

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from barscope.operators import research
 from barscope.operators.rules import Clause, Rule, evaluate, rule_details
 from barscope.session import written_once
 from barscope.sources import tables
@@ -73,3 +74,32 @@ def test_rows_written_once_lie_in_columnar_files(spark):
     assert out.inputFiles() and out.dtypes == df.dtypes and sorted(out.collect()) == sorted(df.collect())
     empty = written_once(df.where("id < 0"))
     assert empty.dtypes == df.dtypes and empty.count() == 0
+
+
+def test_a_fit_has_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    sizes, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(research, "TASK_ROWS", 50)
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: sizes.append(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) or fit(self, df))
+    df = spark.range(1000).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("target")).coalesce(1)
+    _, metrics = research.rule_model(df, df.limit(100), ["a"], rounds=1, depth=1, rows=1.0, columns=1.0)
+    assert sum(sizes[0]) == 1000 and max(sizes[0]) <= 100 and metrics.first()["train_size"] == 1000
+
+
+def test_rows_that_lie_in_enough_tasks_stay_there(spark):
+    df = spark.range(100, numPartitions=4)
+    assert research.spread(df, 25) is df and research.spread(df.where("id < 0"), 25).count() == 0
+    assert research.spread(df, 10).rdd.getNumPartitions() == 10
+
+
+def test_toxicity_takes_some_text_at_a_time():
+    import pyarrow as pa
+
+    from barscope.llm import toxicity
+
+    texts = [f"w{i} " * 150_000 for i in range(8)]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string()), "toxic": pa.array([i % 2 for i in range(8)], pa.int32())})
+    parts = list(toxicity._term_classes([batch]))
+    assert len(parts) >= 3
+    assert sum(sum(p.column("pos").to_pylist()) for p in parts) == sum(sum(p.column("neg").to_pylist()) for p in parts) == 4
