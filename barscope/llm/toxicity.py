@@ -41,13 +41,16 @@ SLICE = 1 << 20  # bytes of text at a time; arrays over its words are some twent
 
 
 def _vocabulary_counts(data, offsets, terms):
-    """(text, term number, count) for the words of the sorted ``terms``, in order."""
-    value, count, per = K.counted(*K.words(data, offsets))
-    if not len(terms):
-        return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(terms, value), len(terms) - 1)
-    hit = terms[at] == value
-    return np.repeat(np.arange(len(per) - 1), np.diff(per))[hit], at[hit], count[hit]
+    """(text, term number, count) for the words of the sorted ``terms``, in order; some ``SLICE`` bytes of text are hashed at a time."""
+    out, low = [(np.zeros(0, np.int64),) * 3], 0
+    while low < len(offsets) - 1 and len(terms):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE, "right")) - 1)
+        value, count, per = K.counted(*K.words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
+        at = np.minimum(np.searchsorted(terms, value), len(terms) - 1)
+        hit = terms[at] == value
+        out.append((np.repeat(np.arange(low, high), np.diff(per))[hit], at[hit], count[hit]))
+        low = high
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def _contrast(pos, neg, n_pos, n_neg):
@@ -293,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
     def frequencies(batches):
         df, rows = np.zeros(len(shared.value), dtype=np.int64), 0
         for batch in batches:
-            for part, data, offsets in K.slices(batch, size=SLICE):
+            for part, data, offsets in K.slices(batch):
                 _, t, _ = _vocabulary_counts(data, offsets, shared.value)
                 df += np.bincount(t, minlength=len(df))
                 rows += part.num_rows
@@ -307,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
 
     def vectors(batches):
         for batch in batches:
-            for part, data, offsets in K.slices(batch, size=SLICE):
+            for part, data, offsets in K.slices(batch):
                 d, t, c = _vocabulary_counts(data, offsets, shared.value)
                 cut = np.searchsorted(d, np.arange(part.num_rows + 1))
                 lists = [pa.array([v[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for v in (t, c)]
@@ -341,7 +344,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in K.slices(batch, size=SLICE):
+            for part, data, offsets in K.slices(batch):
                 scores, ids, sims = zip(*_scores(shared.value, part, data, offsets))
                 out = [
                     part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())),
@@ -359,7 +362,7 @@ def accepted(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in K.slices(batch, "__t", size=SLICE):
+            for part, data, offsets in K.slices(batch, "__t"):
                 kept = pa.array([s[0] < threshold for s in _scores(shared.value, part, data, offsets)], pa.bool_())
                 yield part.filter(kept).drop_columns(["__t"])
 
