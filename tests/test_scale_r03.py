@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barscope.functions import series
-from barscope.operators import benchmark, research
+from barscope.operators import benchmark, clean, research
+from barscope.operators.ranking import previous
 from barscope.operators.rules import Clause, Rule, evaluate, rule_details
 from barscope.session import written_once
 from barscope.sources import tables
@@ -140,3 +141,27 @@ def test_merged_sums_are_those_of_each_window(spark, n):
                 a, b = (sum(p) / n for p in zip(*pairs))
                 want = sum((p - a) * (q - b) for p, q in pairs)
                 assert value == 0 if len({q[3] for q in own}) == 1 and j == 3 else value == pytest.approx(want, abs=1e-12)
+
+
+def test_index_bars_take_one_shuffle_and_no_join(spark):
+    rows = [("a", "20240103", 7, "3"), ("a", "20240102", 1, "1"), ("a", "x", 5, "2"), ("a", "20240102", 3, "1.5"), ("b", "20240102", 9, "4"), (None, "20240102", 4, "5")]
+    out = clean.clean_index_bars(spark.createDataFrame(rows, "code string, d string, seq long, c string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("gettimestamp") == 1
+    got = {(r.code, r.d.day): (r.c, r.pre_close, r.change) for r in out.collect()}
+    assert got == {("a", 2): (1.5, 1.0, 0.5), ("a", 3): (3.0, 2.0, 1.0), ("b", 2): (4.0, None, None)}
+
+
+@pytest.mark.parametrize("size", [1, 60, 10_000])
+def test_previous_row_whatever_the_order_is_worth(spark, size):
+    """Orders far apart, below zero and missing; a code with few rows, one with many, rows without code, and copies of rows."""
+    rng = random.Random(3)
+    orders = rng.sample(range(-10**14, 10**14), 500)
+    rows = [("few" if i % 50 == 0 else None if i % 50 == 1 else "many", x, float(i) if i % 9 else None) for i, x in enumerate(orders)]
+    df = spark.createDataFrame([*rows, *rows[::3], ("many", None, -1.0)], "code string, seq long, c double").repartition(5)
+    want, last = {}, {}
+    for code, seq, c in [*sorted((r for r in rows if r[0]), key=lambda r: r[1]), ("many", None, -1.0)]:
+        want[code, seq], last[code] = last.get(code), c
+    got = previous(df, "code", "seq", "c", size, ["c"])
+    assert got.columns == [*df.columns, "_previous"] and got.count() == df.where("code IS NOT NULL").count()
+    assert all(r._previous == want[r.code, r.seq] for r in got.collect())
