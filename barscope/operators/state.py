@@ -66,21 +66,32 @@ def _inputs(averages: Sequence[Ewm]) -> dict[str, Column]:
     return out
 
 
-def _new_state(rows: DataFrame, columns: Sequence[str], averages: Sequence[Ewm], depth: int) -> DataFrame:
-    """One row per code of the rows, which are its newest stored bars and all later ones."""
-    back = F.col("_end") - F.col("_rn")
-    seeds = {}
+def _with_seeds(rows: DataFrame, averages: Sequence[Ewm]) -> DataFrame:
+    """The state of each average as a column of a code's last row, missing in all others."""
+    back, whole = F.col("_end") - F.col("_rn"), Window.partitionBy("code")
+    found, seeds = {}, {}
     for a in averages:
         seen = F.col(f"_in_{a.out}").isNotNull()
         left = F.pow(F.lit(1.0 - a.alpha), back.cast("double")) * F.col(f"_wt_{a.out}")
         last = F.max_by(F.struct(F.col(a.out).alias("y"), (back + F.col(f"_lag_{a.out}")).alias("lag")), F.when(seen, F.col("_rn")))
+        found[f"_found{a.out}"] = last.over(whole)
+        if a.adjust:
+            found[f"_left{a.out}"] = F.sum(F.when(seen, left)).over(whole)
+        last = F.col(f"_found{a.out}")
         # Seeded recursions start each bar anew with weight 1, decayed since the last input.
-        weight = F.sum(F.when(seen, left)) if a.adjust else F.pow(F.lit(1.0 - a.alpha), last["lag"].cast("double"))
-        seeds[_seed(a)] = F.when(last.isNotNull(), F.struct(last["y"].alias("y"), weight.alias("wt"), last["lag"].alias("lag")))
+        weight = F.col(f"_left{a.out}") if a.adjust else F.pow(F.lit(1.0 - a.alpha), last["lag"].cast("double"))
+        seed = F.struct(last["y"].alias("y"), weight.alias("wt"), last["lag"].alias("lag"))
+        seeds[f"_next{a.out}"] = F.when((back == 0) & last.isNotNull(), seed)
+    return rows.withColumns(found).withColumns(seeds) if averages else rows
+
+
+def _new_state(rows: DataFrame, columns: Sequence[str], averages: Sequence[Ewm], depth: int) -> DataFrame:
+    """One row per code of the rows, which are its newest stored bars and all later ones."""
     bar = F.struct("d", *[c for c in columns if c not in ("code", "d")])
+    late = F.col("_end") - F.col("_rn") < depth
     return rows.groupBy("code").agg(
-        F.max(F.col("_at") + 1).alias("n"), F.max("d").alias("d"), F.sort_array(F.collect_list(F.when(back < depth, bar))).alias("ring"),
-        *[e.alias(n) for n, e in seeds.items()],
+        F.max(F.col("_at") + 1).alias("n"), F.max("d").alias("d"), F.sort_array(F.collect_list(F.when(late, bar))).alias("ring"),
+        *[F.first(f"_next{a.out}", ignorenulls=True).alias(_seed(a)) for a in averages],
     )
 
 
@@ -106,8 +117,9 @@ def advance(state: DataFrame | None, batch: DataFrame, names: Sequence[str]) ->
     first = F.first("_shift", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumns({"_at": F.col("_rn") + F.coalesce(first, F.lit(0)), "_end": F.max("_rn").over(Window.partitionBy("code"))})
     values = {i.out: F.when(F.col("_at") >= i.warmup, rnd(i.value() if i.first else F.col(f"_raw_{i.out}"), i.decimals)) for i in chosen}
-    kept = [f"{p}{a.out}" for a in averages for p in ("", "_in_", "_wt_", "_lag_")]
-    # Values and state both read these rows.
+    kept = [f"_next{a.out}" for a in averages]
+    # Values and state both read these rows; what the state takes of the averages lies in a code's last row.
+    out = _with_seeds(out, averages)
     rows = written_once(out.select(*batch.columns, "_new", "_rn", "_at", "_end", *kept, *[e.alias(n) for n, e in values.items()]))
     return rows.where("_new").select(*batch.columns, *values), _new_state(rows, batch.columns, averages, depth)
 

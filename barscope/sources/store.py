@@ -106,7 +106,7 @@ def _rows(spark: SparkSession, root: str, state: State, values: Sequence[str] |
     chosen = state.folders if values is None else {v: state.folders[v] for v in values if v in state.folders}
     schema = StructType.fromJson(json.loads(state.schema))
     if not chosen:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).where(F.lit(False))  # seen by the optimizer, so nothing is joined to it
     base = root.rstrip("/")
     # The partition column comes from the folders' names.
     stored = spark.read.option("basePath", base).schema(schema).parquet(*[f"{base}/{f}" for f in sorted(chosen.values())])
@@ -155,12 +155,12 @@ def create(df: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict
 
 
 def change(updates: DataFrame, root: str, make: Callable[[DataFrame, DataFrame], DataFrame], notes: dict[str, int] | None = None,
-           tries: int = 3, stable: bool = False) -> State:
+           tries: int = 3, stable: bool = False, apart: bool = False) -> State:
     """Replace the partitions that ``updates`` touch by ``make(old rows of these partitions, updates)``.
 
     The updates are written once, so what is read, merged and named is the same also if their source changes; ``stable`` ones
-    come from files that nobody changes and are not written again. A writer that
-    was overtaken starts again from the newer state; after ``tries`` it gives up, with the table as the others left it.
+    come from files that nobody changes and are not written again. With ``apart`` a partition's rows depend on its own updates alone, and those of
+    partitions that the table doesn't have yet are made without a look at the others. A writer that was overtaken starts again from the newer state; after ``tries`` it gives up, with the table as the others left it.
     """
     spark = updates.sparkSession
     state = current(spark, root)
@@ -174,7 +174,13 @@ def change(updates: DataFrame, root: str, make: Callable[[DataFrame, DataFrame],
         raise ValueError(f"null in the partition column {state.part!r}")
     for _ in range(tries):
         state = current(spark, root)
-        out = make(_rows(spark, root, state, touched), fixed).select(*StructType.fromJson(json.loads(state.schema)).names)
+        names, held = StructType.fromJson(json.loads(state.schema)).names, [v for v in touched if v in state.folders]
+        if apart and 0 < len(held) < len(touched):
+            known = F.col(state.part).cast("string").isin(held)
+            out = make(_rows(spark, root, state, held), fixed.where(known)).select(*names)
+            out = out.unionByName(make(_rows(spark, root, state, []), fixed.where(~known)).select(*names))
+        else:
+            out = make(_rows(spark, root, state, touched), fixed).select(*names)
         try:
             return publish(spark, root, stage(out, root, state, touched, notes))
         except Conflict as e:
@@ -197,7 +203,7 @@ def upsert(updates: DataFrame, root: str, notes: dict[str, int] | None = None, o
             raise ValueError(f"updates of {root} hold a key twice")
         return tables.upsert(old, new, keys)
 
-    return change(updates, root, merge, notes, stable=stable)
+    return change(updates, root, merge, notes, stable=stable, apart=True)
 
 
 def put(updates: DataFrame, root: str, keys: Sequence[str], part: str, notes: dict[str, int] | None = None) -> State:

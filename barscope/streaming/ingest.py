@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from barscope.operators.clean import keep_last
 from barscope.operators.state import advance, bucket, late, rebuild
-from barscope.session import written_once
+from barscope.session import passing, written_once
 from barscope.sources import store
 
 
@@ -43,6 +43,8 @@ def read_days(spark: SparkSession, table: str) -> DataFrame:
 def take_batch(batch: DataFrame, number: int, root: str, names: Sequence[str]) -> None:
     """Put a batch of bars, unique by code and date, into the stored bars, indicator values and states below ``root``.
 
+    What it writes for itself is gone afterwards.
+
     New bars go on from the state of their codes, no history is read. A code with a bar that the state has already passed is
     computed anew from its stored bars. The state is committed last and notes the batch's number: a batch that is
     retried is skipped if that was done, and otherwise does the same again.
@@ -52,6 +54,13 @@ def take_batch(batch: DataFrame, number: int, root: str, names: Sequence[str]) -
     known = store.current(spark, states)
     if known.notes.get("batch", -1) >= number:
         return
+    with passing(spark):
+        _take(batch, number, (bars, values, states), known, names)
+
+
+def _take(batch: DataFrame, number: int, roots: tuple[str, str, str], known: store.State, names: Sequence[str]) -> None:
+    spark = batch.sparkSession
+    bars, values, states = roots
     rows = written_once(batch.withColumn("ym", store.month()))
     store.put_stable(rows, bars, ["code", "d"], "ym")
     if not known.version:
