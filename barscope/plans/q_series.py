@@ -11,7 +11,7 @@ from barscope.operators import indicators as ind
 from barscope.operators.rules import Clause, Rule, rule_tags, tag_columns
 from barscope.plans import fixtures as fx
 from barscope.plans.registry import CTES, R, T, WIN, ewm_sql, lag, over, query, shown, sql_shown, strict, with_
-from barscope.session import scratch_path
+from barscope.session import passing, scratch_path
 from barscope.streaming.ingest import read_values, stream_indicators, take_batch
 
 # Closes with holes, so windows meet missing values.
@@ -301,6 +301,7 @@ def s19_indicators(spark, sf):
     b = cents(spark, sf).withColumn("seq", F.lit(1))
     landing, root, offsets = (scratch_path(spark, n) for n in ("landing", "streamed", "offsets"))
     for start, end in (("1900-01-01", "1996-01-01"), ("1996-01-01", "1997-01-01"), ("1997-01-01", "2100-01-01")):
-        _between(b, start, end).write.mode("append").parquet(landing)
+        with passing(spark):
+            _between(b, start, end).write.mode("append").parquet(landing)
         stream_indicators(spark, landing, b.schema, root, ALL, offsets).awaitTermination()
     return _carried(spark, root)
